@@ -18,16 +18,22 @@ from pyspark.sql import functions as F
 #: (host, start of the path, verdict); the longest that fits holds.
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 
+#: Words of hosts in the small labelled table: unwanted ones stand in pairs, ordinary ones alone or in pairs.
+UNWANTED = "casino poker bets betting pills pharmacy adult xxx spam ads tracking click cheap free win bonus".split()
+ORDINARY = "library university news encyclopedia weather museum council data school science journal recipes garden history archive writer paper software theatre nature energy health travel music sport market bridge street mountain river thread notion nation other father leather station central".split()
+
+
+def _labelled():
+    bad = [f"{a}-{b}" for k, a in enumerate(UNWANTED) for b in (UNWANTED[(k + 3) % len(UNWANTED)], UNWANTED[(k + 7) % len(UNWANTED)])] + UNWANTED
+    good = [f"{a}-{ORDINARY[(k + 5) % len(ORDINARY)]}" for k, a in enumerate(ORDINARY)] + ORDINARY
+    for blocked, hosts in ((1, bad), (0, good)):
+        for k, host in enumerate(hosts):
+            for sub, path in (("", "en/1204"), ("www.", "de/88.html"), ("blog.", "fr/31?page=2"), ("m.", "es/7#top")):
+                yield f"https://{sub}{host}.test/{path}", blocked
+
+
 #: The small labelled table (URL, blocked) that the production model is trained from.
-LABELLED = tuple(
-    (f"https://{host}/{path}", blocked)
-    for blocked, hosts in (
-        (1, "cheap-pills.test buy-pills-online.test casino-win.test best-casino.test free-bets.test bet-bonus.test spam-farm.test link-farm.test ads-track.test click-ads.test tracker-pixel.test adult-x.test xxx-adult.test win-money-fast.test cheap-loans.test free-casino-bonus.test".split()),
-        (0, "library.test university.test news-daily.test encyclopedia.test weather.test museum.test city-council.test open-data.test school.test science-journal.test recipes.test gardening.test history-archive.test blog.writer.test m.newspaper.test docs.software.test tion.test thther.test ththan.test".split()),
-    )
-    for host in hosts
-    for path in ("en/1204", "de/88.html", "fr/31?page=2", "")
-)
+LABELLED = tuple(_labelled())
 
 
 @dataclass(frozen=True)
