@@ -31,6 +31,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -183,10 +184,13 @@ def _posted(hashes: np.ndarray, doc: int, order: Order) -> list[tuple[np.ndarray
     return out
 
 
+#: A posting of kind -2 is not in a list: it tells a document's set size, and its key is a document with the same set.
+_DOCUMENT = -2
+
+
 def _post(docs: DataFrame, order: Order) -> DataFrame:
-    """(doc_id, n, twin, kinds, keys, deals): each row's set size, a document of this task with the same set, and what it posts."""
+    """(kind, key, deal, n, doc_id): what each document posts.  Of equal sets in one task only the first posts."""
     sent = docs.sparkSession.sparkContext.broadcast(order)
-    types = {"doc_id": pa.int64(), "n": pa.int64(), "twin": pa.int64(), "posts": pa.list_(pa.struct([("key", pa.int64()), ("kind", pa.int32()), ("deal", pa.int32())]))}
     item = pa.struct([("key", pa.int64()), ("kind", pa.int32()), ("deal", pa.int32())])
 
     def run(batches):
@@ -196,41 +200,47 @@ def _post(docs: DataFrame, order: Order) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids, sizes, twins, lengths, keys, kinds, deals = part.column(0).to_pylist(), [], [], [0], [], [], []
-                for doc, text in zip(ids, texts_of(part)):
+                sizes, lengths, keys, kinds, deals = [], [0], [], [], []
+                for doc, text in zip(part.column(0).to_pylist(), texts_of(part)):
                     hashes = hashed(text, s.words)
                     sizes.append(len(hashes))
-                    mark = xxhash.xxh3_128_digest(hashes.tobytes())
-                    twin = doc if doc is None or not len(hashes) else seen.setdefault(mark, doc)
-                    twins.append(twin)
-                    posts = _posted(hashes, doc, order) if len(hashes) and twin == doc and doc is not None else []
+                    twin = seen.setdefault(xxhash.xxh3_128_digest(hashes.tobytes()), doc) if len(hashes) else doc
+                    posts = [(np.array([twin], np.int64), _DOCUMENT), *(_posted(hashes, doc, order) if len(hashes) and twin == doc else [])]
+                    spot = np.uint64(xxhash.xxh3_64_intdigest(str(doc)))
                     for post, kind in posts:
                         expected = order.count[(post >> np.uint64(64 - s.bits)).astype(np.int64)] if kind == 0 else np.zeros(len(post), np.int64)
                         keys.append(post.view(np.int64)), kinds.append(np.full(len(post), kind, np.int32))
-                        deals.append((xxhash.xxh3_64_intdigest(str(doc)) % (1 + expected // s.rows_a_task).astype(np.uint64)).astype(np.int32))
+                        deals.append((spot % (1 + expected // s.rows_a_task).astype(np.uint64)).astype(np.int32))
                     lengths.append(lengths[-1] + sum(len(p) for p, _ in posts))
                 flat = [np.concatenate(x) if x else np.empty(0, t) for x, t in ((keys, np.int64), (kinds, np.int32), (deals, np.int32))]
                 structs = pa.StructArray.from_arrays([pa.array(x) for x in flat], fields=list(item))
                 posts = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), structs)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(twins, pa.int64()), posts.cast(types["posts"])], list(types))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), posts], ["doc_id", "n", "posts"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, twin long, posts array<struct<key:long,kind:int,deal:int>>")
+    rows = docs.mapInArrow(run, "doc_id long, n long, posts array<struct<key:long,kind:int,deal:int>>")
+    return rows.select("doc_id", "n", F.explode("posts").alias("p")).select("p.kind", "p.key", "p.deal", "n", "doc_id")
 
 
 _PAIRS = "key long, a long, b long, na long, nb long, kind int"
 
 
 def _scan_lists(postings: DataFrame, s: Settings) -> DataFrame:
-    """From postings sorted by (kind, key, deal, n, doc_id): links of kind > 0, pairs to compare of kind 0, and the
-    members of lists too long to be compared in full (kind -1).  A task remembers one list's first and latest sets."""
+    """From postings sorted by (kind, key, deal, n, doc_id): links of kind > 0, pairs to compare of kind 0, the members
+    of lists too long to be compared in full (kind -1) and each document with its twin (kind -2).  A task remembers
+    one list's first and latest sets."""
 
     def run(batches):
         now, members = None, []
         for batch in batches:
             out: list[tuple] = []
             table = [batch.column(k).to_numpy() for k in range(5)]
-            same = np.ones(batch.num_rows, bool)
-            if batch.num_rows > 1:
+            told = table[0] == _DOCUMENT
+            if told.any():
+                key, n, doc = (table[k][told] for k in (1, 3, 4))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.zeros_like(key), doc, key, n, n, table[0][told])], ["key", "a", "b", "na", "nb", "kind"])
+                table = [c[~told] for c in table]
+            same = np.ones(len(table[0]), bool)
+            if len(same) > 1:
                 # rows alone in their list are passed over at once
                 joined = (table[0][1:] == table[0][:-1]) & (table[1][1:] == table[1][:-1]) & (table[2][1:] == table[2][:-1])
                 same[1:-1] = joined[:-1] | joined[1:]
@@ -244,12 +254,12 @@ def _scan_lists(postings: DataFrame, s: Settings) -> DataFrame:
                     members = members or [(n, doc)]
                     continue
                 if count <= s.full:
-                    out += [(key, d, doc, m, n, 0) for m, d in members if d != doc and s.fits(m, n)]
+                    out += [(0, d, doc, 0, 0, 0) for m, d in members if d != doc and s.fits(m, n)]
                     members.append((n, doc))
                 else:
                     if count == s.full + 1:
                         out += [(key, d, d, m, m, -1) for m, d in members]
-                    out += [(key, d, doc, m, n, 0) for m, d in {members[0], members[-1]} if d != doc and s.fits(m, n)]
+                    out += [(0, d, doc, 0, 0, 0) for m, d in {members[0], members[-1]} if d != doc and s.fits(m, n)]
                     out.append((key, doc, doc, n, n, -1))
                     members[-1] = (n, doc)
             if out:
@@ -259,49 +269,73 @@ def _scan_lists(postings: DataFrame, s: Settings) -> DataFrame:
     return postings.mapInArrow(run, _PAIRS)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
-    """The pairs (a, b) whose texts are similar, compared shingle by shingle.  Only documents in a pair are moved."""
-    needed = saved(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    moved = texts.join(needed, "doc_id", "left_semi")
-    both = pairs.join(moved.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(moved.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+def _packed(texts: DataFrame) -> DataFrame:
+    """Texts as compressed bytes: they cross the network up to three times."""
+
+    def run(batches):
+        compress = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            data = [compress((t or "").encode()) for t in texts_of(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["doc_id", "packed"])
+
+    return texts.mapInArrow(run, "doc_id long, packed binary")
+
+
+def _verified(pairs: DataFrame, packed: DataFrame, s: Settings) -> DataFrame:
+    """The pairs (a, b) whose texts are similar, compared shingle by shingle."""
+    one, two = (packed.select(F.col("doc_id").alias(x), F.col("packed").alias("text_" + x)) for x in "ab")
 
     def run(batches):
         known: OrderedDict = OrderedDict()
+        unpack = zstandard.ZstdDecompressor().decompress
 
-        def of(text):
-            if text not in known:
-                known[text] = shingles(text, s.words)
+        def of(data):
+            if data not in known:
+                known[data] = shingles(unpack(data).decode(), s.words)
                 if len(known) > 16:
                     known.popitem(last=False)
-            return known[text]
+            return known[data]
 
         for batch in batches:
             good = []
-            for one, two in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = of(one), of(two)
+            for x, y in zip(*(map(of, batch.column(k).to_pylist()) for k in (2, 3))):
                 common = len(x & y)
                 good.append(common > 0 and s.below * common >= s.above * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in batch.columns[:2]], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+
+def _still_apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    for x in "ab":
+        pairs = pairs.join(parts.select(F.col("node").alias(x), F.col("label").alias("of_" + x)), x, "left")
+    return pairs.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def join(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id): the components of the graph of similar documents, one row a document."""
-    texts = narrow(docs, id_col, text_col)
-    posted = saved(_post(texts, _order(texts, s)))
-    postings = posted.where("size(posts) > 0").select("doc_id", "n", F.explode("posts").alias("p"))
-    postings = postings.select("p.kind", "p.key", "p.deal", "n", "doc_id")
-    found = saved(_scan_lists(postings.repartition("key", "deal").sortWithinPartitions("kind", "key", "deal", "n", "doc_id"), s))
-    twins = posted.where("doc_id <> twin").select(F.col("doc_id").alias("a"), F.col("twin").alias("b"))
-    sure = twins.unionByName(found.where("kind > 0").select("a", "b"))
-    compare = found.where("kind = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    compare = saved(compare)
-    links = saved(_verified(compare, texts, s).unionByName(sure))
-    parts = components(links)
+    every = narrow(docs, id_col, text_col)
+    texts = every.where("doc_id is not null")
+    postings = _post(texts, _order(texts, s)).repartition("key", "deal").sortWithinPartitions("kind", "key", "deal", "n", "doc_id")
+    found = saved(_scan_lists(postings, s))
+    twins = found.where("kind = -2 and a <> b").select("a", "b")
+    compare = saved(_ordered(found.where("kind = 0")).groupBy("a", "b").agg(F.count("*").alias("votes")))
+    members = found.where("kind = -1").select("key", F.col("a").alias("doc_id"), F.col("na").alias("n"))
+    needed = compare.select(F.explode(F.array("a", "b")).alias("doc_id")).union(members.select("doc_id")).distinct()
+    packed = saved(_packed(texts).join(needed, "doc_id", "left_semi"))
+    # First each document against the one it shares most posted shingles with; then the pairs that are still apart.
+    likely = compare.groupBy("b").agg(F.max(F.struct("votes", -F.col("a"))).alias("m")).select((-F.col("m.col2")).alias("a"), "b")
+    links = saved(_verified(likely, packed, s).unionByName(twins).unionByName(found.where("kind > 0").select("a", "b")))
+    parts = saved(components(links))
+    rest = _still_apart(compare.join(likely, ["a", "b"], "left_anti"), parts)
+    links = saved(parts.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(_verified(rest, packed, s)))
+    parts = saved(components(links))
     # Long lists: sets that are still apart are compared in full.
-    members = found.where("kind = -1").select("key", F.col("a").alias("doc_id"), F.col("na").alias("n")).distinct()
-    members = members.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    members = members.distinct().join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     members = saved(members)
     mixed = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
     apart = saved(members.join(mixed, "key"))
@@ -310,12 +344,22 @@ def join(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text
         across = apart.join(labels, "key").where("other > label").select("key", "other", F.col("doc_id").alias("a"), F.col("n").alias("na"))
         across = across.join(apart.select("key", F.col("label").alias("other"), F.col("doc_id").alias("b"), F.col("n").alias("nb")), ["key", "other"])
         across = across.where(s.fits(F.least("na", "nb"), F.greatest("na", "nb")))
-        across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(compare, ["a", "b"], "left_anti")
-        links = saved(links.unionByName(_verified(saved(across), texts, s)))
+        across = saved(_ordered(across).distinct().join(compare, ["a", "b"], "left_anti"))
+        links = saved(parts.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(_verified(across, packed, s)))
         parts = components(links)
-    rows = posted.select("doc_id", F.col("n").alias("n_shingles"))
+    rows = found.where("kind = -2").select(F.col("a").alias("doc_id"), F.col("na").alias("n_shingles"))
     rows = rows.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    return rows.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
+    rows = rows.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
+    return rows.unionByName(_without_id(every, s))
+
+
+def _without_id(texts: DataFrame, s: Settings) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            sizes = [len(hashed(t, s.words)) for t in texts_of(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), batch.column(0)], ["doc_id", "n_shingles", "component_id"])
+
+    return texts.where("doc_id is null").mapInArrow(run, "doc_id long, n_shingles long, component_id long")
 
 
 def dedup(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
