@@ -46,7 +46,7 @@ def resilience(series: DataFrame, run: str, order: list[str], value: str = "x")
     w = _by(run, order)
     whole = Window.partitionBy(run).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     x = F.col(value)
-    rows = series.select(run, *order, x.alias("x"), F.row_number().over(w).alias("i"), F.first(x).over(whole).alias("first"), F.last(x).over(whole).alias("last"), F.abs(x - F.lag(x).over(w)).alias("step"))
+    rows = series.select(run, x.alias("x"), F.row_number().over(w).alias("i"), F.first(x).over(whole).alias("first"), F.last(x).over(whole).alias("last"), F.abs(x - F.lag(x).over(w)).alias("step"))
     far = F.abs(F.col("x") - F.col("last")) > F.greatest(F.lit(1e-6), F.abs("last") * 0.05)
     return rows.groupBy(run).agg(
         F.count("*").alias("n"), F.first("first").alias("first_value"), F.first("last").alias("last_value"),
