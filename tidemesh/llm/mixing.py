@@ -44,8 +44,8 @@ def size_of(text: Column) -> Column:
 def quality_weight(text: Column) -> Column:
     """Share of characters that are no markup symbols, at least 0.05; 1 for empty texts."""
     n = F.length(text)
-    share = (n - F.length(F.translate(text, "#*$%&|<>", ""))) / n
-    return F.coalesce(F.greatest(1 - share, F.lit(0.05)), F.lit(1.0))
+    share = F.when(n > 0, (n - F.length(F.translate(text, "#*$%&|<>", ""))) / n)
+    return F.when(share.isNull(), 1.0).otherwise(F.greatest(1 - share, F.lit(0.05)))
 
 
 def _uniform(doc_id: Column, seed: str) -> Column:
