@@ -29,30 +29,35 @@ class TokenTree:
 
     def __init__(self, text: str, vocab: Vocabulary):
         self.vocab = vocab
-        self.pieces: list[list[str]] = [[p] for p in vocab.split(text)]
-        self.size = 1 << max(0, len(self.pieces) - 1).bit_length()
+        self.pieces: list[str] = vocab.split(text)
+        #: The pieces of leaves that an edit has changed.
+        self.changed: dict[int, list[str]] = {}
+        n = len(self.pieces)
+        self.size = 1 << max(0, n - 1).bit_length()
         self.encoded = len(text)
-        leaf = np.zeros((2, self.size), np.int64)
-        leaf[0, : len(self.pieces)] = [len(p[0]) for p in self.pieces]
-        leaf[1, : len(self.pieces)] = [len(vocab.memo[p[0]]) for p in self.pieces]
-        levels = [leaf]
-        while levels[-1].shape[1] > 1:
-            levels.append(levels[-1][:, ::2] + levels[-1][:, 1::2])
         # node k has children 2k and 2k + 1; node 1 is the root
-        self.chars = [0] + [x for level in reversed(levels) for x in level[0].tolist()]
-        self.tokens = [0] + [x for level in reversed(levels) for x in level[1].tolist()]
-        self.pieces += [[] for _ in range(self.size - len(self.pieces))]
+        self.chars, self.tokens = np.zeros((2, 2 * self.size), np.int64)
+        self.chars[self.size : self.size + n] = np.fromiter(map(len, self.pieces), np.int64, n)
+        self.tokens[self.size : self.size + n] = np.fromiter(map(len, map(vocab.memo.__getitem__, self.pieces)), np.int64, n)
+        for tree in (self.chars, self.tokens):
+            width = self.size // 2
+            while width:
+                tree[width : 2 * width] = tree[2 * width : 4 * width : 2] + tree[2 * width + 1 : 4 * width : 2]
+                width //= 2
+
+    def _pieces(self, leaf: int) -> list[str]:
+        return self.changed[leaf] if leaf in self.changed else self.pieces[leaf : leaf + 1]
 
     @property
     def n_chars(self) -> int:
-        return self.chars[1]
+        return int(self.chars[1])
 
     @property
     def n_tokens(self) -> int:
-        return self.tokens[1]
+        return int(self.tokens[1])
 
     def text(self) -> str:
-        return "".join(p for leaf in self.pieces for p in leaf)
+        return "".join(p for leaf in range(self.size) for p in self._pieces(leaf))
 
     def _leaf(self, at: int) -> tuple[int, int]:
         """(leaf with the character, its first character); the last leaf with any for a place at the end."""
@@ -60,15 +65,15 @@ class TokenTree:
         while node < self.size:
             node *= 2
             if at >= begin + self.chars[node] and self.chars[node + 1]:
-                begin += self.chars[node]
+                begin += int(self.chars[node])
                 node += 1
         return node - self.size, begin
 
     def _put(self, leaf: int, pieces: list[str]) -> None:
-        self.pieces[leaf] = pieces
+        self.changed[leaf] = pieces
         node = leaf + self.size
         chars, tokens = sum(map(len, pieces)), sum(len(self.vocab.memo[p]) for p in pieces)
-        more, many = chars - self.chars[node], tokens - self.tokens[node]
+        more, many = chars - int(self.chars[node]), tokens - int(self.tokens[node])
         while node:
             self.chars[node] += more
             self.tokens[node] += many
@@ -81,14 +86,14 @@ class TokenTree:
         back = BEFORE
         while back and first:  # leaves emptied by earlier edits do not count as context
             first -= 1
-            begin -= self.chars[first + self.size]
-            back -= len(self.pieces[first])
+            begin -= int(self.chars[first + self.size])
+            back -= len(self._pieces(first))
             back = max(back, 0)
         last, stop, more = self._leaf(end)[0], 0, 4
         while True:
             # leaves first..last, cut anew with the edit made; `more` leaves of context behind it
             last = min(last + more, self.size - 1)
-            old = [p for leaf in self.pieces[first : last + 1] for p in leaf]
+            old = [p for leaf in range(first, last + 1) for p in self._pieces(leaf)]
             text = "".join(old)
             whole = begin + len(text) >= self.n_chars
             changed = text[: start - begin] + new + text[end - begin :]
@@ -98,7 +103,7 @@ class TokenTree:
                 break
             ends, at = set(), begin
             for k in range(first, last + 1):
-                at += self.chars[k + self.size]
+                at += int(self.chars[k + self.size])
                 ends.add((at - begin + shift, k))
             ends = {place: k for place, k in sorted(ends, reverse=True)}  # of leaves that end at one place the first
             at, met = 0, None
@@ -115,7 +120,7 @@ class TokenTree:
         self.encoded += sum(map(len, cuts))
         self._put(first, cuts)
         for leaf in range(first + 1, last + 1):
-            if self.pieces[leaf]:
+            if self._pieces(leaf):
                 self._put(leaf, [])
 
 
