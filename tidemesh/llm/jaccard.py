@@ -7,7 +7,8 @@ least t share at least o(a, b) = ceil(t / (1 + t) * (a + b)) of them, so:
   light sets with a common subset of size o >= o(a, b) are linked, with nothing left to verify;
 * heavy sets, and light ones that a heavy one can match, post a prefix of n - ceil(t n) + 1 shingles to inverted
   lists, rarest first.  Two linked sets share a posted shingle, whatever the order, so the order only saves work.
-  Its document counts come from a counter sketch of all texts, of fixed size;
+  Its document counts come from a counter sketch of all texts, of fixed size.  A pair is only made where it can be
+  its first common shingle: at places i and j of the order, both a - i and b - j must still reach o(a, b);
 * x has the lowest cost: subset rows below it against posted rows and expected comparisons above it, from the
   counts of set sizes and the mean list length of all texts.
 
@@ -47,7 +48,7 @@ class Settings:
     #: The largest size that the cost may choose as light.
     most_light: int = 14
     #: Counters of the sketch: 2**bits.
-    bits: int = 20
+    bits: int = 21
     #: A list is compared in full up to this many sets; longer ones against the first and the previous set.
     full: int = 6
     #: A posted shingle expected in more documents than this is dealt over several tasks.
@@ -57,13 +58,16 @@ class Settings:
         """Smallest common size of two sets with `both` elements together."""
         return -(-self.above * both // (self.above + self.below))
 
+    def first_common(self, m, i, n, j):
+        """Whether sets of m and n elements can be similar if their first common element is at places i and j of the
+        order; for numbers and columns."""
+        least = self.above * (m + n)
+        both = self.above + self.below
+        return (both * (m - i) >= least) & (both * (n - j) >= least)
+
     def prefix(self, n: int) -> int:
         return n - -(-self.above * n // self.below) + 1
 
-    def fits(self, small, large):
-        """Sizes that can be similar at all; for numbers and arrays."""
-        return self.below * small >= self.above * large
-
     def subset_sizes(self, n: int, light: int) -> range:
         least = -(-self.above * n // self.below)
         most = min(light, self.below * n // self.above)
@@ -189,9 +193,10 @@ _DOCUMENT = -2
 
 
 def _post(docs: DataFrame, order: Order) -> DataFrame:
-    """(kind, key, deal, n, doc_id): what each document posts.  Of equal sets in one task only the first posts."""
+    """(kind, key, deal, size, doc_id): what each document posts.  Of equal sets in one task only the first posts.
+    size: the set's size << 32, and the shingle's place in the order; deal: 0, or a part of a list that is dealt out."""
     sent = docs.sparkSession.sparkContext.broadcast(order)
-    item = pa.struct([("key", pa.int64()), ("kind", pa.int32()), ("deal", pa.int32())])
+    item = pa.struct([("key", pa.int64()), ("kind", pa.int32()), ("deal", pa.int32()), ("size", pa.int64())])
 
     def run(batches):
         order = sent.value
@@ -200,71 +205,76 @@ def _post(docs: DataFrame, order: Order) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sizes, lengths, keys, kinds, deals = [], [0], [], [], []
+                lengths, keys, kinds, deals, sizes = [0], [], [], [], []
                 for doc, text in zip(part.column(0).to_pylist(), texts_of(part)):
                     hashes = hashed(text, s.words)
-                    sizes.append(len(hashes))
                     twin = seen.setdefault(xxhash.xxh3_128_digest(hashes.tobytes()), doc) if len(hashes) else doc
                     posts = [(np.array([twin], np.int64), _DOCUMENT), *(_posted(hashes, doc, order) if len(hashes) and twin == doc else [])]
                     spot = np.uint64(xxhash.xxh3_64_intdigest(str(doc)))
                     for post, kind in posts:
                         expected = order.count[(post >> np.uint64(64 - s.bits)).astype(np.int64)] if kind == 0 else np.zeros(len(post), np.int64)
                         keys.append(post.view(np.int64)), kinds.append(np.full(len(post), kind, np.int32))
-                        deals.append((spot % (1 + expected // s.rows_a_task).astype(np.uint64)).astype(np.int32))
+                        parts = (1 + expected // s.rows_a_task).astype(np.uint64)
+                        deals.append(np.where(parts > 1, 1 + spot % parts, 0).astype(np.int32))
+                        sizes.append((len(hashes) << 32) + (np.arange(len(post)) if kind == 0 else np.zeros(len(post), np.int64)))
                     lengths.append(lengths[-1] + sum(len(p) for p, _ in posts))
-                flat = [np.concatenate(x) if x else np.empty(0, t) for x, t in ((keys, np.int64), (kinds, np.int32), (deals, np.int32))]
+                flat = [np.concatenate(x) if x else np.empty(0, t) for x, t in ((keys, np.int64), (kinds, np.int32), (deals, np.int32), (sizes, np.int64))]
                 structs = pa.StructArray.from_arrays([pa.array(x) for x in flat], fields=list(item))
                 posts = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), structs)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), posts], ["doc_id", "n", "posts"])
+                yield pa.RecordBatch.from_arrays([part.column(0), posts], ["doc_id", "posts"])
 
-    rows = docs.mapInArrow(run, "doc_id long, n long, posts array<struct<key:long,kind:int,deal:int>>")
-    return rows.select("doc_id", "n", F.explode("posts").alias("p")).select("p.kind", "p.key", "p.deal", "n", "doc_id")
+    rows = docs.mapInArrow(run, "doc_id long, posts array<struct<key:long,kind:int,deal:int,size:long>>")
+    return rows.select("doc_id", F.explode("posts").alias("p")).select("p.kind", "p.key", "p.deal", "p.size", "doc_id")
 
 
-_PAIRS = "key long, a long, b long, na long, nb long, kind int"
+_PAIRS = "key long, a long, b long, size long, kind int"
 
 
 def _scan_lists(postings: DataFrame, s: Settings) -> DataFrame:
-    """From postings sorted by (kind, key, deal, n, doc_id): links of kind > 0, pairs to compare of kind 0, the members
+    """From postings sorted by (kind, key, deal, size, doc_id): links of kind > 0, pairs to compare of kind 0, the members
     of lists too long to be compared in full (kind -1) and each document with its twin (kind -2).  A task remembers
     one list's first and latest sets."""
 
     def run(batches):
-        now, members = None, []
+        now, members, names = None, [], ["key", "a", "b", "size", "kind"]
         for batch in batches:
             out: list[tuple] = []
             table = [batch.column(k).to_numpy() for k in range(5)]
             told = table[0] == _DOCUMENT
             if told.any():
-                key, n, doc = (table[k][told] for k in (1, 3, 4))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.zeros_like(key), doc, key, n, n, table[0][told])], ["key", "a", "b", "na", "nb", "kind"])
+                key, size, doc = (table[k][told] for k in (1, 3, 4))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.zeros_like(key), doc, key, size, table[0][told])], names)
                 table = [c[~told] for c in table]
             same = np.ones(len(table[0]), bool)
             if len(same) > 1:
                 # rows alone in their list are passed over at once
                 joined = (table[0][1:] == table[0][:-1]) & (table[1][1:] == table[1][:-1]) & (table[2][1:] == table[2][:-1])
                 same[1:-1] = joined[:-1] | joined[1:]
-            for kind, key, deal, n, doc in zip(*(c[same].tolist() for c in table)):
+            for kind, key, deal, size, doc in zip(*(c[same].tolist() for c in table)):
                 if (kind, key, deal) != now:
                     now, members, count = (kind, key, deal), [], 0
                 count += 1
                 if kind:
-                    if members and (s.above + s.below) * kind >= s.above * (members[0][0] + n) and doc != members[0][1]:
-                        out.append((key, members[0][1], doc, members[0][0], n, kind))
-                    members = members or [(n, doc)]
+                    if members and (s.above + s.below) * kind >= s.above * ((members[0][0] >> 32) + (size >> 32)) and doc != members[0][1]:
+                        out.append((0, members[0][1], doc, 0, kind))
+                    members = members or [(size, doc)]
                     continue
-                if count <= s.full:
-                    out += [(0, d, doc, 0, 0, 0) for m, d in members if d != doc and s.fits(m, n)]
-                    members.append((n, doc))
+                n, j = size >> 32, size & 0xFFFFFFFF
+                short = count <= s.full and not deal  # a dealt list is long, whatever this part of it
+                for m, d in members if short else {*members[:1], *members[-1:]}:
+                    if d != doc and s.first_common(m >> 32, m & 0xFFFFFFFF, n, j):
+                        out.append((0, d, doc, 0, 0))
+                if not short:
+                    if count == s.full + 1 and not deal:
+                        out += [(key, d, d, m, -1) for m, d in members]
+                    out.append((key, doc, doc, size, -1))
+                if short or not members:
+                    members.append((size, doc))
                 else:
-                    if count == s.full + 1:
-                        out += [(key, d, d, m, m, -1) for m, d in members]
-                    out += [(0, d, doc, 0, 0, 0) for m, d in {members[0], members[-1]} if d != doc and s.fits(m, n)]
-                    out.append((key, doc, doc, n, n, -1))
-                    members[-1] = (n, doc)
+                    members[1:] = [(size, doc)]
             if out:
-                columns = [pa.array(c, pa.int32() if k == 5 else pa.int64()) for k, c in enumerate(zip(*out))]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "a", "b", "na", "nb", "kind"])
+                columns = [pa.array(c, pa.int32() if k == 4 else pa.int64()) for k, c in enumerate(zip(*out))]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return postings.mapInArrow(run, _PAIRS)
 
@@ -320,11 +330,11 @@ def join(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text
     """(doc_id, n_shingles, component_id): the components of the graph of similar documents, one row a document."""
     every = narrow(docs, id_col, text_col)
     texts = every.where("doc_id is not null")
-    postings = _post(texts, _order(texts, s)).repartition("key", "deal").sortWithinPartitions("kind", "key", "deal", "n", "doc_id")
+    postings = _post(texts, _order(texts, s)).repartition("key", "deal").sortWithinPartitions("kind", "key", "deal", "size", "doc_id")
     found = saved(_scan_lists(postings, s))
     twins = found.where("kind = -2 and a <> b").select("a", "b")
     compare = saved(_ordered(found.where("kind = 0")).groupBy("a", "b").agg(F.count("*").alias("votes")))
-    members = found.where("kind = -1").select("key", F.col("a").alias("doc_id"), F.col("na").alias("n"))
+    members = found.where("kind = -1").select("key", F.col("a").alias("doc_id"), F.shiftright("size", 32).alias("n"), F.col("size").bitwiseAND(0xFFFFFFFF).alias("at"))
     needed = compare.select(F.explode(F.array("a", "b")).alias("doc_id")).union(members.select("doc_id")).distinct()
     packed = saved(_packed(texts).join(needed, "doc_id", "left_semi"))
     # First each document against the one it shares most posted shingles with; then the pairs that are still apart.
@@ -341,13 +351,13 @@ def join(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text
     apart = saved(members.join(mixed, "key"))
     if not apart.isEmpty():
         labels = apart.select("key", F.col("label").alias("other")).distinct()
-        across = apart.join(labels, "key").where("other > label").select("key", "other", F.col("doc_id").alias("a"), F.col("n").alias("na"))
-        across = across.join(apart.select("key", F.col("label").alias("other"), F.col("doc_id").alias("b"), F.col("n").alias("nb")), ["key", "other"])
-        across = across.where(s.fits(F.least("na", "nb"), F.greatest("na", "nb")))
+        across = apart.join(labels, "key").where("other > label").select("key", "other", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("at").alias("i"))
+        across = across.join(apart.select("key", F.col("label").alias("other"), F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("j")), ["key", "other"])
+        across = across.where(s.first_common(F.col("na"), F.col("i"), F.col("nb"), F.col("j")))
         across = saved(_ordered(across).distinct().join(compare, ["a", "b"], "left_anti"))
         links = saved(parts.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(_verified(across, packed, s)))
         parts = components(links)
-    rows = found.where("kind = -2").select(F.col("a").alias("doc_id"), F.col("na").alias("n_shingles"))
+    rows = found.where("kind = -2").select(F.col("a").alias("doc_id"), F.shiftright("size", 32).alias("n_shingles"))
     rows = rows.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     rows = rows.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
     return rows.unionByName(_without_id(every, s))
