@@ -13,9 +13,10 @@ least t share at least o(a, b) = ceil(t / (1 + t) * (a + b)) of them, so:
   counts of set sizes and the mean list length of all texts.
 
 Lists need not be expanded into pairs.  In a list sorted by size, each set is compared with the first and with
-those just before it; the texts of compared pairs are then verified exactly, on the words themselves.  For lists
-longer than that, documents that are still in different components are compared in full, so no link between
-components is lost.  Identical sets are joined to one of them before any posting, inside each task.
+those just before it; the texts of compared pairs are then verified exactly, on the words themselves.  In lists
+longer than that, documents that are still in different components are compared with a few pivots of the list, and
+those that are then still apart in full, so no link between components is lost.  Before any text is moved, pairs are held against a parity bitmap of each set: two bitmaps differ
+in no more bits than the sets differ in elements, so too many differing bits exclude a link.  Identical sets are joined to one of them before any posting, inside each task.
 
 Defined results: null and empty texts, and texts without words, have no shingles and no links; fewer words than a
 shingle make one shingle of them all; rows with the same id are one node of the graph and each keeps its own row and
@@ -33,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, narrow, saved, texts_of
@@ -53,6 +54,9 @@ class Settings:
     full: int = 6
     #: A posted shingle expected in more documents than this is dealt over several tasks.
     rows_a_task: int = 4096
+    #: Rounds in which long lists are compared with pivots only, and the pivots of a list.
+    rounds: int = 2
+    pivots: int = 3
 
     def overlap(self, both: int) -> int:
         """Smallest common size of two sets with `both` elements together."""
@@ -65,6 +69,12 @@ class Settings:
         both = self.above + self.below
         return (both * (m - i) >= least) & (both * (n - j) >= least)
 
+    def may_link(self, a: str, b: str):
+        """Whether two documents' sizes and bitmaps (columns n_a, sig_a, n_b, sig_b) leave a link possible."""
+        differ = sum((F.bit_count(F.col("sig_" + a)[i].bitwiseXOR(F.col("sig_" + b)[i])) for i in range(_BITS // 64)), F.lit(0))
+        near = differ * (self.above + self.below) <= (F.col("n_" + a) + F.col("n_" + b)) * (self.below - self.above)
+        return F.coalesce(near, F.lit(True))
+
     def prefix(self, n: int) -> int:
         return n - -(-self.above * n // self.below) + 1
 
@@ -106,6 +116,15 @@ def hashed(text: str | None, k: int = 5) -> np.ndarray:
 
 _BLOCKS = 64
 
+#: Bits of a set's bitmap.
+_BITS = 512
+
+
+def bitmap(hashes: np.ndarray) -> bytes:
+    """Bit i says whether an odd number of the set's hashes fall on i."""
+    falls = np.bincount((hashes % np.uint64(_BITS)).astype(np.int64), minlength=_BITS)
+    return np.packbits(falls & 1).tobytes()
+
 
 def _sketch(docs: DataFrame, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """(counter of each slot, number of sets of each size up to most_light and of all): fixed sizes, whatever the input."""
@@ -193,10 +212,11 @@ _DOCUMENT = -2
 
 
 def _post(docs: DataFrame, order: Order) -> DataFrame:
-    """(kind, key, deal, size, doc_id): what each document posts.  Of equal sets in one task only the first posts.
-    size: the set's size << 32, and the shingle's place in the order; deal: 0, or a part of a list that is dealt out."""
+    """(kind, key, deal, size, doc_id, sig): what each document posts.  Of equal sets in one task only the first posts.
+    size: the set's size << 32, and the shingle's place in the order; deal: 0, or a part of a list that is dealt out;
+    sig: the set's bitmap, in the row that tells its size."""
     sent = docs.sparkSession.sparkContext.broadcast(order)
-    item = pa.struct([("key", pa.int64()), ("kind", pa.int32()), ("deal", pa.int32()), ("size", pa.int64())])
+    item = pa.struct([("key", pa.int64()), ("kind", pa.int32()), ("deal", pa.int32()), ("size", pa.int64()), ("sig", pa.binary())])
 
     def run(batches):
         order = sent.value
@@ -205,7 +225,7 @@ def _post(docs: DataFrame, order: Order) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                lengths, keys, kinds, deals, sizes = [0], [], [], [], []
+                lengths, keys, kinds, deals, sizes, bitmaps, ends = [0], [], [], [], [], [], [np.zeros(1, np.int32)]
                 for doc, text in zip(part.column(0).to_pylist(), texts_of(part)):
                     hashes = hashed(text, s.words)
                     twin = seen.setdefault(xxhash.xxh3_128_digest(hashes.tobytes()), doc) if len(hashes) else doc
@@ -217,17 +237,20 @@ def _post(docs: DataFrame, order: Order) -> DataFrame:
                         parts = (1 + expected // s.rows_a_task).astype(np.uint64)
                         deals.append(np.where(parts > 1, 1 + spot % parts, 0).astype(np.int32))
                         sizes.append((len(hashes) << 32) + (np.arange(len(post)) if kind == 0 else np.zeros(len(post), np.int64)))
+                    bitmaps.append(bitmap(hashes))
+                    ends.append(np.full(sum(len(p) for p, _ in posts), len(bitmaps) * _BITS // 8, np.int32))
                     lengths.append(lengths[-1] + sum(len(p) for p, _ in posts))
                 flat = [np.concatenate(x) if x else np.empty(0, t) for x, t in ((keys, np.int64), (kinds, np.int32), (deals, np.int32), (sizes, np.int64))]
-                structs = pa.StructArray.from_arrays([pa.array(x) for x in flat], fields=list(item))
+                sigs = pa.BinaryArray.from_buffers(pa.binary(), lengths[-1], [None, pa.py_buffer(np.concatenate(ends)), pa.py_buffer(b"".join(bitmaps))])
+                structs = pa.StructArray.from_arrays([*(pa.array(x) for x in flat), sigs], fields=list(item))
                 posts = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), structs)
                 yield pa.RecordBatch.from_arrays([part.column(0), posts], ["doc_id", "posts"])
 
-    rows = docs.mapInArrow(run, "doc_id long, posts array<struct<key:long,kind:int,deal:int,size:long>>")
-    return rows.select("doc_id", F.explode("posts").alias("p")).select("p.kind", "p.key", "p.deal", "p.size", "doc_id")
+    rows = docs.mapInArrow(run, "doc_id long, posts array<struct<key:long,kind:int,deal:int,size:long,sig:binary>>")
+    return rows.select("doc_id", F.explode("posts").alias("p")).select("p.kind", "p.key", "p.deal", "p.size", "doc_id", "p.sig")
 
 
-_PAIRS = "key long, a long, b long, size long, kind int"
+_PAIRS = "key long, a long, b long, size long, kind int, sig array<long>"
 
 
 def _scan_lists(postings: DataFrame, s: Settings) -> DataFrame:
@@ -236,14 +259,16 @@ def _scan_lists(postings: DataFrame, s: Settings) -> DataFrame:
     one list's first and latest sets."""
 
     def run(batches):
-        now, members, names = None, [], ["key", "a", "b", "size", "kind"]
+        now, members, names = None, [], ["key", "a", "b", "size", "kind", "sig"]
         for batch in batches:
             out: list[tuple] = []
             table = [batch.column(k).to_numpy() for k in range(5)]
             told = table[0] == _DOCUMENT
             if told.any():
                 key, size, doc = (table[k][told] for k in (1, 3, 4))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.zeros_like(key), doc, key, size, table[0][told])], names)
+                sigs = np.frombuffer(b"".join(batch.column(5).filter(pa.array(told)).to_pylist()), np.int64)
+                sigs = pa.ListArray.from_arrays(pa.array(np.arange(len(key) + 1, dtype=np.int32) * (_BITS // 64)), pa.array(sigs))
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (np.zeros_like(key), doc, key, size, table[0][told])), sigs], names)
                 table = [c[~told] for c in table]
             same = np.ones(len(table[0]), bool)
             if len(same) > 1:
@@ -274,7 +299,7 @@ def _scan_lists(postings: DataFrame, s: Settings) -> DataFrame:
                     members[1:] = [(size, doc)]
             if out:
                 columns = [pa.array(c, pa.int32() if k == 4 else pa.int64()) for k, c in enumerate(zip(*out))]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(out), pa.list_(pa.int64()))], names)
 
     return postings.mapInArrow(run, _PAIRS)
 
@@ -322,6 +347,21 @@ def _still_apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
 
 
+def _sets(found: DataFrame) -> DataFrame:
+    """(doc_id, n, sig) of each document; no bitmap where rows of one id have different sets."""
+    rows = found.where("kind = -2").select(F.col("a").alias("doc_id"), F.shiftright("size", 32).alias("n"), "sig")
+    one = F.min("sig") == F.max("sig")
+    return rows.groupBy("doc_id").agg(F.max("n").alias("n"), F.when(one, F.min("sig")).alias("sig"))
+
+
+def _possible(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """The pairs whose sizes and bitmaps leave a link possible."""
+    columns = pairs.columns
+    for x in "ab":
+        pairs = pairs.join(sets.select(F.col("doc_id").alias(x), F.col("n").alias("n_" + x), F.col("sig").alias("sig_" + x)), x)
+    return pairs.where(s.may_link("a", "b")).select(columns)
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
@@ -333,36 +373,58 @@ def join(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text
     postings = _post(texts, _order(texts, s)).repartition("key", "deal").sortWithinPartitions("kind", "key", "deal", "size", "doc_id")
     found = saved(_scan_lists(postings, s))
     twins = found.where("kind = -2 and a <> b").select("a", "b")
-    compare = saved(_ordered(found.where("kind = 0")).groupBy("a", "b").agg(F.count("*").alias("votes")))
-    members = found.where("kind = -1").select("key", F.col("a").alias("doc_id"), F.shiftright("size", 32).alias("n"), F.col("size").bitwiseAND(0xFFFFFFFF).alias("at"))
+    sets = saved(_sets(found))
+    compare = _ordered(found.where("kind = 0")).groupBy("a", "b").agg(F.count("*").alias("votes"))
+    compare = saved(_possible(compare, sets, s))
+    members = found.where("kind = -1").select("key", F.col("a").alias("doc_id"), F.col("size").bitwiseAND(0xFFFFFFFF).alias("at"))
     needed = compare.select(F.explode(F.array("a", "b")).alias("doc_id")).union(members.select("doc_id")).distinct()
     packed = saved(_packed(texts).join(needed, "doc_id", "left_semi"))
     # First each document against the one it shares most posted shingles with; then the pairs that are still apart.
     likely = compare.groupBy("b").agg(F.max(F.struct("votes", -F.col("a"))).alias("m")).select((-F.col("m.col2")).alias("a"), "b")
+    likely = saved(likely)
     links = saved(_verified(likely, packed, s).unionByName(twins).unionByName(found.where("kind > 0").select("a", "b")))
     parts = saved(components(links))
-    rest = _still_apart(compare.join(likely, ["a", "b"], "left_anti"), parts)
-    links = saved(parts.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(_verified(rest, packed, s)))
-    parts = saved(components(links))
-    # Long lists: sets that are still apart are compared in full.
-    members = members.distinct().join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    members = saved(members)
-    mixed = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    apart = saved(members.join(mixed, "key"))
-    if not apart.isEmpty():
-        labels = apart.select("key", F.col("label").alias("other")).distinct()
-        across = apart.join(labels, "key").where("other > label").select("key", "other", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("at").alias("i"))
-        across = across.join(apart.select("key", F.col("label").alias("other"), F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("j")), ["key", "other"])
-        across = across.where(s.first_common(F.col("na"), F.col("i"), F.col("nb"), F.col("j")))
-        across = saved(_ordered(across).distinct().join(compare, ["a", "b"], "left_anti"))
-        links = saved(parts.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(_verified(across, packed, s)))
-        parts = components(links)
+    rest = saved(_still_apart(compare.join(likely, ["a", "b"], "left_anti"), parts))
+    parts = _joined(parts, _verified(rest, packed, s))
+    # Long lists: sets that are still apart are compared with pivots, then in full.
+    members = members.distinct()
+    for step in range(s.rounds + 1):
+        apart = _mixed(members, parts)
+        if apart.isEmpty():
+            break
+        pairs = _across(apart.join(sets, "doc_id"), s, None if step == s.rounds else step)
+        pairs = saved(_ordered(pairs).distinct().join(compare, ["a", "b"], "left_anti"))
+        parts = _joined(parts, _verified(pairs, packed, s))
+        members = apart.drop("label")
     rows = found.where("kind = -2").select(F.col("a").alias("doc_id"), F.shiftright("size", 32).alias("n_shingles"))
     rows = rows.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     rows = rows.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
     return rows.unionByName(_without_id(every, s))
 
 
+def _joined(parts: DataFrame, links: DataFrame) -> DataFrame:
+    return saved(components(saved(parts.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(links))))
+
+
+def _mixed(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """The members of lists that hold several components, with their labels."""
+    members = members.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    members = saved(members)
+    mixed = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    return saved(members.join(mixed, "key"))
+
+
+def _across(apart: DataFrame, s: Settings, step: int | None) -> DataFrame:
+    """Pairs (a, b) of lists that may link two components: of each member and the list's pivots of a step, or all."""
+    of = lambda rows, x, at: rows.select("key", F.col("label").alias("label_" + x), F.col("doc_id").alias(x), F.col("n").alias("n_" + x), F.col("at").alias(at), F.col("sig").alias("sig_" + x))
+    other, differ = apart, F.col("label_a") < F.col("label_b")
+    if step is not None:
+        rank = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("doc_id", F.lit(step)), "doc_id"))
+        other, differ = apart.withColumn("rank", rank).where(F.col("rank") <= s.pivots), F.col("label_a") != F.col("label_b")
+    pairs = of(apart, "a", "i").join(of(other, "b", "j"), "key").where(differ)
+    return pairs.where(s.first_common(F.col("n_a"), F.col("i"), F.col("n_b"), F.col("j")) & s.may_link("a", "b")).select("a", "b")
+
+
 def _without_id(texts: DataFrame, s: Settings) -> DataFrame:
     def run(batches):
         for batch in batches:
