@@ -1,8 +1,9 @@
 """Closed-form values on small graphs and series."""
 
 from pyspark.sql import functions as F
-from tidemesh.operators import propagation, retrieval, series, topology
-from tidemesh.sources import graphs
+from tidemesh.operators import planning, propagation, retrieval, series, similarity, topology
+from tidemesh.sources import graphs, sinks
+from tidemesh.streaming import activity
 
 
 def pairs(spark, rows):
@@ -53,3 +54,76 @@ def test_mapping_keeps_the_first_kind_and_skips_null_ends(spark):
     nodes, edges = graphs.mapped(rows, {"actor": "person", "asset": "asset"}, [("actor", "asset", "own", 1.0), ("asset", "peer", "dep", -1.0)], "ts", ["n"])
     assert {(r.id, r.kind) for r in nodes.collect()} == {("a", "person"), ("x", "asset"), ("q", "entity")}
     assert sorted((r.src, r.dst, r.weight) for r in edges.collect()) == [("a", "x", 1.0), ("x", "q", 0.0), ("x", "x", 1.0)]
+
+
+def runs(spark, values):
+    return spark.createDataFrame([("r", i, float(x)) for i, x in enumerate(values)], "run string, i int, x double")
+
+
+def test_slowing_of_flat_short_and_straight_series(spark):
+    assert series.slowing(runs(spark, [1, 2]), "run", ["i"]).first().slowing == 0
+    assert series.slowing(runs(spark, [1, 1, 1, 1]), "run", ["i"]).first().autocorrelation == 0
+    assert abs(series.slowing(runs(spark, [1, 2, 3, 4]), "run", ["i"]).first().autocorrelation - 1) < 1e-9
+
+
+def test_triggers_basin_and_alignment(spark):
+    rows = [("r", 1, 0.9, 0.2, 1.5, "stable_routine"), ("r", 2, 0.5, 0.6, 3.0, "adaptive"), ("r", 3, 0.5, 0.65, 3.1, "high_flux")]
+    states = spark.createDataFrame(rows, "run string, i int, regularity double, speed double, density double, label string")
+    got = series.triggers(states, "run", ["i"]).orderBy("i").collect()
+    assert [(r.was, r.label, r.reasons) for r in got] == [("stable_routine", "adaptive", "speed_jump,regularity_drop,density_jump"), ("adaptive", "high_flux", "state_boundary_crossed")]
+    assert got[0].confidence == 1.0
+    b = series.basin(states, "run", ["i"], ["regularity", "speed", "density"]).first()
+    assert b.radius == 0 and abs(b.occupancy - 1 / 3) < 1e-12
+    assert series.alignment(states, "run", ["i"], {"speed": 1.0, "regularity": 1.0}).first().aligned == 0.5
+
+
+def test_components_of_a_long_chain_and_a_pair(spark):
+    chain = pairs(spark, [(f"n{i:02}", f"n{i + 1:02}", 1) for i in range(30)] + [("x", "y", 1)])
+    got = {r.node: r.component for r in topology.components(graphs.both_ways(chain)).collect()}
+    assert {v for k, v in got.items() if k[0] == "n"} == {"n00"} and got["x"] == got["y"] == "x" and len(got) == 33
+    assert topology.components(graphs.both_ways(pairs(spark, []))).count() == 0
+
+
+def test_simplex_pressure_of_equal_nodes(spark):
+    k4 = pairs(spark, [(x, y, 1) for x in "abcd" for y in "abcd" if x < y])
+    three = topology.triangles(k4)
+    impact = spark.createDataFrame([(x, 2.0) for x in "abcd"], "node string, impact double")
+    assert {r.pressure for r in topology.simplex_pressure(impact, three, topology.four_cliques(three, k4)).collect()} == {1.0}
+
+
+def test_nearest_vectors_with_null_and_zero(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [0.9, 0.1, 0.0]), (3, [0.0, 1.0, 0.0]), (4, None), (5, [0.0, 0.0, 0.0])], "id int, v array<double>")
+    got = similarity.cosine_topk(rows.where("id = 1"), rows, "id", "v", 3).orderBy("rank").collect()
+    assert [r.item for r in got] == [2, 3, 5] and got[2].score == 0
+
+
+def test_margin_and_cross_scale(spark):
+    values = spark.createDataFrame([("a", 3.0), ("a", 3.0), ("b", 1.0), ("z", 0.0)], "cluster string, value double")
+    assert abs(similarity.margin(values).first().margin - 0.5) < 1e-9
+    assert {r.cluster: r.score for r in similarity.cross_scale(values).collect()} == {"a": 1.0, "b": 1.0, "z": 1.0}
+    assert similarity.margin(values.where("cluster = 'a'")).first().margin > 0.99
+
+
+def test_edges_between_disagreeing_nodes_are_dropped_first(spark):
+    edges = pairs(spark, [("a", "b", 0.8), ("b", "c", 0.8), ("a", "c", 0.8)])
+    impact = spark.createDataFrame([("a", 1.0), ("b", -1.0), ("c", 0.9)], "node string, impact double")
+    kept = [(r.u, r.v) for r in planning.drop_scores(edges, impact, 0.3).orderBy("score").collect()]
+    assert kept[-1] == ("a", "c")
+    assert planning.drops(edges, impact, 0.0, 1.0).count() == 3
+
+
+def test_windows_of_a_stream_are_those_of_the_table(spark, tmp_path):
+    rows = spark.createDataFrame([("u", "2024-01-01 10:00:00"), ("u", "2024-01-01 11:00:00"), ("u", "2024-01-02 10:00:00"), ("w", None)], "who string, t string").withColumn("t", F.col("t").cast("timestamp"))
+    rows.write.parquet(f"{tmp_path}/in")
+    stream = activity.windowed(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), "who", "t", late="1 hour")
+    q = stream.writeStream.format("memory").queryName("windowed_rows").outputMode("complete").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(spark.table("windowed_rows").collect()) == sorted(activity.windowed(rows, "who", "t").collect())
+
+
+def test_reports(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 0.5), ("b", None)], "name string, value double")
+    sinks.csv_report(rows, f"{tmp_path}/csv")
+    sinks.json_trace(rows, f"{tmp_path}/json")
+    assert {(r.name, r.value) for r in spark.read.option("header", True).csv(f"{tmp_path}/csv").collect()} >= {("a", "0.500000")}
+    assert {r.name for r in spark.read.json(f"{tmp_path}/json").collect()} == {"a", "b"}

@@ -76,3 +76,57 @@ def phase(series: DataFrame, run: str, order: list[str]) -> DataFrame:
     rows = series.select(run, *order, (0.45 * normal("speed") + 0.35 * normal("dist") + 0.20 * normal("tension")).alias("order_parameter"))
     w = _by(run, order)
     return rows.withColumns({"regime": regime(F.col("order_parameter")), "change": F.col("order_parameter") - F.lag("order_parameter").over(w), "rolling": F.var_pop("order_parameter").over(w.rowsBetween(-2, 0))})
+
+
+def slowing(series: DataFrame, run: str, order: list[str], value: str = "x") -> DataFrame:
+    """(n, autocorrelation, slowing): lag-1 correlation mapped to 0..1 (0 where it has none), and its mix with the rise
+    of the rolling variance of three steps; 0 for fewer than three steps."""
+    w = _by(run, order)
+    rows = series.select(run, F.col(value).alias("x"), F.lag(value).over(w).alias("y"), F.row_number().over(w).alias("i"), F.var_pop(value).over(w.rowsBetween(-2, 0)).alias("rolling"))
+    late = F.when(F.col("i") >= 3, F.col("i"))
+    agg = rows.groupBy(run).agg(
+        F.count("*").alias("n"), F.covar_pop("x", "y").alias("cov"), F.var_pop(F.when(F.col("y").isNotNull(), F.col("x"))).alias("vx"), F.var_pop("y").alias("vy"),
+        F.min_by("rolling", late).alias("first"), F.max_by("rolling", late).alias("last"),
+    )
+    spread = F.sqrt(F.col("vx") * F.col("vy"))
+    flat = spread * (F.col("n") - 1) <= 1e-9
+    auto = F.when((F.col("n") < 3) | flat, 0.0).otherwise((F.try_divide("cov", spread) + 1) / 2)
+    trend = F.when(F.col("n") == 3, F.col("last")).otherwise(F.greatest(F.lit(0.0), F.col("last") - F.col("first")))
+    mixed = F.least(F.lit(1.0), 0.65 * auto + 0.35 * F.least(F.lit(1.0), 4 * trend))
+    return agg.select(run, "n", auto.alias("autocorrelation"), F.when(F.col("n") < 3, 0.0).otherwise(mixed).alias("slowing"))
+
+
+def triggers(states: DataFrame, run: str, order: list[str]) -> DataFrame:
+    """One row at each change of `label`: the reasons among speed, regularity and density, and a confidence from 0 to 1."""
+    w = _by(run, order)
+    up = lambda c: F.col(c) - F.lag(c).over(w)
+    rows = states.select(run, *order, "label", F.lag("label").over(w).alias("was"), up("speed").alias("speed"), (-up("regularity")).alias("drop"), up("density").alias("density"))
+    reasons = F.array_compact(F.array(F.when(F.col("speed") > 0.15, "speed_jump"), F.when(F.col("drop") > 0.15, "regularity_drop"), F.when(F.col("density") > 0.5, "density_jump")))
+    rise = lambda c: F.greatest(F.lit(0.0), F.col(c))
+    confidence = F.least(F.lit(1.0), 1.8 * rise("speed") + 1.6 * rise("drop") + 0.6 * rise("density"))
+    text = F.when(F.size(reasons) == 0, "state_boundary_crossed").otherwise(F.array_join(reasons, ","))
+    return rows.where("label <> was").select(run, *order, "was", "label", text.alias("reasons"), confidence.alias("confidence"))
+
+
+def basin(states: DataFrame, run: str, order: list[str], features: list[str]) -> DataFrame:
+    """(radius, occupancy): mean plus deviation of the distances of the dominant label's points to their centre, and the
+    share of all points within it (to 1e-9)."""
+    main = dominant(states, run, order).select(run, F.col("label").alias("main"))
+    points = states.select(run, "label", *features).join(main, run)
+    inside = F.col("label") == F.col("main")
+    centre = points.groupBy(run).agg(*[F.avg(F.when(inside, F.col(f))).alias("c_" + f) for f in features])
+    far = points.join(centre, run).withColumn("d", F.sqrt(sum((F.pow(F.col(f) - F.col("c_" + f), 2) for f in features), F.lit(0.0))))
+    near = F.when(inside, F.col("d"))
+    radius = far.groupBy(run).agg((F.avg(near) + F.stddev_pop(near)).alias("radius"))
+    return far.join(radius, run).groupBy(run).agg(F.first("radius").alias("radius"), F.avg((F.col("d") <= F.col("radius") + 1e-9).cast("double")).alias("occupancy"))
+
+
+def alignment(states: DataFrame, run: str, order: list[str], shock: dict[str, float], lag: int = 1) -> DataFrame:
+    """Share of the shock's weight whose feature moved its way between step `lag` and the last one."""
+    whole = Window.partitionBy(run)
+    rows = states.select(run, *shock, F.row_number().over(_by(run, order)).alias("i"), F.count("*").over(whole).alias("n"))
+    start = F.col("i") == F.least(F.col("n"), F.lit(lag + 1))
+    ends = rows.groupBy(run).agg(*[(F.max(F.when(F.col("i") == F.col("n"), F.col(f))) - F.max(F.when(start, F.col(f)))).alias(f) for f in shock])
+    used = {f: s for f, s in shock.items() if abs(s) >= 1e-9}
+    hit = sum((F.when(F.col(f) * s > 0, abs(s)).otherwise(0.0) for f, s in used.items()), F.lit(0.0))
+    return ends.select(run, (hit / max(1e-9, sum(map(abs, used.values())))).alias("aligned"))

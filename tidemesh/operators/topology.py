@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,3 +67,38 @@ def mixing(edges: DataFrame, cluster: DataFrame) -> DataFrame:
     n = edges.join(cluster.select(F.col("node").alias("nbr"), "cluster"), "nbr").groupBy("node", "cluster").agg(F.count("*").alias("n"))
     p = F.col("n") / F.sum("n").over(Window.partitionBy("node"))
     return n.withColumn("p", p).groupBy("node").agg(F.sum(-F.col("p") * F.log(F.col("p") + 1e-12)).alias("entropy"))
+
+
+def simplex_pressure(impact: DataFrame, three: DataFrame, four: DataFrame) -> DataFrame:
+    """(node, pressure): of each simplex 0.5 of the node's impact and 0.5 of the mean, triangles weighing 0.6 and
+    four-cliques 1, over the largest sum.  A simplex is gathered by its at most four members."""
+    simplexes = three.select(F.array("a", "b", "c").alias("members"), F.lit(0.6).alias("w")).unionByName(four.select(F.array("a", "b", "c", "d").alias("members"), F.lit(1.0).alias("w")))
+    each = simplexes.select("members", "w", F.explode("members").alias("node")).join(impact, "node")
+    whole = each.groupBy("members", "w").agg(F.avg("impact").alias("mean"), F.collect_list(F.struct("node", "impact")).alias("each"))
+    parts = whole.select("w", "mean", F.explode("each").alias("e"))
+    sums = parts.groupBy(F.col("e.node").alias("node")).agg(F.sum(F.col("w") * (0.5 * F.col("e.impact") + 0.5 * F.col("mean"))).alias("s"))
+    top = sums.agg(F.max("s").alias("top"))  # one row
+    return sums.join(F.broadcast(top)).select("node", F.when(F.col("top") > 1e-9, F.col("s") / F.col("top")).otherwise(F.col("s")).alias("pressure"))
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """Lineage ends in the shared folder; a temporary one only where none is set."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemesh-"))
+    return df.checkpoint()
+
+
+def components(adjacency: DataFrame) -> DataFrame:
+    """(node, component): the smallest node reachable.  Each round takes the neighbours' smallest label, then the label
+    of that label, so the rounds grow with the logarithm of the diameter on most graphs; the driver sees one count."""
+    adjacency = _cut(adjacency.select("node", "nbr").distinct())
+    labels = _cut(adjacency.groupBy("node").agg(F.least("node", F.min("nbr")).alias("component")))
+    while True:
+        near = adjacency.join(labels.select(F.col("node").alias("nbr"), F.col("component").alias("c")), "nbr").groupBy("node").agg(F.min("c").alias("c"))
+        step = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "c").alias("c"))
+        jump = step.select(F.col("node").alias("c"), F.col("c").alias("next"))
+        now = _cut(step.join(jump, "c", "left").select("node", "was", F.least("c", F.coalesce("next", "c")).alias("component")))
+        labels = now.select("node", "component")
+        if now.where("was <> component").isEmpty():
+            return labels

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import propagation, retrieval, series, topology, validation
+from ..operators import planning, propagation, retrieval, series, similarity, topology, validation
 from ..sources import graphs
 from ..sources.graphs import CO_SUPPLY, TRADE, table
+from ..streaming import activity
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -323,3 +324,123 @@ def importance_retention(spark, sf_dir):
     per = events.groupBy("user_id").agg(F.max("ts").alias("seen"), F.count("*").alias("hits")).join(F.broadcast(now))
     age = F.datediff("now", "seen")
     return per.select("user_id", "hits", F.round(F.pow(F.lit(2.0), -age / 40) * (1 + 0.25 * F.log(1 + F.col("hits"))), 6).alias("retention"))
+
+
+_DAILY = """daily AS (SELECT *, CASE WHEN regularity >= 0.7 AND speed <= 0.5 THEN 'stable_routine' WHEN speed >= 0.7 OR density >= 6 THEN 'high_flux' ELSE 'adaptive' END AS label FROM (
+  SELECT user_id, CAST(ts AS DATE) AS day, CAST(count(*) FILTER (WHERE event_type = 'click') AS DOUBLE) / count(*) AS regularity, CAST(count(DISTINCT event_type) AS DOUBLE) / count(*) AS speed,
+    CAST(count(*) AS DOUBLE) AS density FROM events GROUP BY 1, 2))"""
+
+
+def _daily(spark, sf_dir):
+    """A state of each user and day: share of clicks, types an event, events."""
+    n = F.count("*").cast("double")
+    rows = graphs.user_activity(spark, sf_dir).groupBy("user_id", F.col("ts").cast("date").alias("day")).agg(
+        (F.count_if(F.col("event_type") == "click").cast("double") / n).alias("regularity"), (F.countDistinct("event_type").cast("double") / n).alias("speed"), n.alias("density"))
+    return rows.withColumn("label", series.state_class(F.col("regularity"), F.col("speed"), F.col("density")))
+
+
+@query(f"""WITH s AS ({_STEP}), m AS (SELECT *, sign(d) AS g FROM s WHERE d <> 0), t AS (SELECT *, CAST(g <> lag(g) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS f FROM m),
+c AS (SELECT user_id, coalesce(sum(f), 0) AS flips FROM t GROUP BY 1)
+SELECT user_id, n, round(CASE WHEN n < 3 THEN 0 ELSE CAST(coalesce(flips, 0) AS DOUBLE) / (n - 2) END, 6) AS oscillation FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1) LEFT JOIN c USING (user_id)""")
+def oscillation(spark, sf_dir):
+    rows = series.flips(_labels(spark, sf_dir), "user_id", _ORDER, "value", 0.0)
+    return rows.select("user_id", "n", F.round(F.when(F.col("n") < 3, 0.0).otherwise(F.col("flips") / (F.col("n") - 2)), 6).alias("oscillation"))
+
+
+@query("""WITH x AS (SELECT user_id, ts, event_id, value AS x, lag(value) OVER w AS y, row_number() OVER w AS i, var_pop(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS v
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+a AS (SELECT user_id, count(*) AS n, sqrt(var_pop(CASE WHEN y IS NOT NULL THEN x END) * var_pop(y)) * (count(*) - 1) AS den, CASE WHEN count(*) > 2 THEN covar_pop(x, y) / nullif(sqrt(var_pop(CASE WHEN y IS NOT NULL THEN x END) * var_pop(y)), 0) END AS r,
+  arg_min(v, i) FILTER (WHERE i >= 3) AS f, arg_max(v, i) FILTER (WHERE i >= 3) AS l FROM x GROUP BY 1),
+b AS (SELECT *, CASE WHEN n < 3 OR den <= 1e-9 THEN 0 ELSE (r + 1) / 2 END AS c, CASE WHEN n = 3 THEN l ELSE greatest(0, l - f) END AS t FROM a)
+SELECT user_id, n, round(c, 6) AS autocorrelation, round(CASE WHEN n < 3 THEN 0 ELSE least(1, 0.65 * c + 0.35 * least(1, 4 * t)) END, 6) AS slowing FROM b""")
+def critical_slowing(spark, sf_dir):
+    return series.slowing(_labels(spark, sf_dir), "user_id", _ORDER, "value").withColumns({c: F.round(c, 6) for c in ("autocorrelation", "slowing")})
+
+
+@query(f"""WITH {_DAILY}, d AS (SELECT user_id, day, label, lag(label) OVER w AS was, speed - lag(speed) OVER w AS s, lag(regularity) OVER w - regularity AS r, density - lag(density) OVER w AS d FROM daily WINDOW w AS (PARTITION BY user_id ORDER BY day))
+SELECT user_id, day, was, label, CASE WHEN s > 0.15 OR r > 0.15 OR d > 0.5 THEN concat_ws(',', CASE WHEN s > 0.15 THEN 'speed_jump' END, CASE WHEN r > 0.15 THEN 'regularity_drop' END, CASE WHEN d > 0.5 THEN 'density_jump' END)
+  ELSE 'state_boundary_crossed' END AS reasons, round(least(1, 1.8 * greatest(0, s) + 1.6 * greatest(0, r) + 0.6 * greatest(0, d)), 6) AS confidence FROM d WHERE label <> was""")
+def triggers(spark, sf_dir):
+    return series.triggers(_daily(spark, sf_dir), "user_id", ["day"]).withColumn("confidence", F.round("confidence", 6))
+
+
+@query(f"""WITH {_DAILY}, m AS (SELECT user_id, label AS main FROM (SELECT user_id, label, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, min(day)) AS r FROM daily GROUP BY 1, 2) WHERE r = 1),
+c AS (SELECT user_id, avg(regularity) AS a, avg(speed) AS b, avg(density) AS e FROM daily JOIN m USING (user_id) WHERE label = main GROUP BY 1),
+f AS (SELECT user_id, label = main AS inside, sqrt((regularity - a) ** 2 + (speed - b) ** 2 + (density - e) ** 2) AS d FROM daily JOIN m USING (user_id) JOIN c USING (user_id)),
+r AS (SELECT user_id, avg(d) + stddev_pop(d) AS radius FROM f WHERE inside GROUP BY 1)
+SELECT user_id, round(any_value(radius), 6) AS radius, round(avg(CASE WHEN d <= radius + 1e-9 THEN 1.0 ELSE 0.0 END), 6) AS occupancy FROM f JOIN r USING (user_id) GROUP BY 1""")
+def basin(spark, sf_dir):
+    rows = series.basin(_daily(spark, sf_dir), "user_id", ["day"], ["regularity", "speed", "density"])
+    return rows.withColumns({c: F.round(c, 6) for c in ("radius", "occupancy")})
+
+
+@query(f"""WITH {_DAILY}, x AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM daily),
+e AS (SELECT user_id, {", ".join(f"max({c}) FILTER (WHERE i = n) - max({c}) FILTER (WHERE i = least(n, 2)) AS {c}" for c in ("regularity", "speed", "density"))} FROM x GROUP BY 1)
+SELECT user_id, round((CASE WHEN regularity > 0 THEN 1 ELSE 0 END + CASE WHEN speed < 0 THEN 0.5 ELSE 0 END + CASE WHEN density > 0 THEN 0.25 ELSE 0 END) / CAST(1.75 AS DOUBLE), 6) AS aligned FROM e""")
+def causal_alignment(spark, sf_dir):
+    rows = series.alignment(_daily(spark, sf_dir), "user_id", ["day"], {"regularity": 1.0, "speed": -0.5, "density": 0.25})
+    return rows.withColumn("aligned", F.round("aligned", 6))
+
+
+_PRESS = _QUAD + """, i AS (SELECT node, CAST(count(DISTINCT nbr) AS DOUBLE) AS i FROM adj GROUP BY 1),
+p AS (SELECT x.*, y.i AS ib, z.i AS ic, (w.i + y.i + z.i) / 3 AS m, w.i AS ia FROM tri x JOIN i w ON a = w.node JOIN i y ON b = y.node JOIN i z ON c = z.node),
+q AS (SELECT a, b, c, d, w.i AS ia, y.i AS ib, z.i AS ic, g.i AS id, (w.i + y.i + z.i + g.i) / 4 AS m FROM quad JOIN i w ON a = w.node JOIN i y ON b = y.node JOIN i z ON c = z.node JOIN i g ON d = g.node),
+s AS (SELECT node, sum(x) AS s FROM (""" + " UNION ALL ".join(
+    f"SELECT {n} AS node, {w} * (0.5 * i{n} + 0.5 * m) AS x FROM {t}" for t, w, names in (("p", 0.6, "abc"), ("q", "1.0", "abcd")) for n in names) + ") GROUP BY 1)"
+
+
+@query(_PRESS + " SELECT node, round(s / (SELECT max(s) FROM s), 6) AS pressure FROM s")
+def tetra_pressure(spark, sf_dir):
+    pairs = graphs.co_supply(spark, sf_dir)
+    three = topology.triangles(pairs)
+    impact = retrieval.degrees(graphs.both_ways(pairs)).select("node", F.col("simple").cast("double").alias("impact"))
+    return topology.simplex_pressure(impact, three, topology.four_cliques(three, pairs)).withColumn("pressure", F.round("pressure", 6))
+
+
+@query("WITH RECURSIVE " + CO_SUPPLY.replace(">= 45", ">= 50") + """, reach AS (SELECT DISTINCT node, node AS peer FROM adj UNION SELECT reach.node, adj.nbr FROM reach JOIN adj ON reach.peer = adj.node)
+SELECT node, min(peer) AS component FROM reach GROUP BY 1""")
+def components(spark, sf_dir):
+    return topology.components(graphs.both_ways(graphs.co_supply(spark, sf_dir, 50)))
+
+
+@query("""WITH u AS (SELECT vec_id, list_transform(v, lambda x: x / (sqrt(list_dot_product(v, v)) + 1e-12)) AS v FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL)),
+s AS (SELECT q.vec_id AS query, u.vec_id AS item, round(list_dot_product(q.v, u.v), 9) AS score FROM u q JOIN u ON q.vec_id <> u.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query, item, round(score, 6) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS INT) AS rank FROM s) WHERE rank <= 5""")
+def cosine_topk(spark, sf_dir):
+    """The stated query set, every row whose id is divisible by 50, against all rows."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return similarity.cosine_topk(vectors.where("vec_id % 50 = 0"), vectors, "vec_id", "embedding", 5).withColumn("score", F.round("score", 6))
+
+
+_BALANCE = "v AS (SELECT c_mktsegment AS cluster, c_acctbal AS x FROM customer)"
+
+
+def _balances(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("cluster"), F.col("c_acctbal").alias("value"))
+
+
+@query(f"""WITH {_BALANCE}, a AS (SELECT cluster, count(*) AS n, sum(x) AS t, sum(abs(x)) AS s, var_pop(x) AS q FROM v GROUP BY 1)
+SELECT cluster, n, round(CASE WHEN s <= 1e-12 THEN 1 ELSE 0.55 * abs(t) / s + 0.45 / (1 + q / ((s / n) * (s / n) + 1e-9)) END, 6) AS score FROM a""")
+def cross_scale(spark, sf_dir):
+    return similarity.cross_scale(_balances(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {_BALANCE}, m AS (SELECT avg(x) AS m FROM v GROUP BY cluster ORDER BY 1 DESC LIMIT 2), t AS (SELECT max(m) AS a, CASE WHEN count(*) > 1 THEN min(m) ELSE 0 END AS b FROM m)
+SELECT round(least(1, greatest(0, (a - b) / (abs(a) + abs(b) + 1e-9))), 6) AS margin FROM t""")
+def cluster_margin(spark, sf_dir):
+    return similarity.margin(_balances(spark, sf_dir)).withColumn("margin", F.round("margin", 6))
+
+
+@query(f"""WITH {CO_SUPPLY}, e AS (SELECT u, v, weight, (u % 7 - 3) / CAST(3 AS DOUBLE) AS a, (v % 7 - 3) / CAST(3 AS DOUBLE) AS b FROM pairs),
+g AS (SELECT *, abs(a) + abs(b) AS mass, abs(a - b) / greatest(1e-6, abs(a) + abs(b)) AS gap, CASE WHEN a * b >= 0 THEN 1 ELSE 0 END AS same FROM e), h AS (SELECT *, greatest(0, 1 - gap) AS stab FROM g)
+SELECT u, v, weight, round(weight + 0.375 * (0.5 * mass) / (1 + 0.5 * mass) * (0.55 * stab + 0.45 * same) - 0.23 * (1 - same) * (0.5 + 0.5 * (1 - stab)) - 0.04 * gap, 9) AS score FROM h""")
+def drop_scores(spark, sf_dir):
+    pairs = graphs.co_supply(spark, sf_dir)
+    impact = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("impact", (F.col("node") % 7 - 3) / F.lit(3.0))
+    return planning.drop_scores(pairs, impact, 0.5).withColumn("score", F.round("score", 9))
+
+
+@query("SELECT user_id AS entity, CAST(ts AS DATE) AS start, count(*) AS events FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
+def windowed_activity(spark, sf_dir):
+    rows = activity.windowed(graphs.user_activity(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts")
+    return rows.withColumn("start", F.col("start").cast("date"))
