@@ -16,11 +16,16 @@ def unit(vectors: DataFrame, item: str, vector: str) -> DataFrame:
     return rows.withColumn("norm", F.sqrt(_dot(F.col("v"), F.col("v"))) + 1e-12).select("item", F.transform("v", lambda x: x / F.col("norm")).alias("v"))
 
 
-def cosine_topk(queries: DataFrame, vectors: DataFrame, item: str, vector: str, k: int) -> DataFrame:
+def cosine_topk(queries: DataFrame, vectors: DataFrame, item: str, vector: str, k: int, blocks: int = 8, parts: int = 8) -> DataFrame:
     """(query, item, score, rank): the k nearest other rows of each row of a stated query set, by exact cosine to nine
-    decimals, ties by id.  The rank limit is applied in every task before the shuffle."""
+    decimals, ties by id.  Queries lie in `blocks`, rows in `parts`; each block meets each part
+    once, by an equal key, and the rank limit is applied in every task before the shuffle."""
     q = unit(queries, item, vector).select(F.col("item").alias("query"), F.col("v").alias("w"))
-    scored = unit(vectors, item, vector).join(q, F.col("item") != F.col("query")).select("query", "item", F.round(_dot(F.col("v"), F.col("w")), 9).alias("score"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    q = q.select("*", dealt("query", blocks).alias("block"), every(parts).alias("part"))
+    rows = unit(vectors, item, vector).select("*", dealt("item", parts).alias("part"), every(blocks).alias("block"))
+    scored = rows.join(q.hint("shuffle_merge"), ["block", "part"]).where("item <> query").select("query", "item", F.round(_dot(F.col("v"), F.col("w")), 9).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "item"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
