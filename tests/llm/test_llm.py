@@ -123,6 +123,30 @@ def test_line_dedup_takes_repeats_only(spark):
         assert b"".join(c for c, _ in line_dedup.chunks(text, line_dedup.Settings())).decode() == text
 
 
+def test_line_dedup_finds_short_passages(spark):
+    rng = random.Random(8)
+    line = lambda n=8: " ".join(rng.choices(WORDS, k=n)) + f" {rng.random()}"
+    docs, own, doc = [], {}, 0
+    for n in range(1, 7):
+        for gap in ("\n", "\n\n"):
+            passage = [line(60 if n == 1 else 8) for _ in range(n)]
+            for copy in range(6):
+                around = [line() for _ in range(rng.randint(1, 4))], [line() for _ in range(rng.randint(0, 4))]
+                own[doc] = "".join(x + "\n" for x in around[0] + (passage if copy == 0 else []) + around[1]).replace("\n", gap), n, copy
+                docs.append((doc, "".join(x + "\n" for x in around[0] + passage + around[1]).replace("\n", gap), "s"))
+                doc += 1
+    short = line(49)
+    docs += [(doc + k, short + "\n" + line(), "s") for k in range(2)]
+    out = {r.doc_id: r for r in line_dedup.dedup(spark.createDataFrame(docs, SCHEMA).repartition(5), counts=True).collect()}
+    for k, (text, n, copy) in own.items():
+        assert (out[k].text, out[k].removed_chunks) == (text, int(copy > 0)) and out[k].removed_lines >= n * (copy > 0)
+    assert all(out[k].removed_chunks == 0 for k in range(doc, doc + 2))
+    rows = [(1, "a\na\na", ""), (2, "a\na\na", ""), (3, "\na\na\n\n", ""), (4, "p\nq\nx\np\nq", ""), (None, "p\nq", ""), (5, "p\nq", ""), (6, "r\np\nq", ""), (6, "r\np\nq", "")]
+    out = line_dedup.dedup(spark.createDataFrame(rows, SCHEMA), counts=True).drop("source").collect()
+    want = [(1, "a\na\na", 0, 0), (2, "", 1, 3), (3, "", 1, 4), (4, "p\nq\nx\n", 1, 2), (None, "p\nq", 0, 0), (5, "", 1, 2), (6, "r\n", 1, 2), (6, "r\n", 1, 2)]
+    assert sorted(map(repr, map(tuple, out))) == sorted(map(repr, want))
+
+
 def test_mixing(spark):
     import duckdb
 

@@ -1,17 +1,22 @@
-"""Operator 3: line dedup with content-defined chunks.
+"""Operator 3: line dedup with content-defined passages.
 
-The hash of each line and of the one before it make a rolling hash; where it is 0 modulo `spread` a chunk ends.
-Boundaries so depend on the lines beside them alone and survive insertions elsewhere.  Chunks of several lines
-that occur more than once over all documents are found by hash and bytes together: they stay in the document
-with the smallest id, at their first place there, and are taken out everywhere else, each after a comparison of bytes.
+The smallest passages are two lines that follow each other, with the blank lines between them, and single lines of
+more than `words` words.  They begin at every line, so they overlap, depend on their own lines alone and survive
+insertions elsewhere; a longer repeat is the union of the passages in it.  Passages that occur more than once over
+all documents are found by hash and bytes together: they stay in the document with the smallest id, at their first
+place there, and are taken out everywhere else, each after a comparison of bytes.  So a line that goes has an equal
+line at an earlier place (id, then position) that stays.  Blank lines go with the line they follow.
 
 Defined results: null and empty texts stay as they are; a text of which all is repeated becomes empty; rows with the
-same id count as one document (a chunk is not removed from one because the other has it); rows with a null id keep
-their text; all other columns are kept, whatever their names; an empty table gives an empty table.
+same id count as one document (a passage is not removed from one because the other has it); rows with a null id keep
+their text; a passage that overlaps its own first place (a line three times in a row) is no second one; all other
+columns are kept, whatever their names; an empty table gives an empty table.  removed_chunks counts the stretches of
+text taken out, removed_lines their lines with blank ones.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -25,11 +30,13 @@ from .common import narrow, saved, texts_of
 
 @dataclass(frozen=True)
 class Settings:
-    #: A line ends a chunk with a chance of one in so many.
+    #: `chunks` only: a line ends a chunk with a chance of one in so many.
     spread: int = 3
-    #: Only chunks of at least so many lines are removed.
+    #: Passages of so many lines, blank ones not counted, are compared.
     lines: int = 2
-    #: A chunk ends here at the latest, counted from its beginning.
+    #: A single line of more than so many words is a passage of its own.
+    words: int = 50
+    #: `chunks` only: a chunk ends here at the latest, counted from its beginning.
     most_lines: int = 64
 
 
@@ -50,65 +57,118 @@ def chunks(text: str, s: Settings) -> list[tuple[bytes, int]]:
     return out
 
 
-def key_of(chunk: bytes) -> bytes:
-    """What is compared: the chunk without the line end that its last line may have or, at a text's end, lack."""
-    return chunk.removesuffix(b"\n")
+def units(text: str) -> list[tuple[bytes, int, int]]:
+    """(bytes with the blank lines that follow, length without them and without a line end, number of lines) of each
+    line that is not blank; blank lines at the beginning go with the first.  Joined they are the text, if it has one."""
+    lines = text.encode("utf-8", "surrogatepass").split(b"\n")
+    lines = [x + b"\n" for x in lines[:-1]] + ([lines[-1]] if lines[-1] else [])
+    full = [k for k, line in enumerate(lines) if line.strip()]
+    out = []
+    for n, k in enumerate(full):
+        end = full[n + 1] if n + 1 < len(full) else len(lines)
+        begin = k if n else 0
+        out.append((b"".join(lines[begin:end]), sum(map(len, lines[begin:k])) + len(lines[k].removesuffix(b"\n")), end - begin))
+    return out
+
+
+def passages(found: list[tuple[bytes, int, int]], s: Settings) -> list[tuple[int, int, bytes]]:
+    """(first unit, number of units, bytes compared) of each passage, by first unit.  What is compared has neither the
+    blank lines at its ends nor the line end that its last line may have or, at a text's end, lack."""
+    out = []
+    for k, (data, size, _) in enumerate(found):
+        first = data if k else data[len(data) - len(data.lstrip(b"\n")) :]
+        cut_off = len(data) - len(first)
+        if len(first[: size - cut_off].split()) > s.words:
+            out.append((k, 1, first[: size - cut_off]))
+        if s.lines > 1 and k + s.lines <= len(found):
+            last = found[k + s.lines - 1]
+            out.append((k, s.lines, first + b"".join(u[0] for u in found[k + 1 : k + s.lines - 1]) + last[0][: last[1]]))
+    return out
 
 
 def _hash(key: bytes) -> int:
     return xxhash.xxh3_64_intdigest(key) - (1 << 63)
 
 
-def _emit(docs: DataFrame, s: Settings, with_bytes: bool) -> DataFrame:
+def places(docs: DataFrame, s: Settings) -> DataFrame:
+    """(doc_id, hash, times) of every distinct passage of a row with an id."""
+
     def run(batches):
         for batch in batches:
-            ids, hashes, keys = [], [], []
+            ids, hashes, times = [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch)):
-                found = [key_of(c) for c, n in chunks(text or "", s) if n >= s.lines]
-                found = found if with_bytes else dict.fromkeys(found)
-                for key in found:
-                    ids.append(doc), hashes.append(_hash(key)), keys.append(key)
-            columns = [pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(keys, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns if with_bytes else columns[:2], ["doc_id", "hash", "chunk"][: len(columns) if with_bytes else 2])
+                for h, n in Counter(map(_hash, apart(passages(units(text or ""), s)))).items():
+                    ids.append(doc), hashes.append(h), times.append(n)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, hashes, times)], ["doc_id", "hash", "times"])
 
-    return docs.mapInArrow(run, "doc_id long, hash long" + ", chunk binary" * with_bytes)
+    return docs.where("doc_id is not null").mapInArrow(run, "doc_id long, hash long, times long")
 
 
-def repeated(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(hash, chunk, keeper, n): the chunks that occur more than once, and the smallest id they occur in.
+def apart(found: list[tuple[int, int, bytes]]) -> list[bytes]:
+    """The bytes of the passages but those that overlap an equal one before them."""
+    ends: dict[bytes, int] = {}
+    out = []
+    for at, width, key in found:
+        if at >= ends.get(key, 0):
+            ends[key] = at + width
+            out.append(key)
+    return out
+
 
-    Chunks are grouped by hash and bytes, with map-side combine, so a chunk in a third of all documents is a few rows.
+def repeated(docs: DataFrame, at: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """(hash, chunk, keeper, n): the passages that occur more than once, and the smallest id they occur in.
+
+    docs: doc_id and text; at: what `places` returns.  Only the bytes of passages whose hash occurs more than once are
+    moved.  They are grouped by hash and bytes, with map-side combine, so one in a third of all documents is a few rows.
     """
-    rows = _emit(narrow(docs, id_col, text_col), s, True)
+    often = at.groupBy("hash").agg(F.sum("times").alias("n")).where("n > 1").select("hash")
+    marked = at.join(often, "hash").groupBy("doc_id").agg(F.collect_set("hash").alias("marked"))
+
+    def run(batches):
+        for batch in batches:
+            ids, hashes, keys = [], [], []
+            for doc, text, some in zip(batch.column(0).to_pylist(), texts_of(batch), batch.column(2).to_pylist()):
+                some = set(some)
+                for key in apart(passages(units(text or ""), s)):
+                    if (h := _hash(key)) in some:
+                        ids.append(doc), hashes.append(h), keys.append(key)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "hash", "chunk"])
+
+    rows = docs.join(marked, "doc_id").select("doc_id", "text", "marked").mapInArrow(run, "doc_id long, hash long, chunk binary")
     return rows.groupBy("hash", "chunk").agg(F.min("doc_id").alias("keeper"), F.count("*").alias("n")).where("n > 1")
 
 
 def cut(text: str | None, doc: int | None, found: list[tuple[bytes, int]], s: Settings) -> tuple[str | None, int, int]:
-    """The text without its repeated chunks, and the chunks and lines taken out."""
+    """The text without its repeated passages, and the stretches and lines taken out."""
     if not text or not found:
         return text, 0, 0
     keepers = dict(found)
-    kept, seen, n_chunks, n_lines = [], set(), 0, 0
-    for chunk, lines in chunks(text, s):
-        key = key_of(chunk)
-        if lines >= s.lines and key in keepers and (keepers[key] != doc or key in seen):
-            n_chunks += 1
-            n_lines += lines
-        else:
-            kept.append(chunk)
-        seen.add(key)
-    return (b"".join(kept).decode("utf-8", "surrogatepass") if n_chunks else text), n_chunks, n_lines
+    parts = units(text)
+    gone = [False] * len(parts)
+    ends: dict[bytes, int] = {}  # where the first place of a passage ends, which its own document keeps
+    for at, width, key in passages(parts, s):
+        if key not in keepers:
+            continue
+        if keepers[key] != doc or at >= ends.setdefault(key, at + width):
+            gone[at : at + width] = [True] * width
+    if not any(gone):
+        return text, 0, 0
+    n_chunks = sum(g and not before for g, before in zip(gone, [False, *gone]))
+    kept = b"".join(p[0] for p, g in zip(parts, gone) if not g)
+    return kept.decode("utf-8", "surrogatepass"), n_chunks, sum(p[2] for p, g in zip(parts, gone) if g)
 
 
 def dedup(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
     """The rows of `docs` with their texts cut; with `counts` also removed_chunks and removed_lines (long).
 
-    What a document must compare comes to it by its id: at most its own chunks, each with its bytes.
+    What a document must compare comes to it by its id: at most its own passages, each with its bytes.
     """
-    rows = saved(repeated(docs, s, id_col, text_col))
-    places = _emit(narrow(docs, id_col, text_col), s, False)
+    texts = narrow(docs, id_col, text_col)
+    at_ids = saved(places(texts, s))
+    rows = saved(repeated(texts, at_ids, s))
     # the hot side of this join is split by adaptive execution: it feeds an aggregation with another key
-    found = places.join(rows.select("hash", "chunk", "keeper"), "hash").groupBy("doc_id").agg(F.collect_list(F.struct("chunk", "keeper")).alias("found"))
+    needed = at_ids.join(rows.select("hash", "chunk", "keeper"), "hash").where("keeper <> doc_id or times > 1")
+    found = needed.groupBy("doc_id").agg(F.collect_list(F.struct("chunk", "keeper")).alias("found"))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("doc_id"))
     both = packed.join(found, "doc_id", "left").select("doc_id", "row", "found")
     at = docs.columns.index(text_col)
