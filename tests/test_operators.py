@@ -1,5 +1,7 @@
 """Closed-form values on small graphs and series."""
 
+import random
+
 from pyspark.sql import functions as F
 from tidemesh.operators import planning, propagation, retrieval, series, similarity, topology
 from tidemesh.sources import graphs, sinks
@@ -84,6 +86,29 @@ def test_components_of_a_long_chain_and_a_pair(spark):
     assert topology.components(graphs.both_ways(pairs(spark, []))).count() == 0
 
 
+def test_components_over_all_line_items(spark, tmp_path):
+    from tidemesh.plans import catalogue
+
+    rng = random.Random(9)
+    lines = [(rng.randrange(30), rng.randrange(40), rng.choice([1.0, 20.0, 44.0, 50.0, None])) for _ in range(60)]
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for order, supplier, _ in lines:
+        for other, at, _ in lines:
+            if order == other and supplier != at:
+                low, high = sorted((find(supplier), find(at)))
+                root[high] = low
+    want = {x: find(x) for x in root}
+    assert {r.node: r.component for r in catalogue.QUERIES["components_whole"](spark, str(tmp_path)).collect()} == want
+    assert {r.node: r.component for r in catalogue.QUERIES["components"](spark, str(tmp_path)).collect()} != want
+
+
 def test_simplex_pressure_of_equal_nodes(spark):
     k4 = pairs(spark, [(x, y, 1) for x in "abcd" for y in "abcd" if x < y])
     three = topology.triangles(k4)

@@ -403,6 +403,12 @@ def components(spark, sf_dir):
     return topology.components(graphs.both_ways(graphs.co_supply(spark, sf_dir, 50)))
 
 
+@query()
+def components_whole(spark, sf_dir):
+    """Components over all line items, large or not."""
+    return topology.components(graphs.both_ways(graphs.co_supply(spark, sf_dir, None)))
+
+
 @query("""WITH u AS (SELECT vec_id, list_transform(v, lambda x: x / (sqrt(list_dot_product(v, v)) + 1e-12)) AS v FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL)),
 s AS (SELECT q.vec_id AS query, u.vec_id AS item, round(list_dot_product(q.v, u.v), 9) AS score FROM u q JOIN u ON q.vec_id <> u.vec_id WHERE q.vec_id % 50 = 0)
 SELECT query, item, round(score, 6) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS INT) AS rank FROM s) WHERE rank <= 5""")

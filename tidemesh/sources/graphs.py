@@ -33,9 +33,11 @@ trade AS (
 """
 
 
-def co_supply(spark: SparkSession, sf_dir: str, quantity: float = 45) -> DataFrame:
-    """(u, v, weight): suppliers that fill large lines of one order, u < v, with the number of such orders."""
-    large = table(spark, sf_dir, "lineitem").where(F.col("l_quantity") >= quantity).select("l_orderkey", "l_suppkey").distinct()
+def co_supply(spark: SparkSession, sf_dir: str, quantity: float | None = 45) -> DataFrame:
+    """(u, v, weight): suppliers that fill large lines of one order, u < v, with the number of such orders; without a
+    quantity all lines count."""
+    lines = table(spark, sf_dir, "lineitem")
+    large = (lines if quantity is None else lines.where(F.col("l_quantity") >= quantity)).select("l_orderkey", "l_suppkey").distinct()
     a, b = (large.select("l_orderkey", F.col("l_suppkey").alias(x)) for x in "uv")
     return a.join(b, "l_orderkey").where("u < v").groupBy("u", "v").agg(F.count("*").alias("weight"))
 
