@@ -106,6 +106,15 @@ def test_quality_counts(spark):
     assert quality.quality(edge(spark)).count() == len(EDGE)
 
 
+def test_quality_judges_tails_and_short_texts(spark):
+    docs = quality.quality(spark.read.parquet(f"{SF}/documents.parquet")).where("kept").select("doc_id").join(spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en'"), "doc_id")
+    text = "\n".join(r.text for r in docs.dropDuplicates(["text"]).orderBy("doc_id").collect())
+    plain = text.encode("ascii", "ignore").decode()
+    rows = [(1, plain[:4100], ""), (2, plain[:4100] + "a" * 4080, ""), (3, plain[:2000], ""), (4, plain[:2000] + "a" * 1000, ""), (5, plain[:8300], ""), (6, plain[:4096], ""), (7, plain[:900], "")]
+    out = {r.doc_id: (r.kept, r.base_failed, r.n_chunks, r.n_bad_chunks) for r in quality.quality(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert out == {1: (True, False, 2, 0), 2: (False, False, 2, 1), 3: (True, False, 4, 0), 4: (False, False, 3, 1), 5: (True, False, 3, 0), 6: (True, False, 1, 0), 7: (True, False, 4, 0)}
+
+
 def test_line_dedup_takes_repeats_only(spark):
     rng = random.Random(3)
     line = lambda: " ".join(rng.choices(WORDS, k=8)) + f" {rng.random()}"

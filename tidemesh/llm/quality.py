@@ -1,7 +1,8 @@
 """Operator 4: quality rules by compression bands.
 
 A text is compressed as a whole and in fixed chunks; a ratio below its band means repetition, one above it
-means noise.  The band depends on the length, because a short text has nothing to refer back to.
+means noise.  The band depends on the length, because a short text has nothing to refer back to.  Chunks cover the
+whole text: what is left after the full ones is a shorter chunk, and texts below a chunk have smaller chunks.
 
 Defined results: a null or empty text has no words, all counts 0, ratio null, base_failed and kept = false;
 every input row gives one output row; extra columns are ignored; an empty table gives an empty table.
@@ -26,8 +27,11 @@ class Bands:
 
     whole: tuple[tuple[int, float, float], ...] = ((0, 0.30, 1.80), (256, 0.28, 1.00), (512, 0.25, 0.88), (2048, 0.20, 0.78), (16384, 0.15, 0.72))
     chunk: int = 4096
+    #: Full chunks; a shorter one has the band of a whole of its length.
     chunk_band: tuple[float, float] = (0.17, 0.76)
-    #: A text fails when more than this share of its full chunks is outside chunk_band.
+    #: A text shorter than `chunk` is halved at least, into chunks of a power of two and of so many bytes at least.
+    least_chunk: int = 256
+    #: A text fails when chunks outside their band hold more than this share of its bytes.
     bad_chunks: float = 0.2
     level: int = 3
 
@@ -63,14 +67,29 @@ def duplicate_lines(data: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
+def chunk_size(n: int, bands: Bands) -> int:
+    """Bytes of a chunk of a text of n bytes."""
+    return bands.chunk if n >= bands.chunk else max(bands.least_chunk, 1 << max(0, (n // 2).bit_length() - 1))
+
+
+def band(n: int, bands: Bands) -> tuple[float, float]:
+    """Lowest and highest ratio of a text of n bytes."""
+    return next((lo, hi) for size, lo, hi in reversed(bands.whole) if n >= size)
+
+
 def verdict(data: bytes, bands: Bands, compress) -> tuple[float, int, int, bool]:
-    """Ratio of the whole, full chunks, full chunks out of their band, accepted."""
+    """Ratio of the whole, chunks, chunks out of their band, accepted."""
     ratio = len(compress(data)) / len(data)
-    low, high = next((lo, hi) for size, lo, hi in reversed(bands.whole) if len(data) >= size)
-    chunks = [data[k : k + bands.chunk] for k in range(0, len(data) - bands.chunk + 1, bands.chunk)]
-    ratios = [len(compress(c)) / len(c) for c in chunks]
-    bad = sum(not bands.chunk_band[0] <= r <= bands.chunk_band[1] for r in ratios)
-    return ratio, len(chunks), bad, low <= ratio <= high and bad <= bands.bad_chunks * len(chunks)
+    low, high = band(len(data), bands)
+    size = chunk_size(len(data), bands)
+    starts = range(0, len(data), size) if len(data) > size or len(data) == bands.chunk else ()
+    bad = []
+    for k in starts:
+        c = data[max(0, min(k, len(data) - bands.least_chunk)) : k + size]  # a last chunk of a few bytes begins earlier
+        lowest, highest = bands.chunk_band if len(c) == bands.chunk else band(len(c), bands)
+        if not lowest <= len(compress(c)) / len(c) <= highest:
+            bad.append(min(size, len(data) - k))
+    return ratio, len(starts), len(bad), low <= ratio <= high and sum(bad) <= bands.bad_chunks * len(data)
 
 
 def judged(text: str | None, bands: Bands, compress) -> tuple:
