@@ -246,7 +246,7 @@ def test_near_vectors(spark, blocks):
     assert embed_dedup.near(table.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("settings", [jaccard.Settings(), jaccard.Settings(full=2, rows_a_task=3, bits=8), jaccard.Settings(most_light=0, full=3)])
+@pytest.mark.parametrize("settings", [jaccard.Settings(), jaccard.Settings(full=2, rows_a_task=3, bits=8, bucket_rows=50, group_docs=7), jaccard.Settings(most_light=0, full=3), jaccard.Settings(most_light=0, least_hot=2, hot_share=10**6, bits=14)])
 def test_jaccard_components(spark, settings):
     texts = corpus(6)
     sets = [jaccard.shingles(t) for t in texts]
@@ -255,12 +255,19 @@ def test_jaccard_components(spark, settings):
     docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], SCHEMA).withColumn("key", F.lit("x")).repartition(5)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs, settings).collect()}
     assert got == {i: (len(sets[i]), root[i]) for i in range(len(sets))}
+    # repeated ids, with the same and with other texts, are one node each
+    twice = docs.unionByName(docs.where("doc_id % 10 = 3")).unionByName(docs.where("doc_id % 10 = 4").withColumn("doc_id", F.col("doc_id") + 5)).repartition(5)
+    root = roots(len(sets), links + [(i + 5, j) for i, j in links + [(j, i) for i, j in links] if i % 10 == 4] + [(i + 5, i) for i in range(len(sets)) if i % 10 == 4 and sets[i]] + [(i + 5, j + 5) for i, j in links if i % 10 == j % 10 == 4])
+    got = sorted({(r.doc_id, r.component_id) for r in jaccard.join(twice, settings).collect()})
+    assert got == list(enumerate(root))
 
 
 def test_jaccard_edges(spark):
     out = sorted(((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.join(edge(spark)).collect()))
     assert out == sorted([("1", 0, "1"), ("2", 0, "2"), ("3", 0, "3"), ("4", 1, "4"), ("4", 1, "4"), ("None", 1, "None"), ("5", 1, "5"), ("6", 1, "6")])
-    assert jaccard.dedup(edge(spark)).count() == len(EDGE) and jaccard.join(edge(spark).limit(0)).count() == 0
+    kept = jaccard.dedup(edge(spark).withColumn("__gone", F.lit(1)).withColumn("row", F.lit(2)))
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted({str(r[0]) for r in EDGE})  # of the two equal rows one stays
+    assert jaccard.dedup(edge(spark).limit(0)).count() == 0 and jaccard.join(edge(spark).limit(0)).count() == 0
 
 
 def test_components(spark):

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -21,18 +24,62 @@ def narrow(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where none is set, as in tests."""
+    """The folder all executors share (spark.checkpoint.dir).  Only where all work is in one process, as in tests, may it
+    be unset: then it is a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemesh-"))
+        place = spark.conf.get("spark.checkpoint.dir", None)
+        if not place and re.match(r"local(\[|$)", sc.master):
+            place = tempfile.mkdtemp(prefix="tidemesh-")
+        if not place:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(place)
     return sc.getCheckpointDir()
 
 
+class _Tables:
+    """Tables written within a `scratch` block."""
+
+    def __init__(self):
+        self.paths: dict[str, SparkSession] = {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """The table outlives this block: it belongs to the block around it, if there is one."""
+        mine = {p: s for p, s in self.paths.items() if any(p.rsplit("/", 1)[1] in f for f in df.inputFiles())}
+        for p, s in mine.items():
+            del self.paths[p]
+            if len(_open.blocks) > 1:
+                _open.blocks[-2].paths[p] = s
+        return df
+
+
+class _Open(threading.local):
+    def __init__(self):
+        self.blocks: list[_Tables] = []
+
+
+_open = _Open()
+
+
+@contextmanager
+def scratch():
+    """Tables that `saved` writes in this block are deleted at its end, but for those that are kept."""
+    _open.blocks.append(_Tables())
+    try:
+        yield _open.blocks[-1]
+    finally:
+        for path, spark in _open.blocks.pop().paths.items():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """The rows written once as Parquet in the shared folder and read back: lineage ends there, so a lost
     executor costs the readers nothing, and several readers share one computation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    if _open.blocks:
+        _open.blocks[-1].paths[path] = spark
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -1,26 +1,30 @@
 """Operator 10: n-gram Jaccard join, size-aware: light sets enumerate fixed-size subsets, heavy sets scan inverted lists.
 
-A document's set holds its distinct word shingles.  Two sets of a and b shingles with Jaccard similarity of at
-least t share at least o(a, b) = ceil(t / (1 + t) * (a + b)) of them, so:
+A document's set holds its distinct word shingles (as 64-bit hashes).  Two sets of a and b shingles with Jaccard
+similarity of at least t share at least o(a, b) = ceil(t / (1 + t) * (a + b)) of them, so:
 
 * light sets (at most x shingles) enumerate their subsets of every size o that a light partner can require.  Two
-  light sets with a common subset of size o >= o(a, b) are linked, with nothing left to verify;
+  light sets with a common subset of size o >= o(a, b) are compared;
 * heavy sets, and light ones that a heavy one can match, post a prefix of n - ceil(t n) + 1 shingles to inverted
-  lists, rarest first.  Two linked sets share a posted shingle, whatever the order, so the order only saves work.
-  Its document counts come from a counter sketch of all texts, of fixed size.  A pair is only made where it can be
-  its first common shingle: at places i and j of the order, both a - i and b - j must still reach o(a, b);
+  lists, rarest first.  Two linked sets share a posted shingle, whatever the order.  The order is by exact counts over
+  all documents: hashes meet by bucket, packed as arrays; those that several sets have go back to their documents, and
+  all others need not be posted.  Shingles that more than one in 256 documents has are found by a sketch of fixed size
+  before; they come last in the order, so no bucket holds them.  A pair is only made where it can be its first common
+  shingle: at places i and j of the order, both a - i and b - j must still reach o(a, b);
 * x has the lowest cost: subset rows below it against posted rows and expected comparisons above it, from the
   counts of set sizes and the mean list length of all texts.
 
 Lists need not be expanded into pairs.  In a list sorted by size, each set is compared with the first and with
 those just before it; the texts of compared pairs are then verified exactly, on the words themselves.  In lists
 longer than that, documents that are still in different components are compared with a few pivots of the list, and
-those that are then still apart in full, so no link between components is lost.  Before any text is moved, pairs are held against a parity bitmap of each set: two bitmaps differ
-in no more bits than the sets differ in elements, so too many differing bits exclude a link.  Identical sets are joined to one of them before any posting, inside each task.
+those that are then still apart in full, so no link between components is lost.  Before any text is moved, pairs are
+held against a parity bitmap of each set: two bitmaps differ in no more bits than the sets differ in elements, so too
+many differing bits exclude a link.  Identical sets are joined to one of them before any posting, inside each task.
 
 Defined results: null and empty texts, and texts without words, have no shingles and no links; fewer words than a
 shingle make one shingle of them all; rows with the same id are one node of the graph and each keeps its own row and
-set; a null id is its own row without a component; extra columns are ignored; an empty table gives an empty table.
+set; a null id is its own row without a component; very long texts are read whole; ties go to the smaller id; extra
+columns are ignored by `join` and kept by `dedup`, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -32,12 +36,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, narrow, saved, texts_of
+from .common import components, narrow, saved, scratch, texts_of
 
 
 @dataclass(frozen=True)
@@ -48,8 +53,14 @@ class Settings:
     below: int = 100
     #: The largest size that the cost may choose as light.
     most_light: int = 14
-    #: Counters of the sketch: 2**bits.
-    bits: int = 21
+    #: Counters of the sketch that finds very frequent shingles: 2**bits.
+    bits: int = 18
+    #: A shingle is very frequent when more than one in `hot_share` sets has it, and more than `least_hot` have.
+    hot_share: int = 256
+    least_hot: int = 4096
+    #: Shingles are counted in buckets of about so many, and documents post in groups of about so many.
+    bucket_rows: int = 1 << 21
+    group_docs: int = 4096
     #: A list is compared in full up to this many sets; longer ones against the first and the previous set.
     full: int = 6
     #: A posted shingle expected in more documents than this is dealt over several tasks.
@@ -119,6 +130,9 @@ _BLOCKS = 64
 #: Bits of a set's bitmap.
 _BITS = 512
 
+#: Bytes of a key besides the bits that its bucket tells.
+_REST = 5
+
 
 def bitmap(hashes: np.ndarray) -> bytes:
     """Bit i says whether an odd number of the set's hashes fall on i."""
@@ -127,65 +141,77 @@ def bitmap(hashes: np.ndarray) -> bytes:
 
 
 def _sketch(docs: DataFrame, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """(counter of each slot, number of sets of each size up to most_light and of all): fixed sizes, whatever the input."""
+    """(counter of each slot, number of sets of each size up to most_light, of larger ones, and of all shingles): fixed
+    sizes, whatever the input.  Equal sets of one task count once.  Tasks are added up in two steps."""
     width = (1 << s.bits) // _BLOCKS
 
     def count(batches):
-        slots, sizes = np.zeros(1 << s.bits, np.int64), np.zeros(s.most_light + 2, np.int64)
+        slots, sizes, seen = np.zeros(1 << s.bits, np.int64), np.zeros(s.most_light + 3, np.int64), set()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 sets = [hashed(t, s.words) for t in texts_of(batch.slice(at, 512))]
-                np.add.at(sizes, np.minimum([len(x) for x in sets], s.most_light + 1), 1)
-                slots += np.bincount((np.concatenate(sets) >> np.uint64(64 - s.bits)).astype(np.int64), minlength=1 << s.bits)
+                sets = [x for x in sets if (d := xxhash.xxh3_128_digest(x.tobytes())) not in seen and not seen.add(d)]
+                if sets:
+                    np.add.at(sizes, np.minimum([len(x) for x in sets], s.most_light + 1), 1)
+                    slots += np.bincount((np.concatenate(sets) >> np.uint64(64 - s.bits)).astype(np.int64), minlength=1 << s.bits)
         if sizes.any():
-            blocks = np.minimum(slots, 1 << 30).astype(np.int32).reshape(_BLOCKS, width)
+            sizes[-1] = slots.sum()
+            blocks = slots.reshape(_BLOCKS, width)
             data = [b.tobytes() for b in blocks] + [sizes.tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array(range(_BLOCKS + 1), pa.int32()), pa.array(data, pa.binary())], ["block", "data"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, block = 0, 0
         for batch in batches:
-            block = batch.column(0)[0].as_py()
-            for data in batch.column(1):
-                total = total + np.frombuffer(data.as_py(), np.int32 if block < _BLOCKS else np.int64).astype(np.int64)
+            block = batch.column("block")[0].as_py()
+            for data in batch.column("data"):
+                total = total + np.frombuffer(data.as_py(), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "data"])
 
-    parts = docs.select("text").mapInArrow(count, "block int, data binary")
-    rows = parts.groupBy("block").applyInArrow(add, "block int, data binary").collect()
+    parts = docs.select("text").mapInArrow(count, "block int, data binary").withColumn("lane", F.spark_partition_id() % 64)
+    lanes = parts.groupBy("block", "lane").applyInArrow(add, "block int, data binary")
+    rows = lanes.groupBy("block").applyInArrow(add, "block int, data binary").collect()
     found = {r.block: np.frombuffer(r.data, np.int64) for r in rows}
     if not found:
-        return np.zeros(1 << s.bits, np.int64), np.zeros(s.most_light + 2, np.int64)
+        return np.zeros(1 << s.bits, np.int64), np.zeros(s.most_light + 3, np.int64)
     return np.concatenate([found[k] for k in range(_BLOCKS)]), found[_BLOCKS]
 
 
 @dataclass
 class Order:
-    """How often a shingle's slot stands above what chance fills a slot with, in powers of two; and the light boundary."""
+    """What every task knows: the slots of very frequent shingles with their counts, the light boundary, and how many
+    buckets keys and groups documents are dealt into.  Its size is fixed."""
 
-    level: np.ndarray
-    count: np.ndarray
+    hot: np.ndarray
     light: int
+    key_bits: int
+    groups: int
     settings: Settings
 
-    def rarest_first(self, hashes: np.ndarray) -> np.ndarray:
-        slots = (hashes >> np.uint64(64 - self.settings.bits)).astype(np.int64)
-        return hashes[np.lexsort((hashes, self.level[slots]))]
+    def keys(self, hashes: np.ndarray) -> np.ndarray:
+        """The leading bits of the hashes.  Shingles may share a key: then they count as one, and both stay in the set."""
+        return hashes >> np.uint64(64 - 8 * _REST - self.key_bits)
+
+    def slots(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - self.settings.bits)).astype(np.int64)
 
 
 def _order(docs: DataFrame, s: Settings) -> Order:
     slots, sizes = _sketch(docs, s)
-    mean = slots.mean()
-    above = np.maximum(0, slots - mean - 4 * np.sqrt(mean))
-    level = np.floor(np.log2(1 + above)).astype(np.uint8)
-    # Expected length of a posted list: documents a slot, less the chance filling, averaged over postings.
-    mean_list = float((slots * (1 + above)).sum() / max(1, slots.sum()))
+    sets, total = int(sizes[:-1].sum()), int(sizes[-1])
+    above = np.maximum(0, slots - slots.mean()).astype(np.int64)
+    # Sets share at most `rare` of a slot's shingles, or it is hot: then its shingles are not counted one by one.
+    rare = max(s.least_hot, sets // s.hot_share)
+    # Expected length of a posted list: what a slot has above chance, averaged over the shingles.
+    mean_list = float((slots * (1 + np.maximum(0, above - 4 * np.sqrt(slots.mean())))).sum() / max(1, slots.sum()))
     best, light, saved_cost = 0.0, 0, 0.0
     for n in range(1, s.most_light + 1):
         subsets = sum(_choose(n, o) for o in s.subset_sizes(n, n))
         saved_cost += float(sizes[n]) * (s.prefix(n) * (1 + mean_list) - subsets)
         if saved_cost > best:
             best, light = saved_cost, n
-    return Order(level, np.minimum(above, 2**40).astype(np.int64), light, s)
+    key_bits = min(64 - 8 * _REST, max(0, (total // s.bucket_rows).bit_length()))
+    return Order(np.where(above > rare, above, 0), light, key_bits, 1 + sets // s.group_docs, s)
 
 
 def _choose(n: int, k: int) -> int:
@@ -195,93 +221,230 @@ def _choose(n: int, k: int) -> int:
     return out
 
 
-def _posted(hashes: np.ndarray, doc: int, order: Order) -> list[tuple[np.ndarray, int]]:
-    """(keys, kind) of a set: kind 0 for posted shingles, o for hashes of subsets of size o."""
-    s, n, out = order.settings, len(hashes), []
-    if n <= order.light:
-        for o in s.subset_sizes(n, order.light):
-            keys = [xxhash.xxh3_64_intdigest(np.array(c, np.uint64).tobytes(), seed=o) for c in combinations(hashes.tolist(), o)]
-            out.append((np.array(keys, np.uint64), o))
-    if s.below * n >= s.above * (order.light + 1):
-        out.append((order.rarest_first(hashes)[: s.prefix(n)], 0))
-    return out
+#: Kinds of rows: a document with its twin (an earlier one of its task with the same set, or itself); keys with the
+#: documents that have them; frequent keys of documents.  Kind 0 is a posted key, o > 0 the hash of a subset of size o.
+_DOCUMENT, _KEYS, _COUNTED = -2, -3, -4
+_ROWS = "place int, kind int, key long, doc_id long, size long, data binary, docs binary, counts binary"
+_NAMES = [c.split()[0] for c in _ROWS.split(", ")]
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], _NAMES)
 
 
-#: A posting of kind -2 is not in a list: it tells a document's set size, and its key is a document with the same set.
-_DOCUMENT = -2
+def _spot(docs, groups: int) -> np.ndarray:
+    """The group of each document id."""
+    mixed = np.asarray(docs, np.int64).view(np.uint64) * np.uint64(_MULTIPLY[0])
+    return ((mixed >> np.uint64(32)) % np.uint64(groups)).astype(np.int64)
 
 
-def _post(docs: DataFrame, order: Order) -> DataFrame:
-    """(kind, key, deal, size, doc_id, sig): what each document posts.  Of equal sets in one task only the first posts.
-    size: the set's size << 32, and the shingle's place in the order; deal: 0, or a part of a list that is dealt out;
-    sig: the set's bitmap, in the row that tells its size."""
+def _dealt(docs: DataFrame, order: Order) -> DataFrame:
+    """Pass 1.  Every document as one row, with its size, bitmap and very frequent keys; its other keys, packed with those
+    of other documents by bucket; and the subsets of light sets."""
     sent = docs.sparkSession.sparkContext.broadcast(order)
-    item = pa.struct([("key", pa.int64()), ("kind", pa.int32()), ("deal", pa.int32()), ("size", pa.int64()), ("sig", pa.binary())])
+
+    def packed(docs: list[int], sets: list[np.ndarray], order: Order):
+        keys, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        place = (keys >> np.uint64(8 * _REST)).astype(np.uint16 if order.key_bits <= 16 else np.uint32)
+        at = np.argsort(place, kind="stable")
+        keys, owner, place = keys[at], owner[at], place[at].astype(np.int64)
+        begin = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        ids = np.array(docs, np.int64)
+        for a, b in zip(begin, [*begin[1:], len(keys)]):
+            first = np.flatnonzero(np.concatenate([[True], owner[a + 1 : b] != owner[a : b - 1]]))
+            counts = np.diff(np.append(first, b - a)).astype(np.uint32)
+            rest = keys[a:b].view(np.uint8).reshape(-1, 8)[:, :_REST]
+            yield int(place[a]), _KEYS, 0, 0, 0, rest.tobytes(), ids[owner[a:b][first]].tobytes(), counts.tobytes()
 
     def run(batches):
         order = sent.value
         s = order.settings
         seen: dict[bytes, int] = {}
+        ids, sets, waiting = [], [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                lengths, keys, kinds, deals, sizes, bitmaps, ends = [0], [], [], [], [], [], [np.zeros(1, np.int32)]
+                part, out = batch.slice(at, 256), []
                 for doc, text in zip(part.column(0).to_pylist(), texts_of(part)):
                     hashes = hashed(text, s.words)
-                    twin = seen.setdefault(xxhash.xxh3_128_digest(hashes.tobytes()), doc) if len(hashes) else doc
-                    posts = [(np.array([twin], np.int64), _DOCUMENT), *(_posted(hashes, doc, order) if len(hashes) and twin == doc else [])]
-                    spot = np.uint64(xxhash.xxh3_64_intdigest(str(doc)))
-                    for post, kind in posts:
-                        expected = order.count[(post >> np.uint64(64 - s.bits)).astype(np.int64)] if kind == 0 else np.zeros(len(post), np.int64)
-                        keys.append(post.view(np.int64)), kinds.append(np.full(len(post), kind, np.int32))
-                        parts = (1 + expected // s.rows_a_task).astype(np.uint64)
-                        deals.append(np.where(parts > 1, 1 + spot % parts, 0).astype(np.int32))
-                        sizes.append((len(hashes) << 32) + (np.arange(len(post)) if kind == 0 else np.zeros(len(post), np.int64)))
-                    bitmaps.append(bitmap(hashes))
-                    ends.append(np.full(sum(len(p) for p, _ in posts), len(bitmaps) * _BITS // 8, np.int32))
-                    lengths.append(lengths[-1] + sum(len(p) for p, _ in posts))
-                flat = [np.concatenate(x) if x else np.empty(0, t) for x, t in ((keys, np.int64), (kinds, np.int32), (deals, np.int32), (sizes, np.int64))]
-                sigs = pa.BinaryArray.from_buffers(pa.binary(), lengths[-1], [None, pa.py_buffer(np.concatenate(ends)), pa.py_buffer(b"".join(bitmaps))])
-                structs = pa.StructArray.from_arrays([*(pa.array(x) for x in flat), sigs], fields=list(item))
-                posts = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), structs)
-                yield pa.RecordBatch.from_arrays([part.column(0), posts], ["doc_id", "posts"])
-
-    rows = docs.mapInArrow(run, "doc_id long, posts array<struct<key:long,kind:int,deal:int,size:long,sig:binary>>")
-    return rows.select("doc_id", F.explode("posts").alias("p")).select("p.kind", "p.key", "p.deal", "p.size", "doc_id", "p.sig")
-
-
-_PAIRS = "key long, a long, b long, size long, kind int, sig array<long>"
+                    n, digest = len(hashes), xxhash.xxh3_128_digest(hashes.tobytes())
+                    new = n > 0 and digest not in seen
+                    twin = seen.setdefault(digest, doc) if n else doc
+                    spot = int(_spot([doc], order.groups)[0])
+                    heavy, n_hot, tail = new and s.below * n >= s.above * (order.light + 1), 0, b""
+                    if new:
+                        if n <= order.light:
+                            for o in s.subset_sizes(n, order.light):
+                                for c in combinations(hashes.tolist(), o):
+                                    key = xxhash.xxh3_64_intdigest(np.array(c, np.uint64).tobytes(), seed=o) - (1 << 63)
+                                    out.append((spot, o, key, doc, n << 32, None, None, None))
+                        if heavy:
+                            heat, keys = order.hot[order.slots(hashes)], order.keys(hashes)
+                            rare, hot = keys[heat == 0], keys[heat > 0]
+                            n_hot = len(hot)
+                            if len(rare):
+                                ids.append(doc), sets.append(rare)
+                                waiting += len(rare)
+                            # the least frequent of the hot ones, as many as the prefix reaches
+                            heat = heat[heat > 0]
+                            first = np.lexsort((hot, heat))[: max(0, s.prefix(n) - len(rare))]
+                            tail = np.stack([hot[first], heat[first].astype(np.uint64)]).tobytes()
+                    out.append((spot, _DOCUMENT, twin, doc, n, bitmap(hashes), tail, np.array([n_hot, heavy], np.int64).tobytes() + digest))
+                    if waiting >= s.bucket_rows:
+                        yield _batch([*packed(ids, sets, order)])
+                        ids, sets, waiting = [], [], 0
+                if out:
+                    yield _batch(out)
+        if ids:
+            yield _batch([*packed(ids, sets, order)])
+
+    return docs.mapInArrow(run, _ROWS)
+
+
+def _by_place(rows: DataFrame) -> DataFrame:
+    return rows.repartition("place").sortWithinPartitions("place", "kind")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], kinds: set[int]):
+    """(place, rows of the kinds) for each place of sorted rows, and (None, batch) for all others as they come."""
+    now, held = None, []
+    for batch in batches:
+        place, kind = (batch.column(k).to_numpy() for k in (0, 1))
+        own = np.isin(kind, list(kinds))
+        if not own.all():
+            yield None, batch.filter(pa.array(~own))
+        if own.any():
+            batch, place = batch.filter(pa.array(own)), place[own]
+            cuts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+            for a, b in zip(cuts, [*cuts[1:], len(place)]):
+                if held and place[a] != now:
+                    yield now, pa.Table.from_batches(held)
+                    held = []
+                now = int(place[a])
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield now, pa.Table.from_batches(held)
+
+
+def _joined_bytes(column, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def _counted(dealt: DataFrame, order: Order) -> DataFrame:
+    """Pass 2, by bucket of keys: exact counts.  Keys that several sets have go back to their documents, packed by group
+    of documents; keys of one set alone are not needed any more."""
+    groups = order.groups
+
+    def run(batches):
+        for place, rows in _groups(batches, {_KEYS}):
+            if place is None:
+                yield rows
+                continue
+            rest = _joined_bytes(rows["data"], np.uint8).reshape(-1, _REST)
+            keys = np.zeros((len(rest), 8), np.uint8)
+            keys[:, :_REST] = rest
+            keys = keys.view(np.uint64)[:, 0] | np.uint64(place << (8 * _REST))
+            docs = np.repeat(_joined_bytes(rows["docs"], np.int64), _joined_bytes(rows["counts"], np.uint32))
+            at = np.argsort(keys)
+            keys, docs = keys[at], docs[at]
+            begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            counts = np.repeat(length := np.diff(np.append(begin, len(keys))), length).astype(np.uint32)
+            some = np.flatnonzero(counts > 1)
+            if not len(some):
+                continue
+            spot = _spot(docs[some], groups)
+            at = np.argsort(spot, kind="stable")
+            some, spot = some[at], spot[at]
+            cuts = np.flatnonzero(np.concatenate([[True], spot[1:] != spot[:-1]]))
+            for k in range(0, len(cuts), 256):
+                ends = [*cuts[k + 1 : k + 256], cuts[k + 256] if k + 256 < len(cuts) else len(some)]
+                yield _batch([(int(spot[a]), _COUNTED, 0, 0, 0, keys[some[a:b]].tobytes(), docs[some[a:b]].tobytes(), counts[some[a:b]].tobytes()) for a, b in zip(cuts[k : k + 256], ends)])
+
+    return _by_place(dealt).mapInArrow(run, _ROWS)
+
+
+_POSTS = "kind int, key long, deal int, size long, doc_id long, sig binary"
+
+
+def _posted(counted: DataFrame, order: Order) -> DataFrame:
+    """Pass 3, by group of documents: what each document posts, the rarest keys first.
+
+    (kind, key, deal, size, doc_id, sig): size is the set's size << 32 and the key's place in the order; deal is 0, or a
+    part of a list that is dealt out.  In rows of kind _DOCUMENT key is the twin, size the set's size and sig its bitmap.
+    An id of several different sets posts all it has, at the first place: then places exclude nothing.
+    """
+
+    def posts(rows: pa.Table, order: Order):
+        s = order.settings
+        told = rows.filter(pc.equal(rows["kind"], _DOCUMENT))
+        yield [np.full(len(told), _DOCUMENT), told["key"].to_numpy(), np.zeros(len(told), np.int64), told["size"].to_numpy(), told["doc_id"].to_numpy(), told["data"].to_pylist()]
+        more = rows.filter(pc.equal(rows["kind"], _COUNTED))
+        keys, docs, counts = (_joined_bytes(more[c], t) for c, t in (("data", np.uint64), ("docs", np.int64), ("counts", np.uint32)))
+        at = np.lexsort((keys, counts, docs))
+        keys, docs, counts = keys[at], docs[at], counts[at]
+        by_id: dict[int, list] = {}
+        for doc, n, tail, end in zip(told["doc_id"].to_pylist(), told["size"].to_pylist(), told["docs"].to_pylist(), told["counts"].to_pylist()):
+            n_hot, heavy = np.frombuffer(end[:16], np.int64).tolist()
+            if heavy:
+                by_id.setdefault(doc, []).append((n, n_hot, np.frombuffer(tail, np.uint64).reshape(2, -1)))
+        for doc, sets in by_id.items():
+            a, b = np.searchsorted(docs, doc), np.searchsorted(docs, doc, "right")
+            for n, n_hot, hot in sets:
+                own, often = np.concatenate([keys[a:b], hot[0]]), np.concatenate([counts[a:b], hot[1]]).astype(np.int64)
+                places = np.zeros(len(own), np.int64)
+                if len(sets) == 1:
+                    alone = n - n_hot - (b - a)  # keys that no other set has come first
+                    at = np.arange(min(len(own), max(0, s.prefix(n) - alone)))
+                    own, often = own[: len(at)], often[: len(at)]
+                    at[1:][own[1:] == own[:-1]] = 0  # a key that stands twice is at its first place
+                    places = alone + np.maximum.accumulate(at)
+                if len(own):
+                    parts = (1 + often // s.rows_a_task).astype(np.uint64)
+                    deal = np.where(parts > 1, 1 + np.uint64(xxhash.xxh3_64_intdigest(str(doc))) % parts, 0).astype(np.int64)
+                    yield [np.zeros(len(own), np.int64), own.view(np.int64), deal, (n << 32) + places, np.full(len(own), doc), [None] * len(own)]
+
+    def run(batches):
+        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+        names = [c.split()[0] for c in _POSTS.split(", ")]
+
+        def out(parts):
+            columns = [pa.array(np.concatenate(c), k) for c, k in zip(list(zip(*parts))[:5], kinds)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([x for p in parts for x in p[5]], pa.binary())], names)
+
+        for place, rows in _groups(batches, {_DOCUMENT, _COUNTED}):
+            if place is None:
+                yield out([[rows.column(1).to_numpy(), rows.column(2).to_numpy(), np.zeros(len(rows), np.int64), rows.column(4).to_numpy(), rows.column(3).to_numpy(), [None] * len(rows)]])
+            else:
+                yield out([*posts(rows, order)])
+
+    return _by_place(counted).mapInArrow(run, _POSTS)
+
+
+_PAIRS = "key long, a long, b long, size long, kind int"
 
 
 def _scan_lists(postings: DataFrame, s: Settings) -> DataFrame:
-    """From postings sorted by (kind, key, deal, size, doc_id): links of kind > 0, pairs to compare of kind 0, the members
-    of lists too long to be compared in full (kind -1) and each document with its twin (kind -2).  A task remembers
-    one list's first and latest sets."""
+    """From postings sorted by (kind, key, deal, size, doc_id): pairs to compare (kind 0) and the members of lists too long
+    to be compared in full (kind -1).  A task remembers one list's first and latest sets."""
 
     def run(batches):
-        now, members, names = None, [], ["key", "a", "b", "size", "kind", "sig"]
+        now, members, names = None, [], ["key", "a", "b", "size", "kind"]
         for batch in batches:
             out: list[tuple] = []
             table = [batch.column(k).to_numpy() for k in range(5)]
-            told = table[0] == _DOCUMENT
-            if told.any():
-                key, size, doc = (table[k][told] for k in (1, 3, 4))
-                sigs = np.frombuffer(b"".join(batch.column(5).filter(pa.array(told)).to_pylist()), np.int64)
-                sigs = pa.ListArray.from_arrays(pa.array(np.arange(len(key) + 1, dtype=np.int32) * (_BITS // 64)), pa.array(sigs))
-                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (np.zeros_like(key), doc, key, size, table[0][told])), sigs], names)
-                table = [c[~told] for c in table]
             same = np.ones(len(table[0]), bool)
             if len(same) > 1:
                 # rows alone in their list are passed over at once
                 joined = (table[0][1:] == table[0][:-1]) & (table[1][1:] == table[1][:-1]) & (table[2][1:] == table[2][:-1])
-                same[1:-1] = joined[:-1] | joined[1:]
+                same[1:-1] = joined[:-1] | joined[1:] | (table[2][1:-1] > 0)  # but in a dealt list others are elsewhere
             for kind, key, deal, size, doc in zip(*(c[same].tolist() for c in table)):
                 if (kind, key, deal) != now:
                     now, members, count = (kind, key, deal), [], 0
                 count += 1
                 if kind:
+                    # all have one subset of size `kind`; a set too large beside the smallest is so beside all others
                     if members and (s.above + s.below) * kind >= s.above * ((members[0][0] >> 32) + (size >> 32)) and doc != members[0][1]:
-                        out.append((0, members[0][1], doc, 0, kind))
+                        out.append((0, members[0][1], doc, 0, 0))
                     members = members or [(size, doc)]
                     continue
                 n, j = size >> 32, size & 0xFFFFFFFF
@@ -298,8 +461,7 @@ def _scan_lists(postings: DataFrame, s: Settings) -> DataFrame:
                 else:
                     members[1:] = [(size, doc)]
             if out:
-                columns = [pa.array(c, pa.int32() if k == 4 else pa.int64()) for k, c in enumerate(zip(*out))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(out), pa.list_(pa.int64()))], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 4 else pa.int64()) for k, c in enumerate(zip(*out))], names)
 
     return postings.mapInArrow(run, _PAIRS)
 
@@ -347,11 +509,10 @@ def _still_apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
 
 
-def _sets(found: DataFrame) -> DataFrame:
+def _sets(told: DataFrame) -> DataFrame:
     """(doc_id, n, sig) of each document; no bitmap where rows of one id have different sets."""
-    rows = found.where("kind = -2").select(F.col("a").alias("doc_id"), F.shiftright("size", 32).alias("n"), "sig")
     one = F.min("sig") == F.max("sig")
-    return rows.groupBy("doc_id").agg(F.max("n").alias("n"), F.when(one, F.min("sig")).alias("sig"))
+    return told.groupBy("doc_id").agg(F.max("size").alias("n"), F.when(one, F.min("sig")).alias("sig"))
 
 
 def _possible(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
@@ -366,39 +527,46 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def _words(sig: Column) -> Column:
+    """A bitmap as 64-bit numbers."""
+    return F.array(*[F.conv(F.hex(F.substring(sig, 1 + 8 * k, 8)), 16, -10).cast("long") for k in range(_BITS // 64)])
+
+
 def join(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id): the components of the graph of similar documents, one row a document."""
     every = narrow(docs, id_col, text_col)
     texts = every.where("doc_id is not null")
-    postings = _post(texts, _order(texts, s)).repartition("key", "deal").sortWithinPartitions("kind", "key", "deal", "size", "doc_id")
-    found = saved(_scan_lists(postings, s))
-    twins = found.where("kind = -2 and a <> b").select("a", "b")
-    sets = saved(_sets(found))
-    compare = _ordered(found.where("kind = 0")).groupBy("a", "b").agg(F.count("*").alias("votes"))
-    compare = saved(_possible(compare, sets, s))
-    members = found.where("kind = -1").select("key", F.col("a").alias("doc_id"), F.col("size").bitwiseAND(0xFFFFFFFF).alias("at"))
-    needed = compare.select(F.explode(F.array("a", "b")).alias("doc_id")).union(members.select("doc_id")).distinct()
-    packed = saved(_packed(texts).join(needed, "doc_id", "left_semi"))
-    # First each document against the one it shares most posted shingles with; then the pairs that are still apart.
-    likely = compare.groupBy("b").agg(F.max(F.struct("votes", -F.col("a"))).alias("m")).select((-F.col("m.col2")).alias("a"), "b")
-    likely = saved(likely)
-    links = saved(_verified(likely, packed, s).unionByName(twins).unionByName(found.where("kind > 0").select("a", "b")))
-    parts = saved(components(links))
-    rest = saved(_still_apart(compare.join(likely, ["a", "b"], "left_anti"), parts))
-    parts = _joined(parts, _verified(rest, packed, s))
-    # Long lists: sets that are still apart are compared with pivots, then in full.
-    members = members.distinct()
-    for step in range(s.rounds + 1):
-        apart = _mixed(members, parts)
-        if apart.isEmpty():
-            break
-        pairs = _across(apart.join(sets, "doc_id"), s, None if step == s.rounds else step)
-        pairs = saved(_ordered(pairs).distinct().join(compare, ["a", "b"], "left_anti"))
-        parts = _joined(parts, _verified(pairs, packed, s))
-        members = apart.drop("label")
-    rows = found.where("kind = -2").select(F.col("a").alias("doc_id"), F.shiftright("size", 32).alias("n_shingles"))
-    rows = rows.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    rows = rows.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
+    with scratch() as tables:
+        order = _order(texts, s)
+        posted = saved(_posted(_counted(_dealt(texts, order), order), order))
+        lists = posted.where(F.col("kind") >= 0).drop("sig").repartition("key", "deal").sortWithinPartitions("kind", "key", "deal", "size", "doc_id")
+        found = saved(_scan_lists(lists, s))
+        told = posted.where(F.col("kind") == _DOCUMENT).select("doc_id", F.col("key").alias("twin"), "size", _words(F.col("sig")).alias("sig"))
+        twins = told.where("twin <> doc_id").select(F.col("twin").alias("a"), F.col("doc_id").alias("b"))
+        sets = saved(_sets(told))
+        compare = _ordered(found.where("kind = 0")).groupBy("a", "b").agg(F.count("*").alias("votes"))
+        compare = saved(_possible(compare, sets, s))
+        members = found.where("kind = -1").select("key", F.col("a").alias("doc_id"), F.col("size").bitwiseAND(0xFFFFFFFF).alias("at"))
+        needed = compare.select(F.explode(F.array("a", "b")).alias("doc_id")).union(members.select("doc_id")).distinct()
+        packed = saved(_packed(texts).join(needed, "doc_id", "left_semi"))
+        # First each document against the one it shares most posted shingles with; then the pairs that are still apart.
+        likely = compare.groupBy("b").agg(F.max(F.struct("votes", -F.col("a"))).alias("m")).select((-F.col("m.col2")).alias("a"), "b")
+        likely = saved(likely)
+        parts = saved(components(_verified(likely, packed, s).unionByName(twins)))
+        rest = saved(_still_apart(compare.join(likely, ["a", "b"], "left_anti"), parts))
+        parts = _joined(parts, _verified(rest, packed, s))
+        # Long lists: sets that are still apart are compared with pivots, then in full.
+        members = members.distinct()
+        for step in range(s.rounds + 1):
+            apart = _mixed(members, parts)
+            if apart.isEmpty():
+                break
+            pairs = _across(apart.join(sets, "doc_id"), s, None if step == s.rounds else step)
+            pairs = saved(_ordered(pairs).distinct().join(compare, ["a", "b"], "left_anti"))
+            parts = _joined(parts, _verified(pairs, packed, s))
+            members = apart.drop("label")
+        rows = told.select("doc_id", F.col("size").alias("n_shingles")).join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        rows = tables.keep(saved(rows.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))))
     return rows.unionByName(_without_id(every, s))
 
 
@@ -415,12 +583,15 @@ def _mixed(members: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def _across(apart: DataFrame, s: Settings, step: int | None) -> DataFrame:
-    """Pairs (a, b) of lists that may link two components: of each member and the list's pivots of a step, or all."""
+    """Pairs (a, b) of lists that may link two components: of each member and the list's pivots of a step, or all.
+    A pivot is the smallest member by a hash, found with map-side combine."""
     of = lambda rows, x, at: rows.select("key", F.col("label").alias("label_" + x), F.col("doc_id").alias(x), F.col("n").alias("n_" + x), F.col("at").alias(at), F.col("sig").alias("sig_" + x))
     other, differ = apart, F.col("label_a") < F.col("label_b")
     if step is not None:
-        rank = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("doc_id", F.lit(step)), "doc_id"))
-        other, differ = apart.withColumn("rank", rank).where(F.col("rank") <= s.pivots), F.col("label_a") != F.col("label_b")
+        hashed = apart.withColumns({f"h{k}": F.xxhash64("doc_id", F.lit(step * s.pivots + k)) for k in range(s.pivots)})
+        least = hashed.groupBy("key").agg(*[F.min(F.struct(f"h{k}", "doc_id", "at", "label", "n", "sig")).alias(f"p{k}") for k in range(s.pivots)])
+        other = least.select("key", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"p{k}")[c].alias(c) for c in ("doc_id", "at", "label", "n", "sig")]) for k in range(s.pivots)]))).alias("p")).select("key", "p.*")
+        differ = F.col("label_a") != F.col("label_b")
     pairs = of(apart, "a", "i").join(of(other, "b", "j"), "key").where(differ)
     return pairs.where(s.first_common(F.col("n_a"), F.col("i"), F.col("n_b"), F.col("j")) & s.may_link("a", "b")).select("a", "b")
 
@@ -435,8 +606,16 @@ def _without_id(texts: DataFrame, s: Settings) -> DataFrame:
 
 
 def dedup(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, all columns, of the document with the smallest id in each group; one row where an id repeats
-    within a group of its own is kept as it is, and rows without an id stay."""
-    groups = join(docs, s, id_col, text_col)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    """The rows of `docs`, all columns, of the document with the smallest id in each group.  Rows alike in id and text are
+    copies too: the first by all columns stays.  Rows without an id stay."""
+    key, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
+    groups = join(docs, s, id_col, text_col).where("doc_id is not null")
+    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("id"), text.alias("text"))
+    kept = own.join(gone, F.col("id") == F.col("doc_id"), "left_anti")
+    many = groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if not many.isEmpty():  # only rows that repeat an id are grouped
+        again = kept.join(many, F.col("id") == F.col("doc_id"), "left_semi").groupBy("id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+        single = kept.join(many, F.col("id") == F.col("doc_id"), "left_anti").select("row")
+        kept = single.unionByName(again.agg(F.min_by("row", F.to_json("row")).alias("row")).select("row"))
+    return kept.select("row.*")
