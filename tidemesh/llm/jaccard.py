@@ -59,7 +59,9 @@ class Settings:
     hot_share: int = 256
     least_hot: int = 4096
     #: Shingles are counted in buckets of about so many, and documents post in groups of about so many.
-    bucket_rows: int = 1 << 21
+    bucket_rows: int = 1 << 20
+    #: So many shingles are packed at a time.
+    packed_rows: int = 1 << 19
     group_docs: int = 4096
     #: A list is compared in full up to this many sets; longer ones against the first and the previous set.
     full: int = 6
@@ -245,7 +247,7 @@ def _dealt(docs: DataFrame, order: Order) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(order)
 
     def packed(docs: list[int], sets: list[np.ndarray], order: Order):
-        keys, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        keys, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets])
         place = (keys >> np.uint64(8 * _REST)).astype(np.uint16 if order.key_bits <= 16 else np.uint32)
         at = np.argsort(place, kind="stable")
         keys, owner, place = keys[at], owner[at], place[at].astype(np.int64)
@@ -290,7 +292,7 @@ def _dealt(docs: DataFrame, order: Order) -> DataFrame:
                             first = np.lexsort((hot, heat))[: max(0, s.prefix(n) - len(rare))]
                             tail = np.stack([hot[first], heat[first].astype(np.uint64)]).tobytes()
                     out.append((spot, _DOCUMENT, twin, doc, n, bitmap(hashes), tail, np.array([n_hot, heavy], np.int64).tobytes() + digest))
-                    if waiting >= s.bucket_rows:
+                    if waiting >= s.packed_rows:
                         yield _batch([*packed(ids, sets, order)])
                         ids, sets, waiting = [], [], 0
                 if out:
