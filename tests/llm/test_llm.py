@@ -223,8 +223,27 @@ def test_edited_counts_equal_full_encoding(spark):
     before = long.encoded
     long.edit(9000, 9004, "new words")
     assert long.encoded - before < 200
+    # sixty edits at one place cost what they bring, not what lies there
+    piece = " ".join(rng.choices(WORDS, k=250)) + " "
+    cost = []
+    for _ in range(60):
+        before = long.encoded
+        long.edit(9000, 9000, piece)
+        cost.append(long.encoded - before)
+    assert max(cost) < 2 * len(piece) and long.n_tokens == len(lib.encode(long.text(), add_special_tokens=False).ids)
+    long.edit(10, long.n_chars - 10, "x")
+    assert long.n_chars == 21 and long.n_tokens == len(lib.encode(long.text(), add_special_tokens=False).ids)
+    # a tree outlives its batch
+    docs = spark.createDataFrame([(1, "one two three " * 200), (2, None)], "doc_id long, text string")
+    change = F.array(F.struct(F.lit(1).alias("seq"), F.lit(700).alias("start"), F.lit(703).alias("end"), F.lit("twelve").alias("replacement")))
+    first = token_counts.applied(docs.withColumn("edits", change), path, trees=True)
+    again = {r.doc_id: r for r in token_counts.applied(first.select("doc_id", "text", "piece_lengths", "piece_tokens", change.alias("edits")), path, trees=True).collect()}
+    assert all(r.tokens_after == len(lib.encode(r.text, add_special_tokens=False).ids) and sum(r.piece_lengths) == len(r.text) and r.chars_encoded < 60 for r in again.values())
+    with pytest.raises(ValueError):
+        token_counts.TokenTree("Hello World", bpe.vocabulary(P.path("word_bpe_49k.json")))
     edits = spark.createDataFrame([(1, 1, 0, 0, "Hi "), (4, 1, 0, 99, None), (77, 1, 0, 0, "x")], "doc_id long, seq long, start long, end long, replacement string")
     out = token_counts.count(edge(spark), edits, path)
+    assert token_counts.count(edge(spark).limit(0), edits, path).count() == 0
     assert out.count() == len(EDGE) and {r.tokens_after for r in out.where("doc_id = 4").collect()} == {0} and out.where("doc_id = 1").first().tokens_after == 2
 
 
