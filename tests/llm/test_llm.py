@@ -172,6 +172,12 @@ def test_mixing(spark):
     few = spark.createDataFrame([(1, "a b c d", "a"), (2, "a b", "b"), (3, "x", None), (3, "x", None), (4, None, "a")], SCHEMA)
     rows = {r.doc_id: r for r in mixing.decide(few).collect()}
     assert rows[4].taken == 0 and all(r.taken <= 3 * r["size"] for r in rows.values()) and rows[3].source_size == 2
+    # one id, or none, on all rows of a source: the words taken still come near its target
+    alike = [(9, "w " * 10, "b")] * 40 + [(None, "v " * 10, "a")] * 40 + [(None, f"v {k} " * 5, "a") for k in range(40)] + [(8, f"x{k} " * 10, "c") for k in range(60)] + [(i, "long " * 10, None) for i in range(200)]
+    docs = spark.createDataFrame(alike, SCHEMA).repartition(5)
+    for source in mixing.decide(docs).groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken")).collect():
+        assert abs(source.target - source.taken) <= 5
+    assert abs(mixing.mix(docs).count() * 10 - 3800) <= 20 and mixing.decide(docs, F.lit(0.0)).agg(F.sum("taken")).first()[0] > 3700
     assert mixing.decide(edge(spark)).count() == len(EDGE) and mixing.mix(edge(spark)).columns == edge(spark).columns and mixing.decide(edge(spark).limit(0)).count() == 0
 
 
