@@ -197,6 +197,11 @@ def test_language_of_held_out_rows(spark):
     assert right > 0.98
     docs = edge(spark)
     model = langid.train(docs)
+    long = "Über den Wolken – and more. " * 30
+    whole, cut = (langid.gram_counts(long, langid.Settings(piece=n)) for n in (1 << 16, 7))
+    assert (whole == cut).all()
+    with pytest.raises(ValueError):
+        langid.train(spark.createDataFrame([(1, "abc", "a"), (2, "abc", "b")], "doc_id long, text string, lang string"), s=langid.Settings(most_languages=1))
     assert model.languages == [] and {r.lang_pred for r in langid.predict(docs, model).collect()} == {"und"}
 
 
@@ -313,9 +318,14 @@ def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         empty = stage(spark, docs.limit(0), SF)
-        odd = stage(spark, edge(spark), SF)
+        clash = edge(spark).withColumns({c: F.lit(7) for c in ("removed_chunks", "removed_lines", "__gone", "doc", "copy", "id", "digest")})
+        odd = stage(spark, clash, SF)
         assert empty.count() == 0 and odd.count() <= 3 * len(EDGE)
         if k < 4:
-            assert odd.columns == edge(spark).columns
+            assert odd.columns == clash.columns
+    same = spark.createDataFrame([(1, "one and the same text of some words", "s")] * 2 + [(None, "?!", "s"), (None, "words", "s"), (5, "", "s"), (6, "one and the same text of some words", "s")], SCHEMA).withColumn("lang", F.lit("en"))
+    stages = dict(corpus_pipeline.STAGES)
+    assert sorted(str(r.doc_id) for r in stages["language_id"](spark, same, SF).collect()) == ["1", "1", "6", "None"]
+    assert sorted(str(r.doc_id) for r in stages["near_duplicates"](spark, same, SF).collect()) == ["1", "5", "None", "None"]
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 100 and set(out.columns) >= {"doc_id", "n_tokens", "ids_sha256"}

@@ -23,6 +23,13 @@ def narrow(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def unused(columns: list[str], name: str) -> str:
+    """The name, with as many underscores as it takes to be none of the columns (case does not tell names apart)."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (spark.checkpoint.dir).  Only where all work is in one process, as in tests, may it
     be unset: then it is a temporary one."""

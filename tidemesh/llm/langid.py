@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import narrow, texts_of
+from .common import narrow, saved, scratch, texts_of
 
 
 @dataclass(frozen=True)
@@ -39,19 +40,20 @@ COLUMNS = "doc_id long, lang_pred string, score double, languages array<struct<l
 def gram_counts(text: str, s: Settings) -> np.ndarray:
     """Counts of the hashed n-grams of the whole lower-cased text, letters only; others count as one space."""
     total = np.zeros(1 << s.bits, np.int64)
+    before = np.empty(0, np.uint64)
     for at in range(0, len(text), s.piece):
-        part = text[max(0, at - 2) : at + s.piece].lower()
-        codes = np.frombuffer(part.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+        codes = np.frombuffer(text[at : at + s.piece].lower().encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
         letters = (codes >= 128) | ((codes >= 97) & (codes <= 122))
-        codes = np.where(letters, codes, 32)
+        codes = np.concatenate([before, np.where(letters, codes, 32)])
         codes = codes[np.concatenate([[True], (codes[1:] != 32) | (codes[:-1] != 32)])] if len(codes) else codes
         one = codes * np.uint64(0x9E3779B97F4A7C15)
-        grams = [one[codes != 32]]
+        old, before = len(before), codes[-2:]  # the last two begin the next piece's n-grams, and are counted here alone
+        grams = [one[old:][codes[old:] != 32]]
         if len(codes) > 1:
             two = (one[:-1] ^ (one[:-1] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + one[1:]
-            grams.append(two)
+            grams.append(two[max(0, old - 1) :])
             if len(codes) > 2:
-                grams.append((two[:-1] ^ (two[:-1] >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) + one[2:])
+                grams.append(((two[:-1] ^ (two[:-1] >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) + one[2:])[max(0, old - 2) :])
         for g in grams:
             total += np.bincount(((g ^ (g >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - s.bits)).astype(np.int64), minlength=1 << s.bits)
     return total
@@ -116,12 +118,14 @@ def train(docs: DataFrame, lang: Column | str = "lang", id_col: str = "doc_id",
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang_] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])], ["lang", "gram", "n"])
 
-    counted = rows.mapInArrow(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    # one row a language and block of n-grams, so that the driver gets few rows
-    blocks = counted.groupBy("lang", F.expr("gram div 1024").alias("block")).agg(F.collect_list(F.struct("gram", "n")).alias("grams")).collect()
-    languages = sorted({r.lang for r in blocks}, key=lambda x: x.encode())
-    if len(languages) > s.most_languages:
-        raise ValueError(f"{len(languages)} languages, more than {s.most_languages}")
+    with scratch():
+        counted = saved(rows.mapInArrow(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+        languages = counted.select("lang").distinct().limit(s.most_languages + 1).count()
+        if languages > s.most_languages:
+            raise ValueError(f"more than {s.most_languages} languages")
+        # one row a language and block of n-grams, so that the driver gets few rows
+        blocks = counted.groupBy("lang", F.expr("gram div 1024").alias("block")).agg(F.collect_list(F.struct("gram", "n")).alias("grams")).collect()
+        languages = sorted({r.lang for r in blocks}, key=lambda x: x.encode())
     table = np.zeros((len(languages), 1 << s.bits))
     for r in blocks:
         row = table[languages.index(r.lang)]
@@ -133,7 +137,22 @@ def train(docs: DataFrame, lang: Column | str = "lang", id_col: str = "doc_id",
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's language set with shares, its main language and that one's share; no shuffle."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return _predicted(narrow(docs, id_col, text_col), model, T.StructType.fromDDL(COLUMNS), texts_of)
+
+
+def spoken(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, whose text has a language, so whose lang_pred is not `und`.  Rows are not joined
+    by an id, so repeated and null ids do not matter."""
+    at = docs.columns.index(text_col)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    schema = T.StructType([T.StructField("row", docs.schema), *T.StructType.fromDDL(COLUMNS).fields[1:]])
+    found = _predicted(packed, model, schema, lambda batch: batch.column(0).field(at).cast(pa.string()).to_pylist())
+    return found.where("lang_pred <> 'und'").select("row.*")
+
+
+def _predicted(rows: DataFrame, model: Model, schema: T.StructType, texts) -> DataFrame:
+    """The first column of `rows` with the prediction for the texts of each batch."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         known = sent.value
@@ -141,7 +160,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
         for batch in batches:
             lang, score, sets, fits = [], [], [], []
-            for text in texts_of(batch):
+            for text in texts(batch):
                 if not names or not text or not any(map(str.isalpha, text)):
                     lang.append("und"), score.append(0.0), sets.append([]), fits.append(None)
                     continue
@@ -149,9 +168,9 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 best = int(np.argmax(share))
                 lang.append(names[best]), score.append(min(1.0, float(share[best]))), fits.append(float(fit))
                 sets.append([{"lang": names[k], "share": float(share[k])} for k in np.argsort(-share, kind="stable") if share[k] > 0])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(sets, kind), pa.array(fits, pa.float64())], ["doc_id", "lang_pred", "score", "languages", "per_gram"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(sets, kind), pa.array(fits, pa.float64())], schema.names)
 
-    return narrow(docs, id_col, text_col).mapInArrow(run, COLUMNS)
+    return rows.mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -158,8 +158,8 @@ def cut(text: str | None, doc: int | None, found: list[tuple[bytes, int]], s: Se
     return kept.decode("utf-8", "surrogatepass"), n_chunks, sum(p[2] for p, g in zip(parts, gone) if g)
 
 
-def dedup(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
-    """The rows of `docs` with their texts cut; with `counts` also removed_chunks and removed_lines (long).
+def dedup(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", counts: bool | tuple[str, str] = False) -> DataFrame:
+    """The rows of `docs` with their texts cut; with `counts` also removed_chunks and removed_lines (long), or two other names.
 
     What a document must compare comes to it by its id: at most its own passages, each with its bytes.
     """
@@ -174,7 +174,7 @@ def dedup(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", tex
     at = docs.columns.index(text_col)
     fields = [T.StructField(f.name, T.StringType() if k == at else f.dataType) for k, f in enumerate(docs.schema.fields)]
     if counts:
-        fields += [T.StructField("removed_chunks", T.LongType()), T.StructField("removed_lines", T.LongType())]
+        fields += [T.StructField(name, T.LongType()) for name in (("removed_chunks", "removed_lines") if counts is True else counts)]
 
     def run(batches):
         for batch in batches:
