@@ -1,4 +1,8 @@
-"""A training-corpus pipeline: each stage works on all documents its predecessor kept."""
+"""A training-corpus pipeline: each stage works on all documents its predecessor kept.
+
+All stages but the last return the columns of their input, whatever their names; none drops a row because its id is
+null or repeated.  Texts are read whole, and an empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
@@ -7,10 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemesh.llm import bpe, jaccard, langid, line_dedup, mixing
-from tidemesh.llm.common import saved
-
-#: A document whose main language has a smaller share of it is in no language that can be told.
-LEAST_SHARE = 0.5
+from tidemesh.llm.common import saved, unused
 
 
 def _id(df: DataFrame) -> DataFrame:
@@ -18,33 +19,35 @@ def _id(df: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7.  Documents without a letter, or without a main language, go; the columns stay as they are."""
+    """Operator 7.  Rows whose text is null or has no letter, or all where no row has a `lang` to learn from, go; mixtures
+    of learned languages stay.  Null and repeated ids are judged like others."""
     docs = _id(docs)
-    model = langid.train(docs.where(~langid.held_out()))
-    said = langid.predict(docs, model).where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_SHARE))
-    return docs.join(said.select(F.col("doc_id").alias("__gone")).distinct(), F.col("doc_id") == F.col("__gone"), "left_anti")
+    return langid.spoken(docs, langid.train(docs.where(~langid.held_out())))
 
 
 def line_chunks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3.  Repeated chunks are cut from the texts; a document of which nothing is left goes."""
-    done = line_dedup.dedup(docs, counts=True)
-    rest = done.where((F.col("removed_chunks") == 0) | (F.col("text") != ""))
-    kept = rest.select(*docs.columns)
+    """Operator 3.  Repeated passages are cut from the texts, and n_chars follows; a document of which nothing is left
+    goes.  Rows with a null id, and null and empty texts, stay as they are; rows of one id are one document."""
+    names = unused(docs.columns, "removed_chunks"), unused(docs.columns, "removed_lines")
+    done = line_dedup.dedup(docs, counts=names)
+    kept = done.where((F.col(names[0]) == 0) | (F.col("text") != "")).drop(*names)
     return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10.  Of each group of similar documents the one with the smallest id stays."""
+    """Operator 10.  Of each group of similar documents the one with the smallest id stays; of rows alike in id and text
+    one.  Rows with a null id, and texts without words, stay."""
     return jaccard.dedup(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5.  Documents stand as often as the mix takes them."""
+    """Operator 5.  Rows stand as often as the mix takes them, at most three times; a null source is one of its own, and
+    rows without words come with the complete epochs of their source."""
     return mixing.mix(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1.  (doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of every row."""
+    """Operator 1.  (doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of every row; a null text has no tokens."""
     encoded = bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"))
     return bpe.digests(encoded, "ids")
 
