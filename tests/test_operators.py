@@ -3,7 +3,7 @@
 import random
 
 from pyspark.sql import functions as F
-from tidemesh.operators import planning, propagation, retrieval, series, similarity, topology
+from tidemesh.operators import phase, planning, propagation, retrieval, series, similarity, supervision, topology
 from tidemesh.sources import graphs, sinks
 from tidemesh.streaming import activity
 
@@ -34,13 +34,14 @@ def test_complete_graph_of_four(spark):
 
 
 def test_resilience_of_a_recovery(spark):
-    rows = spark.createDataFrame([("r", i, x) for i, x in enumerate([1.0, 0.8, 0.6, 0.55])], "run string, i int, x double")
+    rows = spark.createDataFrame([("r", i, x) for i, x in enumerate([4.0, 5.0, 3.0, 2.0, 1.0])], "run string, i int, x double")
     r = series.resilience(rows, "run", ["i"]).first()
-    assert (r.recovery_steps, r.overshoot, r.settling) == (4, 0.0, 4) and abs(r.path - 0.45) < 1e-12
+    assert (r.recovery_steps, r.overshoot, r.settling) == (4, 1.0, 5) and abs(r.path - 5) < 1e-12
+    assert tuple(series.recovery(series.resilience(rows, "run", ["i"]), "run").first()) == ("r", 0.75, 0.6)
 
 
 def test_state_classes(spark):
-    rows = spark.createDataFrame([(0.9, 0.2, 1.5), (0.5, 0.6, 3.0), (0.1, 0.8, 6.2)], "r double, s double, d double")
+    rows = spark.createDataFrame([(0.75, 0.45, 2.0), (0.4, 0.65, 5.5), (0.3, 0.2, 7.0)], "r double, s double, d double")
     assert [x[0] for x in rows.select(series.state_class(F.col("r"), F.col("s"), F.col("d"))).collect()] == ["stable_routine", "adaptive", "high_flux"]
 
 
@@ -152,3 +153,59 @@ def test_reports(spark, tmp_path):
     sinks.json_trace(rows, f"{tmp_path}/json")
     assert {(r.name, r.value) for r in spark.read.option("header", True).csv(f"{tmp_path}/csv").collect()} >= {("a", "0.500000")}
     assert {r.name for r in spark.read.json(f"{tmp_path}/json").collect()} == {"a", "b"}
+
+
+def test_an_impact_that_cancels_pushes_on(spark):
+    # b and c reach d with opposite signs, so d has 0 and still passes on to e with sign +1
+    adj = spark.createDataFrame([("a", "b", 1), ("a", "c", -1), ("b", "d", 1), ("c", "d", 1), ("d", "e", 1)], "node string, nbr string, polarity int")
+    seed = spark.createDataFrame([("a", 1.0)], "node string, impact double")
+    got = {r.node: r.impact for r in propagation.spread(seed, adj).collect()}
+    assert got["d"] == 0 and got["e"] == 0.125
+
+
+def test_nodes_without_an_impact_have_none(spark):
+    edges = pairs(spark, [("a", "b", 1.0), ("a", "c", 1.0), ("b", "c", 1.0)])
+    impact = spark.createDataFrame([("a", 1.0)], "node string, impact double")
+    assert planning.drop_scores(edges, impact, 2.0).count() == 3 and planning.drops(edges, impact, 5.0, -1.0).count() == 1
+    three = topology.triangles(edges)
+    assert topology.simplex_pressure(impact, three, topology.four_cliques(three, edges)).count() == 3
+
+
+def test_describe_falls_back_to_degrees(spark):
+    edges = spark.createDataFrame([(1, "a", "b", "x", 1.0), (2, "b", "c", "x", 5.0), (3, "d", "d", "x", 0.5)], "ord int, src string, dst string, layer string, weight double")
+    assert [r.ord for r in retrieval.described(edges, "c").collect()] == [2]
+    assert [(r.ord, r.score) for r in retrieval.described(edges, "nothing here").collect()] == [(2, 8), (1, 4), (3, 4)]
+
+
+def test_phases_of_flat_short_and_missing_series(spark):
+    rows = [("flat", i, 1.0, 1.0, 1.0, 1.0) for i in range(4)] + [("one", 0, 1.0, 2.0, 3.0, 4.0)] + [("up", i, float(i), float(i), float(i), -float(i)) for i in range(4)]
+    table = spark.createDataFrame(rows, "run string, i int, speed double, dist double, tension double, objective double")
+    got = {r.run: r for r in phase.analysis(table, "run", ["i"]).collect()}
+    assert (got["flat"].critical, got["flat"].coherence, got["flat"].regime, got["flat"].persistence) == (0.0, 1.0, "calm", 1.0)
+    assert (got["one"].n, got["one"].critical, got["one"].warning) == (1, 0.0, 0.0)
+    assert got["up"].hysteresis == 1.0 and got["up"].broken == 1.0 and abs(got["up"].coherence - 2 / 3) < 1e-9 and got["up"].flip_rate == 0
+    missing = spark.createDataFrame([("r", 0, None), ("r", 1, 2.0), ("r", 2, None)], "run string, i int, x double")
+    assert [r.x for r in phase.padded(missing, "run", ["i"], ["x"]).orderBy("i").collect()] == [0.0, 2.0, 2.0]
+
+
+def test_merge_trim_and_budgets(spark):
+    one = spark.createDataFrame([("a", "b", 0), ("c", "d", 1)], "u string, v string, ord int")
+    two = spark.createDataFrame([("b", "a", 0), ("e", "f", 1)], "u string, v string, ord int")
+    assert [tuple(r) for r in supervision.merged(one, two).collect()] == [("a", "b"), ("c", "d"), ("e", "f")]
+    budgets = spark.createDataFrame([("a", 0.0)], "node string, budget double")
+    assert abs(supervision.recovered(budgets).first().budget - 0.07) < 1e-12 and supervision.mean_budget(budgets.limit(0)).first().budget == 1.0
+    state = spark.createDataFrame([("a", "b", 0.6, 1.0, 0, 0), ("a", "c", 0.1, -1.0, 0, 1)], "u string, v string, affinity double, eligibility double, on int, off int")
+    signals = spark.createDataFrame([("a", 1.0, 0.0), ("b", 1.0, 0.0), ("c", -1.0, 0.0)], "node string, now double, before double")
+    after, left = supervision.plasticity(state, signals, budgets.withColumn("budget", F.lit(1.0)))
+    got = {r.v: r for r in after.collect()}
+    assert (got["b"].on, got["b"].off, got["c"].on, got["c"].off) == (1, 0, 0, 2) and got["b"].affinity > 0.6 and got["c"].affinity < 0.1
+    assert {r.node for r in left.where("budget < 1").collect()} == {"a", "b"} and supervision.trimmed(after, 1).first().v == "b"
+
+
+def test_forgetting_of_lone_and_split_nodes(spark):
+    adj = graphs.both_ways(pairs(spark, [("a", "b", 1), ("c", "d", 1)]))
+    chosen = spark.createDataFrame([(x,) for x in "abcz"], "node string")
+    r = supervision.forgetting(chosen, adj, 1.0).first()
+    assert (r.loss, r.connectivity) == (0.25, 0.5) and abs(r.forgetting - 0.35) < 1e-12
+    lone = supervision.forgetting(chosen.where("node = 'z'"), adj).first()
+    assert (lone.loss, lone.connectivity) == (1.0, 1.0)

@@ -6,11 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def clip(x: float) -> float:
+    return max(0.0, min(1.0, x))
+
+
 def drop_scores(pairs: DataFrame, impact: DataFrame, risk: float) -> DataFrame:
-    """(u, v, weight, score): edges of low weight whose ends disagree score lowest and are dropped first."""
+    """(u, v, weight, score): edges of low weight whose ends disagree score lowest and are dropped first.  A node without an impact
+    has 0; the risk is held to 0..1."""
     at = lambda x: impact.select(F.col("node").alias(x), F.col("impact").alias("i_" + x))
-    rows = pairs.join(at("u"), "u").join(at("v"), "v")
-    a, b = F.col("i_u"), F.col("i_v")
+    rows = pairs.join(at("u"), "u", "left").join(at("v"), "v", "left")
+    a, b = F.coalesce("i_u", F.lit(0.0)), F.coalesce("i_v", F.lit(0.0))
+    risk = clip(risk)
     both = F.abs(a) + F.abs(b)
     gap = F.abs(a - b) / F.greatest(F.lit(1e-6), both)
     stable, match = F.greatest(F.lit(0.0), 1 - gap), F.when(a * b >= 0, 1.0).otherwise(0.0)
@@ -20,7 +26,12 @@ def drop_scores(pairs: DataFrame, impact: DataFrame, risk: float) -> DataFrame:
     return rows.select("u", "v", "weight", score.alias("score"))
 
 
+def most_drops(risk: float, density: float) -> int:
+    """Fewer at high risk, more in dense graphs."""
+    return round(3 * (1 - 0.7 * clip(risk)) * (0.7 + 0.6 * clip(density)))
+
+
 def drops(pairs: DataFrame, impact: DataFrame, risk: float, density: float) -> DataFrame:
-    """The edges proposed for dropping: fewer at high risk, more in dense graphs."""
-    most = round(3 * (1 - 0.7 * risk) * (0.7 + 0.6 * density))
+    """The edges proposed for dropping."""
+    most = most_drops(risk, density)
     return drop_scores(pairs, impact, risk).orderBy("score", "u", "v").limit(most)

@@ -12,7 +12,7 @@ HOPS, KEEP, FLOOR, LINK, LINKS = 3, 0.5, 0.01, 0.25, 3
 def spread(seeds: DataFrame, adjacency: DataFrame, strength: float = 1.0, keep: float = KEEP, hops: int = HOPS) -> DataFrame:
     """(node, impact, hop): seeds (node, impact) spread to neighbours (node, nbr, polarity).
 
-    All nodes of a hop act at once, with the sign they have at its start; the strength of a hop is the same for all.
+    All nodes of a hop act at once, with the sign they have at its start (an impact that cancels to 0 pushes); the strength of a hop is the same for all.
     A node acts only in the hop after it was first reached.  The number of hops is fixed by `keep` and the floor.
     """
     state = seeds.select("node", F.col("impact").cast("double").alias("impact"), F.lit(0).alias("hop"))
@@ -20,7 +20,7 @@ def spread(seeds: DataFrame, adjacency: DataFrame, strength: float = 1.0, keep:
         if strength <= FLOOR:
             break
         strength *= keep
-        acting = state.where(F.col("hop") == hop - 1).select("node", F.signum("impact").alias("sign"))
+        acting = state.where(F.col("hop") == hop - 1).select("node", F.when(F.col("impact") >= 0, 1).otherwise(-1).alias("sign"))
         given = acting.join(adjacency, "node").groupBy("nbr").agg(F.sum(F.col("sign") * F.col("polarity") * strength).alias("given"))
         state = state.join(given.withColumnRenamed("nbr", "node"), "node", "full_outer").select(
             "node", (F.coalesce("impact", F.lit(0.0)) + F.coalesce("given", F.lit(0.0))).alias("impact"), F.coalesce("hop", F.lit(hop)).alias("hop")
@@ -51,21 +51,23 @@ def rewires(impact: DataFrame, adjacency: DataFrame, limit: int = LINKS) -> Data
     return fits.select("rank", "node", "nbr").orderBy("rank").limit(limit)
 
 
-def state_vectors(incident: DataFrame, nodes: int | None = None) -> DataFrame:
-    """Six features of every entity from its incident edges (entity, nbr, layer), in two aggregations.
+def state_vectors(incident: DataFrame, total: DataFrame) -> DataFrame:
+    """Six features of every entity from its incident edges (entity, nbr, layer), in two aggregations; total: one row with
+    the number of nodes.
 
-    entropy of the neighbours, share of temporal edges, number of spatial layers, edges, share of nodes that are
-    neighbours, distinct layers an edge.
+    entropy of the neighbours, share of temporal edges, number of spatial edges, edges, share of the other nodes that
+    are neighbours, distinct layers an edge; and the distinct neighbours and layers themselves.
     """
-    per = incident.groupBy("entity", "nbr").agg(F.count("*").alias("n"), F.count_if(F.col("layer") == "temporal").alias("t"), F.collect_set("layer").alias("layers"))
+    per = incident.groupBy("entity", "nbr").agg(F.count("*").alias("n"), F.count_if(F.col("layer") == "temporal").alias("t"), F.count_if(F.lower("layer").isin("spatial", "location", "place")).alias("s"), F.collect_set("layer").alias("layers"))
     row = per.groupBy("entity").agg(
-        F.sum("n").alias("edges"), F.sum("t").alias("temporal"), F.count("*").alias("nbrs"), F.array_distinct(F.flatten(F.collect_set("layers"))).alias("layers"),
+        F.sum("n").alias("edges"), F.sum("t").alias("temporal"), F.sum("s").alias("spatial"), F.count("*").alias("nbrs"), F.array_distinct(F.flatten(F.collect_set("layers"))).alias("layers"),
         F.collect_list("n").alias("counts"),
     )
     p = lambda n: n / F.col("edges")
     entropy = F.aggregate("counts", F.lit(0.0), lambda acc, n: acc - p(n) * F.log(p(n) + 1e-9))
-    spatial = F.size(F.filter("layers", lambda x: F.lower(x).isin("spatial", "location", "place")))
+    row = row.join(F.broadcast(total.toDF("nodes")))
     return row.select(
-        "entity", entropy.alias("social_entropy"), F.least(F.lit(1.0), F.col("temporal") / F.col("edges")).alias("temporal_regularity"), spatial.alias("spatial_range"),
-        F.col("edges").alias("schedule_density"), F.col("nbrs").alias("neighbours"), (F.size("layers") / F.col("edges")).alias("transition_speed"),
+        "entity", entropy.alias("social_entropy"), F.least(F.lit(1.0), F.col("temporal") / F.col("edges")).alias("temporal_regularity"), F.col("spatial").alias("spatial_range"),
+        F.col("edges").alias("schedule_density"), (F.col("nbrs") / F.greatest(F.lit(1), F.col("nodes") - 1)).alias("network_centrality"), (F.size("layers") / F.col("edges")).alias("transition_speed"),
+        F.col("nbrs").alias("neighbours"), F.size("layers").cast("long").alias("n_layers"),
     )

@@ -41,6 +41,31 @@ def local(edges: DataFrame, query: str, limit: int = EVIDENCE) -> DataFrame:
     return (scored.where("score > 0") if terms else scored).orderBy(F.desc("score"), "ord").limit(limit)
 
 
+def answer(claims: DataFrame) -> DataFrame:
+    """Answers (id, claim, uncertainty) after the guardrail: a blocked one loses its claim and is wholly uncertain."""
+    reason = blocked_by(F.col("claim"))
+    return claims.select("id", F.when(reason.isNull(), F.col("claim")).otherwise("").alias("claim"), F.when(reason.isNull(), F.col("uncertainty")).otherwise(1.0).alias("uncertainty"), reason.alias("reason"))
+
+
+def described(edges: DataFrame, query: str, limit: int = EVIDENCE) -> DataFrame:
+    """`local`, or where no edge has a term of the query, the edges by the degrees of their ends (`score` is then the key).
+    edges: ord, src, dst, layer, weight.  A self-loop counts twice."""
+    found = local(edges, query, limit)
+    if not found.isEmpty():
+        return found
+    simple = edges.select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct()
+    deg = simple.select(F.explode(F.array("u", "v")).alias("n")).groupBy("n").agg(F.count("*").alias("d"))
+    a, b = (deg.select(F.col("n").alias(x), F.col("d").alias("d_" + x)) for x in ("src", "dst"))
+    key = (F.col("d_src") + F.col("d_dst") + F.col("weight").cast("long")).alias("score")
+    return edges.join(a, "src").join(b, "dst").withColumn("score", key).drop("d_src", "d_dst").orderBy(F.desc("score"), "ord").limit(limit)
+
+
+def top_k(rows: DataFrame, value: str, order: list[str], k: int = 3, absolute: bool = False) -> DataFrame:
+    """The k (1 at least) largest rows by value or absolute value, to six decimals."""
+    by = F.abs(value) if absolute else F.col(value)
+    return rows.orderBy(F.desc(by), *order).limit(max(1, k)).withColumn(value, F.round(value, 6))
+
+
 def degrees(adjacency: DataFrame) -> DataFrame:
     """Distinct neighbours, summed weight and edge rows of each node, in one aggregation."""
     return adjacency.groupBy("node").agg(F.countDistinct("nbr").alias("simple"), F.sum("weight").alias("weighted"), F.count("*").alias("rows"))

@@ -56,6 +56,27 @@ def resilience(series: DataFrame, run: str, order: list[str], value: str = "x")
     )
 
 
+def recovery(measured: DataFrame, run: str) -> DataFrame:
+    """(rate, efficiency) from what `resilience` returns: how far the first value was left, and direct over walked way."""
+    first, last = F.col("first_value"), F.col("last_value")
+    rate = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (first - last) / F.greatest(F.lit(1e-6), F.abs(first))))
+    straight = F.when((F.col("n") < 2) | (F.col("path") <= 1e-9), 1.0).otherwise(F.least(F.lit(1.0), F.abs(first - last) / F.col("path")))
+    return measured.select(run, rate.alias("rate"), straight.alias("efficiency"))
+
+
+def hysteresis(forward: DataFrame, backward: DataFrame, run: str, step: str) -> DataFrame:
+    """(run, hysteresis): mean absolute difference of two series (run, step, x) over the steps both have."""
+    both = forward.select(run, step, F.col("x").alias("a")).join(backward.select(run, step, F.col("x").alias("b")), [run, step])
+    return both.groupBy(run).agg(F.avg(F.abs(F.col("a") - F.col("b"))).alias("hysteresis"))
+
+
+def quantile_radius(distances: DataFrame, run: str, q: float) -> DataFrame:
+    """(run, radius): the distance at the nearest rank (n - 1) q, halves to even; a rank in a window, so a long run spills."""
+    w = Window.partitionBy(run)
+    rows = distances.select(run, "d", F.row_number().over(w.orderBy("d")).alias("i"), F.count("*").over(w).alias("n"))
+    return rows.where(F.col("i") == F.rint((F.col("n") - 1) * q) + 1).select(run, F.col("d").alias("radius"))
+
+
 def state_class(regularity: Column, speed: Column, density: Column) -> Column:
     return F.when((regularity >= 0.7) & (speed <= 0.5), "stable_routine").when((speed >= 0.7) | (density >= 6), "high_flux").otherwise("adaptive")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, Window
@@ -73,7 +74,7 @@ def simplex_pressure(impact: DataFrame, three: DataFrame, four: DataFrame) -> Da
     """(node, pressure): of each simplex 0.5 of the node's impact and 0.5 of the mean, triangles weighing 0.6 and
     four-cliques 1, over the largest sum.  A simplex is gathered by its at most four members."""
     simplexes = three.select(F.array("a", "b", "c").alias("members"), F.lit(0.6).alias("w")).unionByName(four.select(F.array("a", "b", "c", "d").alias("members"), F.lit(1.0).alias("w")))
-    each = simplexes.select("members", "w", F.explode("members").alias("node")).join(impact, "node")
+    each = simplexes.select("members", "w", F.explode("members").alias("node")).join(impact, "node", "left").fillna(0.0, ["impact"])
     whole = each.groupBy("members", "w").agg(F.avg("impact").alias("mean"), F.collect_list(F.struct("node", "impact")).alias("each"))
     parts = whole.select("w", "mean", F.explode("each").alias("e"))
     sums = parts.groupBy(F.col("e.node").alias("node")).agg(F.sum(F.col("w") * (0.5 * F.col("e.impact") + 0.5 * F.col("mean"))).alias("s"))
@@ -82,10 +83,13 @@ def simplex_pressure(impact: DataFrame, three: DataFrame, four: DataFrame) -> Da
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Lineage ends in the shared folder; a temporary one only where none is set."""
+    """Lineage ends in the shared folder; a temporary one only where all work is in one process."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemesh-"))
+        place = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not place and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(place or tempfile.mkdtemp(prefix="tidemesh-"))
     return df.checkpoint()
 
 
@@ -102,3 +106,60 @@ def components(adjacency: DataFrame) -> DataFrame:
         labels = now.select("node", "component")
         if now.where("was <> component").isEmpty():
             return labels
+
+
+def simplex_tension(participation: DataFrame) -> DataFrame:
+    """One row: simplexes a node (four-cliques twice), and the variance of 1 a triangle and 1.5 a four-clique."""
+    own = F.col("triangles") + 1.5 * F.col("cliques")
+    density = (F.sum("triangles") / 3 + 2 * F.sum("cliques") / 4) / F.greatest(F.lit(1), F.count("*"))
+    return participation.agg(density.alias("density"), F.coalesce(F.var_pop(own), F.lit(0.0)).alias("tension"))
+
+
+def flow_pressure(flows: DataFrame) -> DataFrame:
+    """(node, pressure): absolute flow of all edges (src, dst, flow) at a node, self-loops twice, over the largest sum if
+    that is above 1."""
+    sums = flows.select(F.explode(F.array("src", "dst")).alias("node"), F.abs("flow").alias("f")).groupBy("node").agg(F.sum("f").alias("s"))
+    return sums.join(F.broadcast(sums.agg(F.max("s").alias("top")))).select("node", (F.col("s") / F.greatest(F.lit(1.0), F.col("top"))).alias("pressure"))
+
+
+def neighbour_jaccard(pairs: DataFrame) -> DataFrame:
+    """(u, v, common, jaccard): shared neighbours of the two ends of every edge, from the triangles on it."""
+    three = triangles(pairs)
+    sides = F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("a").alias("u"), F.col("c").alias("v")), F.struct(F.col("b").alias("u"), F.col("c").alias("v")))
+    common = three.select(F.explode(sides).alias("e")).groupBy("e.u", "e.v").agg(F.count("*").alias("common"))
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("n")).groupBy("n").agg(F.count("*").alias("d"))
+    du, dv = (ends.select(F.col("n").alias(x), F.col("d").alias("d" + x)) for x in "uv")
+    rows = pairs.select("u", "v").join(common, ["u", "v"], "left").fillna(0, ["common"]).join(du, "u").join(dv, "v")
+    return rows.select("u", "v", "common", (F.col("common") / (F.col("du") + F.col("dv") - F.col("common"))).alias("jaccard"))
+
+
+def node_features(pairs: DataFrame, impact: DataFrame) -> DataFrame:
+    """(node, impact, degree, clustering, around): impact over the largest absolute one, ln(1 + weighted degree), weighted
+    clustering (cube roots of the three weights, over the largest weight), mean impact of the neighbours."""
+    three = triangles(pairs)
+    top = pairs.agg(F.max("weight").alias("w_top"))
+    for x, y in ("ab", "ac", "bc"):
+        three = three.join(pairs.select(F.col("u").alias(x), F.col("v").alias(y), F.col("weight").alias("w_" + x + y)), [x, y])
+    root = F.cbrt(F.col("w_ab") / F.col("w_top") * (F.col("w_ac") / F.col("w_top")) * (F.col("w_bc") / F.col("w_top")))
+    closed = three.join(F.broadcast(top)).select(root.alias("r"), F.explode(F.array("a", "b", "c")).alias("node")).groupBy("node").agg(F.sum("r").alias("r"))
+    both = pairs.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("nbr")), F.struct(F.col("v").alias("node"), F.col("u").alias("nbr")))).alias("e"), "weight").select("e.*", "weight")
+    at = impact.select(F.col("node").alias("nbr"), F.col("impact").alias("i"))
+    around = both.join(at, "nbr", "left").groupBy("node").agg(F.sum("weight").alias("w"), F.count("*").alias("d"), F.avg(F.coalesce("i", F.lit(0.0))).alias("near"))
+    largest = impact.agg(F.max(F.abs("impact")).alias("i_top")).select(F.when(F.col("i_top") > 0, F.col("i_top")).otherwise(1.0).alias("i_top"))
+    rows = around.join(closed, "node", "left").join(impact, "node", "left").join(F.broadcast(largest))
+    clustering = F.when(F.col("d") > 1, 2 * F.coalesce("r", F.lit(0.0)) / (F.col("d") * (F.col("d") - 1))).otherwise(0.0)
+    return rows.select("node", (F.coalesce("impact", F.lit(0.0)) / F.col("i_top")).alias("impact"), F.log1p("w").alias("degree"), clustering.alias("clustering"), (F.col("near") / F.col("i_top")).alias("around"))
+
+
+def hybrid_edges(pairs: DataFrame, before: DataFrame, impact: DataFrame, *more: DataFrame) -> DataFrame:
+    """(u, v, weight): 0.65 of the weight over the largest, 0.16 between members of an earlier cluster (node, cluster) next
+    to each other by absolute impact, and further (u, v, weight), all summed."""
+    top = pairs.agg(F.max("weight").alias("top"))
+    structural = pairs.where("u <> v").join(F.broadcast(top)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), (0.65 * F.col("weight") / F.col("top")).alias("weight"))
+    order = Window.partitionBy("cluster").orderBy(F.desc(F.abs(F.coalesce("impact", F.lit(0.0)))), "node")
+    chain = before.join(impact, "node", "left").select("node", F.lead("node").over(order).alias("next")).where("next is not null")
+    inert = chain.select(F.least("node", "next").alias("u"), F.greatest("node", "next").alias("v"), F.lit(0.16).alias("weight"))
+    rows = structural.unionByName(inert)
+    for m in more:
+        rows = rows.unionByName(m)
+    return rows.groupBy("u", "v").agg(F.sum("weight").alias("weight"))

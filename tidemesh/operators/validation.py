@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def issues(edges: DataFrame, nodes: DataFrame, low: float = 0.0, high: float = 5.0) -> DataFrame:
-    """(code, edge_id): edges needs edge_id, ord, src, dst, layer, weight, ts; nodes needs id."""
+def issues(edges: DataFrame, nodes: DataFrame, low: float = 0.0, high: float = 5.0, graph_id: str = "graph", schema_version: str = "1") -> DataFrame:
+    """(code, edge_id): edges needs edge_id, ord, src, dst, layer, weight, ts; nodes needs id.  A graph without a name or a
+    schema version has an issue without an edge."""
     twin = Window.partitionBy("edge_id").orderBy("ord")
     lane = Window.partitionBy("src", "dst", "layer").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     marked = edges.select("edge_id", "src", "dst", "weight", (F.row_number().over(twin) > 1).alias("again"), (F.max("ts").over(lane) > F.col("ts")).alias("late"))
@@ -18,4 +19,17 @@ def issues(edges: DataFrame, nodes: DataFrame, low: float = 0.0, high: float = 5
         F.when(F.col("again"), "duplicate_interaction_id"), F.when(F.col("src") == F.col("dst"), "self_loop_not_allowed"),
         F.when((F.col("weight") < low) | (F.col("weight") > high), "weight_out_of_range"), F.when(F.col("late"), "timestamp_backwards"),
     ))
-    return marked.select(F.explode(codes).alias("code"), "edge_id").unionByName(dangling)
+    found = marked.select(F.explode(codes).alias("code"), "edge_id").unionByName(dangling)
+    for code, value in (("graph_id_missing", graph_id), ("schema_missing", schema_version)):
+        if not value.strip():
+            one = edges.sparkSession.range(1).select(F.lit(code).alias("code"), F.lit(None).cast(edges.schema["edge_id"].dataType).alias("edge_id"))
+            found = found.unionByName(one)
+    return found
+
+
+def report(records: DataFrame, node_fields: dict, edge_rules: list, found: DataFrame) -> DataFrame:
+    """One row: records, edge rules and node fields of a mapping, errors found, and whether the graph is valid.  A graph
+    that is not valid is reported, not refused."""
+    return records.agg(F.count("*").alias("records")).join(F.broadcast(found.agg(F.count("*").alias("errors")))).select(
+        "records", F.lit(len(edge_rules)).alias("edge_rules"), F.lit(len(node_fields)).alias("node_fields"), "errors", (F.col("errors") == 0).alias("valid")
+    )

@@ -39,7 +39,7 @@ SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(l_linenumber AS INT) AS l_
 ORDER BY score DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate LIMIT 8""")
 def describe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence for a question about the structure: lexical retrieval, else by degree."""
-    found = retrieval.local(graphs.trade(spark, sf_dir), ASKED)
+    found = retrieval.described(graphs.trade(spark, sf_dir), ASKED)
     return found.select("l_orderkey", "l_linenumber", "src", "dst", "layer", "score")
 
 
@@ -104,7 +104,8 @@ def degrees(spark, sf_dir):
 _STATE = """state AS (
   SELECT entity, sum(n) AS edges, sum(t) AS temporal, count(*) AS nbrs FROM (
     SELECT user_id AS entity, event_type AS nbr, count(*) AS n, count(*) FILTER (WHERE layer = 'temporal') AS t FROM layered GROUP BY 1, 2) GROUP BY 1),
-lay AS (SELECT user_id AS entity, count(DISTINCT layer) AS layers, count(DISTINCT layer) FILTER (WHERE layer = 'spatial') AS spatial FROM layered GROUP BY 1),
+lay AS (SELECT user_id AS entity, count(DISTINCT layer) AS layers, count(*) FILTER (WHERE layer = 'spatial') AS spatial FROM layered GROUP BY 1),
+total AS (SELECT count(DISTINCT user_id) + count(DISTINCT event_type) AS nodes FROM layered),
 ent AS (SELECT entity, sum(-p * ln(p + 1e-9)) AS h FROM (
   SELECT user_id AS entity, event_type, count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY user_id) AS p FROM layered GROUP BY 1, 2) GROUP BY 1)"""
 _LAYERED = "layered AS (SELECT *, CASE event_type WHEN 'click' THEN 'temporal' WHEN 'view' THEN 'spatial' ELSE 'social' END AS layer FROM events)"
@@ -113,14 +114,15 @@ _LAYERED = "layered AS (SELECT *, CASE event_type WHEN 'click' THEN 'temporal' W
 def _users(spark, sf_dir):
     layer = F.when(F.col("event_type") == "click", "temporal").when(F.col("event_type") == "view", "spatial").otherwise("social")
     events = graphs.user_activity(spark, sf_dir)
-    return propagation.state_vectors(events.select(F.col("user_id").alias("entity"), F.col("event_type").alias("nbr"), layer.alias("layer")))
+    total = events.agg(F.countDistinct("user_id") + F.countDistinct("event_type"))
+    return propagation.state_vectors(events.select(F.col("user_id").alias("entity"), F.col("event_type").alias("nbr"), layer.alias("layer")), total)
 
 
-@query(f"""WITH {_LAYERED}, {_STATE} SELECT entity, round(h, 6) AS social_entropy, round(least(1.0, CAST(temporal AS DOUBLE) / edges), 6) AS temporal_regularity, CAST(spatial AS INT) AS spatial_range,
-  CAST(edges AS BIGINT) AS schedule_density, nbrs AS neighbours, round(CAST(layers AS DOUBLE) / edges, 6) AS transition_speed FROM state JOIN lay USING (entity) JOIN ent USING (entity)""")
+@query(f"""WITH {_LAYERED}, {_STATE} SELECT entity, round(h, 6) AS social_entropy, round(least(1.0, CAST(temporal AS DOUBLE) / edges), 6) AS temporal_regularity, spatial AS spatial_range, round(CAST(nbrs AS DOUBLE) / greatest(1, nodes - 1), 6) AS network_centrality, layers AS n_layers,
+  CAST(edges AS BIGINT) AS schedule_density, nbrs AS neighbours, round(CAST(layers AS DOUBLE) / edges, 6) AS transition_speed FROM state JOIN lay USING (entity) JOIN ent USING (entity), total""")
 def state_vectors(spark, sf_dir):
     rows = _users(spark, sf_dir)
-    return rows.withColumns({c: F.round(c, 6) for c in ("social_entropy", "temporal_regularity", "transition_speed")})
+    return rows.withColumns({c: F.round(c, 6) for c in ("social_entropy", "temporal_regularity", "network_centrality", "transition_speed")})
 
 
 @query(f"""WITH {_LAYERED}, {_STATE} SELECT entity, CASE WHEN CAST(temporal AS DOUBLE) / edges >= 0.7 AND CAST(layers AS DOUBLE) / edges <= 0.5 THEN 'stable_routine'
@@ -149,7 +151,7 @@ def _spread_sql(polarity: str) -> str:
     steps, s = "", 1.0
     for k in (1, 2, 3):
         s /= 2
-        steps += f""", g{k} AS (SELECT nbr AS node, sum(sign(s.impact) * {polarity} * {s}) AS given FROM s{k - 1} s JOIN adj ON s.node = adj.node WHERE hop = {k - 1} GROUP BY 1),
+        steps += f""", g{k} AS (SELECT nbr AS node, sum(CASE WHEN s.impact >= 0 THEN 1 ELSE -1 END * {polarity} * {s}) AS given FROM s{k - 1} s JOIN adj ON s.node = adj.node WHERE hop = {k - 1} GROUP BY 1),
 s{k} AS (SELECT coalesce(s.node, g.node) AS node, coalesce(impact, 0) + coalesce(given, 0) AS impact, coalesce(hop, {k}) AS hop FROM s{k - 1} s FULL JOIN g{k} g ON s.node = g.node)"""
     return f"""WITH {CO_SUPPLY}, s0 AS (SELECT node, CAST(1 AS DOUBLE) AS impact, 0 AS hop FROM (SELECT node FROM adj GROUP BY node ORDER BY count(DISTINCT nbr) DESC, node LIMIT 1)){steps}"""
 
