@@ -4,7 +4,7 @@ A text is compressed as a whole and in fixed chunks; a ratio below its band mean
 means noise.  The band depends on the length, because a short text has nothing to refer back to.  Chunks cover the
 whole text: what is left after the full ones is a shorter chunk, and texts below a chunk have smaller chunks.
 
-Defined results: a null or empty text has no words, all counts 0, ratio null, base_failed and kept = false;
+Defined results: a null or empty text has no words, all counts 0, ratio null, base_failed true and kept false;
 every input row gives one output row; extra columns are ignored; an empty table gives an empty table.
 Whole texts are read, whatever their length; memory is a few times the longest text of a batch.
 """

@@ -32,7 +32,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(url_filter.LABELLED), "url string, blocked int")
+    return spark.createDataFrame(url_filter.labelled_rows(), "url string, blocked int")
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
