@@ -67,8 +67,8 @@ class Settings:
     full: int = 6
     #: A posted shingle expected in more documents than this is dealt over several tasks.
     rows_a_task: int = 4096
-    #: Rounds in which long lists are compared with pivots only (a second one found few more links), and the pivots of a list.
-    rounds: int = 1
+    #: Rounds in which long lists are compared with pivots only, each with other ones, and the pivots of a list.
+    rounds: int = 3
     pivots: int = 3
 
     def overlap(self, both: int) -> int:
