@@ -59,9 +59,9 @@ class Settings:
     hot_share: int = 256
     least_hot: int = 4096
     #: Shingles are counted in buckets of about so many, and documents post in groups of about so many.
-    bucket_rows: int = 1 << 20
+    bucket_rows: int = 1 << 19
     #: So many shingles are packed at a time.
-    packed_rows: int = 1 << 19
+    packed_rows: int = 1 << 18
     group_docs: int = 4096
     #: A list is compared in full up to this many sets; longer ones against the first and the previous set.
     full: int = 6
@@ -70,6 +70,8 @@ class Settings:
     #: Rounds in which long lists are compared with pivots only, each with other ones, and the pivots of a list.
     rounds: int = 3
     pivots: int = 3
+    #: Sets that a verifying task keeps hold so many shingles together, besides those of the pair at hand.
+    kept_shingles: int = 1 << 17
 
     def overlap(self, both: int) -> int:
         """Smallest common size of two sets with `both` elements together."""
@@ -486,20 +488,24 @@ def _verified(pairs: DataFrame, packed: DataFrame, s: Settings) -> DataFrame:
 
     def run(batches):
         known: OrderedDict = OrderedDict()
+        held = 0
         unpack = zstandard.ZstdDecompressor().decompress
 
         def of(data):
+            nonlocal held
             if data not in known:
                 known[data] = shingles(unpack(data).decode(), s.words)
-                if len(known) > 16:
-                    known.popitem(last=False)
+                held += len(known[data])
+                while held > s.kept_shingles and len(known) > 1:
+                    held -= len(known.popitem(last=False)[1])
             return known[data]
 
         for batch in batches:
             good = []
-            for x, y in zip(*(map(of, batch.column(k).to_pylist()) for k in (2, 3))):
-                common = len(x & y)
-                good.append(common > 0 and s.below * common >= s.above * (len(x) + len(y) - common))
+            for at in range(0, batch.num_rows, 256):
+                for x, y in zip(*(map(of, batch.column(k).slice(at, 256).to_pylist()) for k in (2, 3))):
+                    common = len(x & y)
+                    good.append(common > 0 and s.below * common >= s.above * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
     return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
@@ -554,7 +560,7 @@ def join(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text
         # First each document against the one it shares most posted shingles with; then the pairs that are still apart.
         likely = compare.groupBy("b").agg(F.max(F.struct("votes", -F.col("a"))).alias("m")).select((-F.col("m.col2")).alias("a"), "b")
         likely = saved(likely)
-        parts = saved(components(_verified(likely, packed, s).unionByName(twins)))
+        parts = saved(components(saved(_verified(likely, packed, s).unionByName(twins))))
         rest = saved(_still_apart(compare.join(likely, ["a", "b"], "left_anti"), parts))
         parts = _joined(parts, _verified(rest, packed, s))
         # Long lists: sets that are still apart are compared with pivots, then in full.
@@ -573,7 +579,12 @@ def join(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text
 
 
 def _joined(parts: DataFrame, links: DataFrame) -> DataFrame:
-    return saved(components(saved(parts.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(links))))
+    """`parts` (node, label) with further links: only the labels that these join meet in rounds, not all nodes again."""
+    for x in "ab":
+        links = links.join(parts.select(F.col("node").alias(x), F.col("label").alias("of_" + x)), x, "left").withColumn("of_" + x, F.coalesce("of_" + x, x))
+    tied = saved(components(saved(links.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct())))
+    moved = parts.join(tied.select(F.col("node").alias("label"), F.col("label").alias("low")), "label", "left").select("node", F.coalesce("low", "label").alias("label"))
+    return saved(moved.unionByName(tied.join(parts, "node", "left_anti")))
 
 
 def _mixed(members: DataFrame, parts: DataFrame) -> DataFrame:
