@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import calibration, similarity
-from ..sources import graphs
+from ..sources import calendar, graphs
 from ..sources.graphs import table
 from .catalogue import _ORDER, query
 from .supervision import _WAVE, _suppliers, _wave, rounded
@@ -71,3 +71,25 @@ SELECT least(w.u, w.v) AS u, greatest(w.u, w.v) AS v, round(sum(w.w), 6) AS weig
 def mutual_neighbours(spark, sf_dir):
     rows = table(spark, sf_dir, "nation").select(F.col("n_name").alias("node"), F.array((F.col("n_nationkey") % 7 - 3).cast("double"), F.log1p("n_nationkey"), F.col("n_regionkey").cast("double")).alias("vector"))
     return rounded(calibration.mutual_neighbours(similarity.cosine_topk(rows, rows, "node", "vector", 4)), "weight")
+
+
+_MEETING = """m AS (SELECT o_orderkey AS event, 'c' || o_custkey AS o, list(DISTINCT 's' || l_suppkey) AS a, o_orderpriority AS p, greatest(CAST(0.1 AS DOUBLE), CAST(sum(l_quantity) AS DOUBLE) / 100) AS h
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_custkey, o_orderpriority), x AS (SELECT event, h, unnest(a) AS d FROM m), who AS (SELECT event, h, d FROM x UNION ALL SELECT event, h, o FROM m)"""
+
+
+def _meetings(spark, sf_dir):
+    """Orders as meetings of a customer with its suppliers, at their priority; the quantity tells the hours."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = lines.groupBy(F.col("o_orderkey").alias("event"), "o_custkey", F.col("o_orderpriority").alias("location")).agg(F.collect_set(F.concat(F.lit("s"), "l_suppkey")).alias("attendees"), (F.sum("l_quantity").cast("double") / 100).alias("hours"))
+    return rows.withColumns({"organiser": F.concat(F.lit("c"), "o_custkey"), "start": F.lit(None).cast("timestamp")})
+
+
+@query(f"""WITH {_MEETING} SELECT m.event, o AS src, d AS dst, 'social' AS layer, round(CAST(0.8 AS DOUBLE) * m.h, 6) AS weight FROM m JOIN x USING (event)
+UNION ALL SELECT a.event, a.d, b.d, 'temporal', round(CAST(0.45 AS DOUBLE) * a.h, 6) FROM who a JOIN who b ON a.event = b.event AND a.d < b.d UNION ALL SELECT event, o, p, 'spatial', round(CAST(0.5 AS DOUBLE) * h, 6) FROM m""")
+def calendar_edges(spark, sf_dir):
+    return calendar.edges(_meetings(spark, sf_dir)).drop("ts")
+
+
+@query(f"WITH {_MEETING} SELECT d AS id, 'person' AS kind FROM who GROUP BY 1 UNION ALL SELECT DISTINCT p, 'place' FROM m")
+def calendar_nodes(spark, sf_dir):
+    return calendar.nodes(_meetings(spark, sf_dir))

@@ -14,3 +14,11 @@ def csv_report(rows: DataFrame, path: str) -> None:
 def json_trace(rows: DataFrame, path: str) -> None:
     """One JSON object a row."""
     rows.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
+
+
+def markdown_report(rows: DataFrame, columns: list[str], score: str, k: int = 5) -> str:
+    """The k best rows (lowest score first, one at least) as a Markdown table; the driver sees no others."""
+    best = rows.orderBy(score, *columns).limit(max(1, k)).select(*columns, score).collect()
+    cell = lambda x: f"{x:.6f}" if isinstance(x, float) else str(x)
+    lines = [[*columns, score], ["---"] * (len(columns) + 1), *([cell(x) for x in r] for r in best)]
+    return "\n".join("| " + " | ".join(line) + " |" for line in lines) + "\n"
