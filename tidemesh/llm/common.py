@@ -124,28 +124,35 @@ def local_labels(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return labels
 
 
+def _stars(links: DataFrame) -> bool:
+    """Whether every a has one b only and no b is an a: one aggregation with map-side combine."""
+    ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.lit(None).cast("long").alias("b")))
+    seen = ends.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high"), F.count("*").alias("n"), F.count("b").alias("own"))
+    return seen.where("low <> high or (own > 0 and n > own)").agg(F.count("*")).first()[0] == 0
+
+
+#: A task that reduces links to stars gets about so many.
+_LINKS_A_TASK = 1 << 16
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node reachable through `edges` (a, b), for every node that has a link.
 
-    Partitions are first reduced to stars, then large-star and small-star rounds alternate until the links
-    no longer change.  Each round is two aggregations with map-side combine and two joins, written to the
-    shared folder; nothing is gathered on the driver but a row count and a checksum.
+    Large-star and small-star rounds alternate until all links are stars.  Before the first round and at the end of
+    each, every task replaces its own links by stars, which shortens paths without a shuffle.  Links are written to
+    the shared folder after each round; nothing is gathered on the driver but counts.
     """
     star = "a long, b long"
     links = saved(edges.where("a <> b").mapInArrow(_forest, star).distinct())
-    before = None
-    while True:
-        now = links.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
-        if not now[0] or now == before:
-            break
-        before = now
+    while not _stars(links):
+        tasks = 8 + links.count() // _LINKS_A_TASK
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.distinct()
+        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).repartition("a")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("x"), F.col("m").alias("y"))
         small = small.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
-        links = saved(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
-    roots = links.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
-    return links.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots)
+        links = small.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
+        links = saved(links.coalesce(tasks).mapInArrow(_forest, star))
+    roots = links.select(F.col("b").alias("node"), F.col("b").alias("label"))
+    return links.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots).distinct()

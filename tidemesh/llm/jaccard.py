@@ -582,7 +582,10 @@ def _joined(parts: DataFrame, links: DataFrame) -> DataFrame:
     """`parts` (node, label) with further links: only the labels that these join meet in rounds, not all nodes again."""
     for x in "ab":
         links = links.join(parts.select(F.col("node").alias(x), F.col("label").alias("of_" + x)), x, "left").withColumn("of_" + x, F.coalesce("of_" + x, x))
-    tied = saved(components(saved(links.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct())))
+    links = saved(links.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct())
+    if links.isEmpty():
+        return parts
+    tied = saved(components(links))
     moved = parts.join(tied.select(F.col("node").alias("label"), F.col("label").alias("low")), "label", "left").select("node", F.coalesce("low", "label").alias("label"))
     return saved(moved.unionByName(tied.join(parts, "node", "left_anti")))
 
