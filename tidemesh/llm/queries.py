@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, jaccard, langid, license_scan, line_dedup, mixing, quality, token_counts, url_filter
+from . import bpe, embed_dedup, fill_middle, jaccard, langid, lexical_search, license_scan, line_dedup, mixing, quality, token_counts, url_filter, warc
 from .common import table
 
 
@@ -69,5 +69,21 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_license, op3_line_dedup, op4_quality, op5_mixing, op6_url_filter, op7_langid, op8_token_counts, op9_embedding_dedup, op10_jaccard)}
-ORACLE = {"op5_mixing": mixing.ORACLE}
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(fill_middle.restore(fill_middle.transform(table(spark, sf_dir, "documents"))))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_ALL = (
+    op1_bpe, op2_license, op3_line_dedup, op4_quality, op5_mixing, op6_url_filter, op7_langid, op8_token_counts, op9_embedding_dedup, op10_jaccard, op11_fill_middle, op12_warc,
+    op13_lexical_search,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+ORACLE = {"op5_mixing": mixing.ORACLE, "op11_fill_middle": fill_middle.ORACLE, "op12_warc": warc.ORACLE, "op13_lexical_search": lexical_search.ORACLE}
