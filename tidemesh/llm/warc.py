@@ -45,11 +45,9 @@ MAIN = ("response", "revisit", "resource", "conversion")
 
 
 def base32(hex_digits: Column) -> Column:
-    """Of 40 hexadecimal digits, five bits a letter."""
-    letter = lambda k: F.substring(
-        F.lit(BASE32), (F.shiftright(F.conv(F.substring(F.concat(hex_digits, F.lit("0")), 5 * k // 4 + 1, 2), 16, 10).cast("int"), 3 - 5 * k % 4).bitwiseAND(F.lit(31)) + 1), F.lit(1)
-    )
-    return F.concat(*[letter(k) for k in range(32)])
+    """Of 40 hexadecimal digits: ten at a time are eight digits to the base 32, whose own letters are then put in."""
+    eight = lambda k: F.lpad(F.conv(F.substring(hex_digits, 10 * k + 1, 10), 16, 32), 8, "0")
+    return F.translate(F.concat(*[eight(k) for k in range(4)]), "0123456789ABCDEFGHIJKLMNOPQRSTUV", BASE32)
 
 
 def _facts(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> DataFrame:
@@ -82,9 +80,10 @@ def _named(run: str, row: Column, what: str) -> Column:
 
 
 def _encoded(url: Column) -> Column:
+    out = url
     for code in [*range(0x21), 0x7F]:
-        url = F.replace(url, F.lit(chr(code)), F.lit(f"%{code:02X}"))
-    return url
+        out = F.replace(out, F.lit(chr(code)), F.lit(f"%{code:02X}"))
+    return F.when(url.rlike(r"[\x00-\x20\x7F]"), out).otherwise(url)
 
 
 def write(pages: DataFrame, path: str, least_bytes: int = 0, file_bytes: int = 64 << 20, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
@@ -98,22 +97,25 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0, file_bytes: int = 6
         data = pairs.select("sha1", "sha256", "data").dropDuplicates(["sha1", "sha256"])
         stored = responses.join(data, ["sha1", "sha256"]).select("row", "page_id", "url", "sha1", "bytes", F.lit(None).cast("long").alias("first"), F.lit(None).cast("string").alias("first_url"), F.col("data").cast("string").alias("data"))
         again = revisits.select("row", "page_id", "url", "sha1", "bytes", "first", "first_url", F.lit("").alias("data"))
-        main, revisit = _named(run, F.col("row"), "main"), F.col("first").isNotNull()
-        url, date = _encoded(F.col("url")), F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+        # what records share is worked out once a row
+        rows = stored.unionByName(again).select(
+            "row", "page_id", "bytes", "first", "data", _encoded(F.col("url")).alias("url"), _encoded(F.col("first_url")).alias("first_url"), F.concat(F.lit("sha1:"), base32(F.col("sha1"))).alias("digest"), _named(run, F.col("row"), "main").alias("main"),
+            F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date"),
+        )
+        url, date, main, first_url, revisit = F.col("url"), F.col("date"), F.col("main"), F.col("first_url"), F.col("first").isNotNull()
         http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(END), F.col("data"))
         host = F.regexp_extract(url, r"://([^/?#]*)", 1)
         target = F.regexp_extract(url, r"://[^/?#]*([^#]*)", 1)
         asks = F.concat(F.lit("GET "), F.coalesce(F.when(target.startswith("/"), target).otherwise(F.concat(F.lit("/"), target)), F.lit("/")), F.lit(" HTTP/1.1\r\nHost: "), F.coalesce(host, F.lit("")), F.lit(END))
         known = F.coalesce(F.concat(F.lit("page-id: "), F.col("page_id").cast("string"), F.lit("\r\n")), F.lit(""))
-        first_url = _encoded(F.col("first_url"))
         kind = F.when(revisit, "revisit").otherwise("response")
         records = F.array(
             _record([("WARC-Type", F.lit("request")), ("WARC-Record-ID", _named(run, F.col("row"), "request")), ("WARC-Date", date), ("WARC-Target-URI", url), ("WARC-Concurrent-To", main), ("Content-Type", F.lit("application/http; msgtype=request"))], asks),
-            _record([("WARC-Type", kind), ("WARC-Record-ID", main), ("WARC-Date", date), ("WARC-Target-URI", url), ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.col("sha1")))), ("WARC-Profile", F.when(revisit, PROFILE)), ("WARC-Refers-To", F.when(revisit, _named(run, F.col("first"), "main"))), ("WARC-Refers-To-Target-URI", F.when(revisit, first_url)), ("Content-Type", F.lit("application/http; msgtype=response"))], http),
+            _record([("WARC-Type", kind), ("WARC-Record-ID", main), ("WARC-Date", date), ("WARC-Target-URI", url), ("WARC-Payload-Digest", F.col("digest")), ("WARC-Profile", F.when(revisit, PROFILE)), ("WARC-Refers-To", F.when(revisit, _named(run, F.col("first"), "main"))), ("WARC-Refers-To-Target-URI", F.when(revisit, first_url)), ("Content-Type", F.lit("application/http; msgtype=response"))], http),
             _record([("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", _named(run, F.col("row"), "metadata")), ("WARC-Date", date), ("WARC-Target-URI", url), ("WARC-Concurrent-To", main), ("Content-Type", F.lit("application/warc-fields"))], known),
         )
         most = max(3, int(3 * file_bytes / (size + 1200)))
-        stored.unionByName(again).select(F.explode(records).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", most).option("compression", "gzip").text(path)
+        rows.select(F.explode(records).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", most).option("compression", "gzip").text(path)
 
 
 class _Stream:
