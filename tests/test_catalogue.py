@@ -2,7 +2,7 @@
 
 import duckdb
 import pytest
-from tidemesh.plans import calibration, catalogue, supervision  # noqa: F401
+from tidemesh.plans import calibration, catalogue, structure, supervision  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

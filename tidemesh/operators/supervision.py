@@ -102,18 +102,18 @@ def _ends(edges: DataFrame, impact: DataFrame) -> DataFrame:
     return edges.fillna(0.0, ["i_u", "i_v"])
 
 
-def reweighted(edges: DataFrame, impact: DataFrame, risk: float, instability: float, viscosity: float, scale: float = 1.0) -> DataFrame:
-    """(u, v, weight, after, change): edges between nodes of strong impact of one sign gain, all others lose; weights
+def reweighted(edges: DataFrame, impact: DataFrame, risk: float, instability: float, viscosity: float, scale: float = 1.0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(u, v, weight, after, change, shift, and the columns to keep): edges between nodes of strong impact of one sign gain, all others lose; weights
     stay in 0.05..5.  change is 1, -1 or 0."""
     rate = 0.25 * (1 - 0.6 * clip(risk)) * scale
     a, b = F.col("i_u"), F.col("i_v")
     pressure = 0.65 * (a + b) / 2 + 0.35 * F.when(a * b >= 0, 1.0).otherwise(-1.0) * F.least(F.abs(a), F.abs(b))
-    rows = _ends(edges.select("u", "v", F.col("weight").cast("double").alias("weight")), impact).withColumn("pressure", pressure)
+    rows = _ends(edges.select("u", "v", F.col("weight").cast("double").alias("weight"), *keep), impact).withColumn("pressure", pressure)
     delta = rate * (0.22 * F.col("pressure") + 0.10 * instability - 0.08 * viscosity - 0.10 * clip(risk)) - F.when(F.abs("pressure") < 0.08, rate * 0.04).otherwise(0.0)
     after = F.greatest(F.lit(0.05), F.least(F.lit(5.0), F.col("weight") + delta))
     rows = rows.withColumn("after", after).withColumn("shift", F.col("after") - F.col("weight"))
     change = F.when(F.col("shift") > 1e-6, 1).when(F.col("shift") < -1e-6, -1).otherwise(0)
-    return rows.select("u", "v", "weight", F.round("after", 6).alias("after"), change.alias("change"), "shift")
+    return rows.select("u", "v", "weight", F.round("after", 6).alias("after"), change.alias("change"), "shift", *keep)
 
 
 def shifts(changed: DataFrame) -> DataFrame:
@@ -160,7 +160,11 @@ def recovered(budgets: DataFrame) -> DataFrame:
     return budgets.withColumn("budget", F.col("budget") + RECOVER * (1 - F.col("budget")))
 
 
-def plasticity(pairs: DataFrame, signals: DataFrame, budgets: DataFrame, risk: float = 0.0) -> tuple[DataFrame, DataFrame]:
+#: What `policy` sets, as it is without confusion, forgetting and unrest.
+KNOBS = {"eta_up": ETA_UP, "eta_down": ETA_DOWN, "theta_on": THETA_ON, "theta_off": THETA_OFF, "dwell": DWELL}
+
+
+def plasticity(pairs: DataFrame, signals: DataFrame, budgets: DataFrame, risk: float = 0.0, knobs: dict[str, float] = KNOBS) -> tuple[DataFrame, DataFrame]:
     """(pairs, budgets) after a step.  pairs: u, v, affinity, eligibility, on, off; signals: node, now, before; a node
     without a budget has 1.  What a pair gains is paid by both of its nodes."""
     top = signals.agg(F.greatest(F.max(F.abs("now")), F.lit(0.0)).alias("top")).select(F.when(F.col("top") > 0, F.col("top")).otherwise(1.0).alias("top"))
@@ -173,9 +177,9 @@ def plasticity(pairs: DataFrame, signals: DataFrame, budgets: DataFrame, risk: f
     one = lambda c: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c))
     drive = 0.7 * one(n["u"] * n["v"]) + 0.3 * one(p["u"] * n["v"] - p["v"] * n["u"])
     rows = rows.withColumn("e", DECAY * F.col("eligibility") + (1 - DECAY) * drive)
-    up = ETA_UP * F.greatest(F.lit(0.0), F.col("e")) * F.col("b_u") * F.col("b_v") * (1 - 0.5 * clip(risk))
-    rows = rows.withColumn("a", unit(F.col("affinity") + up - ETA_DOWN * F.greatest(F.lit(0.0), -F.col("e"))))
-    high, low = F.col("a") >= THETA_ON, F.col("a") <= THETA_OFF
+    up = knobs["eta_up"] * F.greatest(F.lit(0.0), F.col("e")) * F.col("b_u") * F.col("b_v") * (1 - 0.5 * clip(risk))
+    rows = rows.withColumn("a", unit(F.col("affinity") + up - knobs["eta_down"] * F.greatest(F.lit(0.0), -F.col("e"))))
+    high, low = F.col("a") >= knobs["theta_on"], F.col("a") <= knobs["theta_off"]
     after = rows.select("u", "v", F.col("a").alias("affinity"), one(F.col("e")).alias("eligibility"), F.when(high, F.col("on") + 1).otherwise(0).alias("on"), F.when(low & ~high, F.col("off") + 1).otherwise(0).alias("off"))
     used = rows.select(F.explode(F.array("u", "v")).alias("node"), (USE * F.greatest(F.lit(0.0), F.col("a") - F.col("affinity"))).alias("use")).groupBy("node").agg(F.sum("use").alias("use"))
     left = budgets.join(used, "node", "full_outer").select("node", unit(F.coalesce("budget", F.lit(1.0)) - F.coalesce("use", F.lit(0.0))).alias("budget"))
@@ -223,10 +227,16 @@ def control_cost(controls: DataFrame) -> DataFrame:
     return controls.agg(F.sum(F.col("control") * F.col("control")).alias("energy"), F.avg(F.col("saturated").cast("double")).alias("saturation"))
 
 
-def recall(predicted: DataFrame, expected: DataFrame) -> DataFrame:
-    """(method, recall, precision): mean over scenarios, four decimals.  predicted: method, scenario, node (repeats count
-    again); expected: scenario, node.  A scenario without a prediction of a method counts nothing for it."""
-    sizes = expected.groupBy("scenario").agg(F.count("*").alias("n"))
+def recall(predicted: DataFrame, expected: DataFrame, methods: DataFrame | None = None) -> DataFrame:
+    """(method, recall, precision): mean over all scenarios, four decimals.  predicted: method, scenario, node (repeats
+    count again); expected: scenario, node.  A scenario for which a method predicts nothing counts 0 and 0 for it; methods
+    (method) that predict nothing at all are only known if they are given."""
+    sizes = expected.groupBy("scenario").agg(F.countDistinct("node").alias("n"))
+    scenarios = sizes.select("scenario").unionByName(predicted.select("scenario")).distinct()
+    names = (predicted.select("method") if methods is None else predicted.select("method").unionByName(methods.select("method"))).distinct()
     hit = predicted.join(expected.select("scenario", "node", F.lit(1).alias("hit")).distinct(), ["scenario", "node"], "left")
-    per = hit.groupBy("method", "scenario").agg(F.count("hit").alias("hits"), F.count("*").alias("given")).join(sizes, "scenario", "left")
-    return per.groupBy("method").agg(F.round(F.avg(F.col("hits") / F.greatest(F.lit(1), F.coalesce("n", F.lit(0)))), 4).alias("recall"), F.round(F.avg(F.col("hits") / F.col("given")), 4).alias("precision"))
+    per = hit.groupBy("method", "scenario").agg(F.count("hit").alias("hits"), F.count("*").alias("given"))
+    # methods are a handful, so each meets each scenario
+    rows = scenarios.crossJoin(F.broadcast(names)).join(sizes, "scenario", "left").join(per, ["method", "scenario"], "left").fillna(0, ["n", "hits", "given"])
+    share = lambda c: F.round(F.avg(F.col("hits") / F.greatest(F.lit(1), F.col(c))), 4)
+    return rows.groupBy("method").agg(share("n").alias("recall"), share("given").alias("precision"))

@@ -347,6 +347,4 @@ g AS (SELECT *, abs(a) + abs(b) AS mass, abs(a - b) / greatest(1e-6, abs(a) + ab
 SELECT u, v, weight, round(weight + 0.375 * (0.5 * mass) / (1 + 0.5 * mass) * (0.55 * stab + 0.45 * same) - 0.23 * (1 - same) * (0.5 + 0.5 * (1 - stab)) - 0.04 * gap, 9) AS score FROM h ORDER BY round(weight + 0.375 * (0.5 * mass) / (1 + 0.5 * mass) * (0.55 * stab + 0.45 * same) - 0.23 * (1 - same) * (0.5 + 0.5 * (1 - stab)) - 0.04 * gap, 9), u, v LIMIT 2""")
 def suggest_drops(spark, sf_dir):
     """Two edges: round(3 * (1 - 0.7 * 0.5) * (0.7 + 0.6 * 0.5))."""
-    pairs = graphs.co_supply(spark, sf_dir)
-    scored = planning.drop_scores(pairs, _wave(_suppliers(spark, sf_dir)), 0.5).withColumn("score", F.round("score", 9))
-    return scored.orderBy("score", "u", "v").limit(planning.most_drops(0.5, 0.5))
+    return planning.drops(graphs.co_supply(spark, sf_dir), _wave(_suppliers(spark, sf_dir)), 0.5, 0.5)
