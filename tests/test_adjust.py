@@ -56,3 +56,36 @@ def test_nothing_to_adjust(spark):
     assert (r["gained"], r["lost"], r["same"], r["signed_shift"], r["plan_budget"]) == (0, 0, 0, 0.0, 0) and after.count() == r["added"]
     assert adjust.profile(nodes.limit(0), edges.limit(0), shock(spark, [1.0]).limit(0)) == {"density": 0.0, "noise": 0.0}
     assert adjust.merged([("b", "a")], [("a", "b"), ("c", "d")]) == [("a", "b"), ("c", "d")]
+
+
+def test_intervention_and_prediction(spark):
+    from tidemesh.operators import cycles
+
+    nodes = spark.createDataFrame([(n,) for n in "abcd"], "node string")
+    edges = graph(spark)[1].where("src < 'd' and dst <= 'd'")
+    p = cycles.Perturbation("p1", ("a",), 1.2, {"a": "0.5"})
+    answer, base, other = cycles.intervene(nodes, edges, p, cycles=1)
+    m = answer["metrics"]
+    assert (answer["query_type"], answer["evidence"], answer["uncertainty"], answer["blocked"], len(answer["claims"])) == ("intervene", ["perturbation:p1"], 0.4, False, 4)
+    for name, done in (("baseline", base), ("intervention", other)):
+        assert len(done.rows) == m[f"{name}_cycles_executed"] == 1 and m[f"{name}_converged"] == 0 and m[f"{name}_affected_actants"] == 4 and {f"{name}_{k}" for k in cycles.MEANS} <= set(m)
+        assert all(0 <= m[f"{name}_{k}"] <= 1 for k in ("critical_transition_score", "early_warning_score", "cross_scale_consistency", "supervisory_confusion_score", "supervisory_forgetting_score", "graph_density", "saturation_ratio", "path_efficiency", "basin_occupancy"))
+        assert done.edges.count() == 4 + sum(r["added"] - r["dropped"] for r in done.rows) and done.carry.fine.objective == done.rows[-1]["objective"]
+    # the second run begins with the gains, affinities and contexts of the first, on the same graph
+    assert (base.carry.step, other.carry.step) == (1, 2) and base.carry.fine != other.carry.fine and m["baseline_graph_density"] == m["intervention_graph_density"]
+    assert m["delta_objective_score"] == pytest.approx(m["intervention_objective_score"] - m["baseline_objective_score"]) and m["hysteresis_index"] == pytest.approx(abs(base.rows[0]["distance"] - other.rows[0]["distance"]))
+    told = cycles.predicted(base, p)
+    assert (told["query_type"], told["uncertainty"], len(told["claims"])) == ("predict", 0.35, 8) and told["metrics"] == {k.removeprefix("baseline_"): v for k, v in m.items() if k.startswith("baseline_")}
+    assert cycles._answer("predict", ["My motivation"], ["e"], {"x": 1.0}, 0.3) == {"query_type": "predict", "claims": [], "evidence": ["e"], "metrics": {"x": 1.0}, "uncertainty": 1.0, "blocked": True, "reason": "motivation"}
+
+
+def test_counter_shock_and_gate():
+    from tidemesh.operators import cycles
+
+    p = cycles.Perturbation("p", ("a", "b"), 5.0, {"a": "x", "b": "0"})
+    assert cycles.shocked(p, False)["transition_speed"] == pytest.approx(0.22 * 2 * 0.5) and cycles.shocked(p, True)["transition_speed"] == pytest.approx(-0.7 * 0.22)
+    row = {"distance": 1.0, "objective": 2.0, "div_before": 1.0, "div_after": 0.5, "signed_shift": 0.0, "consistency": 0.6}
+    assert not cycles.calm([row] * 2) and cycles.calm([row] * 3)
+    for key, bad in (("distance", 1.1), ("objective", 2.1), ("div_after", 0.9), ("signed_shift", 0.1), ("consistency", 0.5)):
+        assert not cycles.calm([row, row, row | {key: bad}])
+    assert cycles.stabilised(1.0, 3) and cycles.stabilised(0.02, 1) and not cycles.stabilised(1.0, 1)

@@ -37,7 +37,7 @@ def _one(spark: SparkSession, **columns) -> dict[str, float]:
 def measures(spark: SparkSession, state: dict[str, float], phase: dict[str, float] | None, control: dict[str, float] | None) -> dict[str, float]:
     """viscosity, instability, risk, coupling, slowing and hysteresis, from a state's features, a phase and a control."""
     s = lambda name: F.lit(float(state.get(name, 0.0)))
-    p = {k: F.lit(float(v)) for k, v in (CALM | (phase or {})).items()}
+    p = {k: F.lit(float(v)) for k, v in (CALM | (phase or {})).items() if k in CALM}
     c = {k: F.lit(float(v)) for k, v in (UNCONTROLLED | (control or {})).items() if k in UNCONTROLLED}
     out = _one(
         spark, viscosity=supervision.viscosity(s("temporal_regularity"), s("schedule_density")), instability=supervision.instability(s("transition_speed"), s("social_entropy"), s("temporal_regularity")),

@@ -109,7 +109,8 @@ def node_terms(nodes: DataFrame, edges: DataFrame, impact: DataFrame, pinned) ->
         rows = rows.fillna(0.0, list(columns)).withColumn("cycle", F.col("cycle") * F.col("impact"))
         rows = keep(saved(rows))
         measures = flows.norms(parts).first().asDict()
-        measures |= topology.simplex_tension(part).first().asDict()
+        shape = topology.simplex_tension(part).first()
+        measures |= {"simplex_density": shape.density or 0.0, "tension": shape.tension or 0.0}
         means = rows.agg(F.coalesce(F.avg(F.abs("cycle")), F.lit(0.0)).alias("cycle_mean"), F.coalesce(F.avg(F.abs("higher")), F.lit(0.0)).alias("higher_mean"), F.coalesce(F.sqrt(F.sum(F.col("div") * F.col("div"))), F.lit(0.0)).alias("div_before"))
         return rows, measures | means.first().asDict()
 

@@ -201,11 +201,14 @@ def seeds(targets: DataFrame, intensity: float) -> DataFrame:
     return targets.groupBy(F.col("target").alias("node")).agg(F.max(weight * intensity).alias("impact"))
 
 
+#: What a shock of size 1 adds to each feature.
+FACTORS = {"social_entropy": 0.10, "temporal_regularity": -0.12, "spatial_range": 0.05, "schedule_density": 0.18, "network_centrality": 0.08, "transition_speed": 0.22}
+
+
 def shock(intensity: Column, weight: Column) -> list[Column]:
     """The six features' push by a shock of an intensity, held to 0..2, and a mean target weight, held to -1..1."""
     signed = F.greatest(F.lit(0.0), F.least(F.lit(2.0), intensity)) * F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(weight, F.lit(1.0))))
-    factors = {"social_entropy": 0.10, "temporal_regularity": -0.12, "spatial_range": 0.05, "schedule_density": 0.18, "network_centrality": 0.08, "transition_speed": 0.22}
-    return [(f * signed).alias(name) for name, f in factors.items()]
+    return [(f * signed).alias(name) for name, f in FACTORS.items()]
 
 
 def polarity(edges: DataFrame) -> DataFrame:
