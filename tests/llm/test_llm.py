@@ -153,8 +153,10 @@ def test_line_dedup_takes_repeats_only(spark):
         assert i % 3 or (len(left) == len(own) + 30 if i == 0 else len(left) < len(own) + 12)
     assert sorted(str(r.doc_id) for r in line_dedup.dedup(edge(spark)).collect()) == sorted(str(r[0]) for r in EDGE)
     assert line_dedup.dedup(edge(spark)).columns == edge(spark).columns
-    for text in ("", "\n", "a\n\nb\n", "x"):
-        assert b"".join(c for c, _ in line_dedup.chunks(text, line_dedup.Settings())).decode() == text
+    for text in ("", "\n", "a\n\nb\n", "x", "\n".join(map(str, range(500)))):
+        found = line_dedup.units(text)
+        cuts = line_dedup.boundaries(found, line_dedup.Settings())
+        assert [k for at, n in cuts for k in range(at, at + n)] == list(range(len(found))) and all(n <= 64 for _, n in cuts)
 
 
 def test_line_dedup_finds_short_passages(spark):
@@ -181,6 +183,53 @@ def test_line_dedup_finds_short_passages(spark):
     assert sorted(map(repr, map(tuple, out))) == sorted(map(repr, want))
 
 
+def plain_line_dedup(docs, words):
+    """Every two-line passage and long line by itself: kept at its first place, taken out elsewhere."""
+    lines = {d: t.split("\n") for d, t in docs}
+    count, first, spots = Counter(), {}, []
+    for d in sorted(lines):
+        ends = {}
+        for k in range(len(lines[d])):
+            for width in (1, 2):
+                key = tuple(lines[d][k : k + width])
+                if len(key) < width or width == 1 and len(key[0].split()) <= words:
+                    continue
+                spots.append((d, k, width, key))
+                if k >= ends.get(key, 0):
+                    ends[key] = k + width
+                    count[key] += 1
+                    first.setdefault(key, (d, k))
+    gone = {(d, k + i) for d, k, width, key in spots if count[key] > 1 and (d != first[key][0] or k >= first[key][1] + width) for i in range(width)}
+    return {d: "".join(x + ("\n" if k < len(lines[d]) - 1 else "") for k, x in enumerate(lines[d]) if (d, k) not in gone) for d in lines}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_line_dedup_is_brute_force(spark, seed):
+    """Whole chunks are only another way to the same text, however often lines and passages meet."""
+    rng = random.Random(seed)
+    pool = [f"line {k}" for k in range(12 + 30 * seed)] + ["long " * 6 + str(k) for k in range(3)]
+    stock = [[rng.choice(pool) for _ in range(rng.choice([2, 3, 7, 20]))] for _ in range(6)]
+    docs = []
+    for d in range(40):
+        parts = [rng.choice(stock) if rng.random() < 0.5 else [rng.choice(pool), f"own {rng.random()}"] for _ in range(rng.randint(1, 5))]
+        docs.append((d, "\n".join(x for p in parts for x in p)))
+    out = line_dedup.dedup(spark.createDataFrame([(d, t, "s") for d, t in docs], SCHEMA).repartition(6), line_dedup.Settings(words=5))
+    assert {r.doc_id: r.text for r in out.collect()} == plain_line_dedup(docs, 5)
+
+
+def test_repeated_chunks_move_as_a_whole(spark):
+    """Of a repeat of many lines the chunks are compared, not the passages in them."""
+    passage = [f"line {k} of the passage" for k in range(60)]
+    docs = spark.createDataFrame([(d, "\n".join([f"head {d}", *passage, f"foot {d}"]), "s") for d in range(4)], SCHEMA).select("doc_id", "text")
+    s = line_dedup.Settings()
+    rows = line_dedup.repeated(docs, line_dedup.places(docs, s), s).collect()
+    wide = [r for r in rows if bytes(r.chunk).count(b"\n") > 1]
+    edges = [r for r in rows if bytes(r.chunk).count(b"\n") == 1]
+    assert wide and all(r.n == 4 and r.keeper == 0 for r in rows) and len(edges) < 59 / 1.4
+    # every passage inside a chunk is left to it
+    assert not any(bytes(e.chunk) in bytes(w.chunk) for e in edges for w in wide)
+
+
 def test_mixing(spark):
     import duckdb
 
