@@ -115,7 +115,7 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0, file_bytes: int = 6
             _record([("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", _named(run, F.col("row"), "metadata")), ("WARC-Date", date), ("WARC-Target-URI", url), ("WARC-Concurrent-To", main), ("Content-Type", F.lit("application/warc-fields"))], known),
         )
         most = max(3, int(3 * file_bytes / (size + 1200)))
-        rows.select(F.explode(records).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", most).option("compression", "gzip").text(path)
+        rows.select(F.explode(records).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", most).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 class _Stream:
