@@ -5,7 +5,8 @@ its adjacent pairs holds rank * width + position, so the root is the leftmost pa
 changes three leaves and their ancestors, until the root says that nothing can be merged.
 
 Defined results: a null or empty text has no tokens and decodes to the empty string; every input row gives one
-output row (repeated rows too); extra columns are ignored; an empty table gives an empty table.
+output row (repeated rows and null ids too); very long texts and pieces are encoded whole; extra columns are ignored;
+an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ from pyspark.sql import functions as F
 
 from .common import narrow, texts_of
 
-#: Pieces remembered by one Python worker; the memory is emptied when full, so it stays bounded.
-MEMO = 300_000
+#: Bytes of pieces remembered by one Python worker, by an estimate; the memory is emptied when full, so it stays bounded.
+MEMO = 80 << 20
+#: Longer pieces, such as base64 or minified code, are encoded anew each time.
+LONGEST = 256
 _NONE = 1 << 62
 
 
@@ -103,11 +106,18 @@ def _plain(pattern: str) -> str:
 class _Memo(dict):
     def __init__(self, make):
         self.make = make
+        self.held = 0
 
     def __missing__(self, piece):
-        if len(self) >= MEMO:
+        value = self.make(piece)
+        if len(piece) > LONGEST:
+            return value
+        cost = 200 + 4 * len(piece) + 8 * len(value)  # the entry, the text, references to ids
+        if self.held + cost > MEMO:
             self.clear()
-        value = self[piece] = self.make(piece)
+            self.held = 0
+        self.held += cost
+        self[piece] = value
         return value
 
 

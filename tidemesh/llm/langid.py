@@ -5,8 +5,9 @@ learned languages: expectation-maximisation estimates the proportions from n-gra
 are left out while that raises the likelihood less a penalty of half a logarithm of the n-gram count for each.
 
 Defined results: `und` with score 0 and no languages where the text is null or has no letter, or where nothing was
-learned; ties go to the first language by code point; every input row gives one output row; extra columns are
-ignored; an empty table gives an empty table.
+learned; ties go to the first language by code point; every input row gives one output row, repeated ones and null ids
+too; very long texts are counted whole, a piece at a time; extra columns are ignored; an empty table gives an empty
+table; more languages than the settings allow are an error.
 """
 
 from __future__ import annotations
@@ -112,6 +113,8 @@ def train(docs: DataFrame, lang: Column | str = "lang", id_col: str = "doc_id",
         for batch in batches:
             for lang_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if lang_ not in sums:
+                    if len(sums) >= s.most_languages:  # before a task holds more arrays than the model may have
+                        raise ValueError(f"more than {s.most_languages} languages")
                     sums[lang_] = np.zeros(1 << s.bits, np.int64)
                 sums[lang_] += gram_counts(text, s)
         for lang_, total in sums.items():
