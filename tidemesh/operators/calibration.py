@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import carried, number, own, upto
 from .phase import unit
 
 # What each mean adds to a setting's score; lower is better.
@@ -28,19 +29,21 @@ def best_window(scored: DataFrame, candidates: DataFrame, config: str, coefficie
     return best.agg(F.count("*").alias("settings"), *ends)
 
 
-def converged(steps: DataFrame, run: str, order: list[str], streak: int = 2) -> DataFrame:
+def converged(steps: DataFrame, run: str, order: list[str], streak: int = 2, block: Column | None = None) -> DataFrame:
     """(run, ended): the first step, from 1, at which `streak` steps in a row were calm, null where there is none.
 
     A step (distance, before, after, shift, consistency, flat, still) is calm where its distance moved by less than
     0.015, the divergence fell to 0.8 of itself or 0.12, the mean shift is under 0.02, objective and distance have
-    settled and the scales agree to 0.55.  The first step of a run is never calm; a missing measure isn't either.
+    settled and the scales agree to 0.55.  The first step of a run is never calm; a missing measure isn't either.  Long
+    runs are cut at `block`.
     """
-    w = Window.partitionBy(run).orderBy(*order)
+    rows, w = carried(steps, [run], order, block, last=("distance",))
     fell = F.col("after") <= F.greatest(F.lit(0.12), 0.8 * F.col("before"))
     calm = (F.abs(F.col("distance") - F.lag("distance").over(w)) < 0.015) & fell & (F.abs("shift") < 0.02) & F.col("flat") & F.col("still") & (F.col("consistency") >= 0.55)
-    rows = steps.select(run, F.row_number().over(w).alias("i"), F.coalesce(calm, F.lit(False)).cast("int").alias("calm"))
-    rows = rows.withColumn("row", F.sum("calm").over(Window.partitionBy(run).orderBy("i").rowsBetween(1 - streak, 0)))
-    return rows.groupBy(run).agg(F.min(F.when(F.col("row") == streak, F.col("i"))).alias("ended"))
+    rows = rows.select(run, *order, "_block", "_mark", number(w).alias("step_no"), F.coalesce(calm, F.lit(False)).alias("calm")).where("_mark = 1").drop("_mark")
+    rows, w = carried(rows.withColumn("moved", F.when(~F.col("calm"), F.col("step_no"))), [run], order, F.col("_block"), maxima=("moved",))
+    rows = own(rows.withColumn("since", F.coalesce(F.max("moved").over(upto(w)), F.lit(0))))
+    return rows.groupBy(run).agg(F.min(F.when(F.col("step_no") - F.col("since") >= streak, F.col("step_no"))).cast("int").alias("ended"))
 
 
 def projected(nodes: DataFrame, cluster: DataFrame, controls: DataFrame) -> DataFrame:

@@ -1,18 +1,24 @@
-"""Measures of ordered series, one series a run: windows within a run, then one aggregation."""
+"""Measures of ordered series, one series a run: windows within a run, then one aggregation.
+
+Functions with a `block` cut long runs at it (see `ordered`); it changes the work, not the result.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import carried, number, own, upto, whole
+
 
 def _by(run: str, order: list[str]):
     return Window.partitionBy(run).orderBy(*order)
 
 
-def transitions(labels: DataFrame, run: str, order: list[str]) -> DataFrame:
+def transitions(labels: DataFrame, run: str, order: list[str], block: Column | None = None) -> DataFrame:
     """(src, dst, n, total): consecutive labels of all runs; n / total is a row of the stochastic matrix."""
-    steps = labels.select(F.col("label").alias("src"), F.lead("label").over(_by(run, order)).alias("dst")).where("dst is not null")
+    rows, w = carried(labels.select(run, *order, "label"), [run], order, block, last=("label",))
+    steps = own(rows.withColumns({"i": number(w), "src": F.lag("label").over(w)})).where("i > 1 and label is not null").select("src", F.col("label").alias("dst"))
     counts = steps.groupBy("src", "dst").agg(F.count("*").alias("n"))
     return counts.withColumn("total", F.sum("n").over(Window.partitionBy("src")))
 
@@ -24,34 +30,35 @@ def dominant(labels: DataFrame, run: str, order: list[str]) -> DataFrame:
     return seen.withColumn("r", rank).where("r = 1").select(run, "label", "n")
 
 
-def persistence(labels: DataFrame, run: str, order: list[str]) -> DataFrame:
+def persistence(labels: DataFrame, run: str, order: list[str], block: Column | None = None) -> DataFrame:
     """Longest stretch of one label, the label changes, and the length of each run."""
-    w = _by(run, order)
-    island = labels.withColumn("new", F.coalesce((F.col("label") != F.lag("label").over(w)).cast("int"), F.lit(0))).withColumn("island", F.sum("new").over(w))
+    rows, w = carried(labels.select(run, *order, "label"), [run], order, block, last=("label",))
+    marked = rows.withColumn("new", F.coalesce((F.col("label") != F.lag("label").over(w)).cast("int"), F.lit(0))).where("_mark = 1").drop("_mark", "_before")
+    rows, w = carried(marked, [run], order, F.col("_block"), sums=("new",))
+    island = own(rows.withColumn("island", F.sum("new").over(upto(w))))
     runs = island.groupBy(run, "island").agg(F.count("*").alias("n"))
     return runs.groupBy(run).agg(F.max("n").alias("longest"), F.sum("n").alias("length"), (F.count("*") - 1).alias("switches"))
 
 
-def flips(series: DataFrame, run: str, order: list[str], value: str = "x", eps: float = 1e-9) -> DataFrame:
+def flips(series: DataFrame, run: str, order: list[str], value: str = "x", eps: float = 1e-9, block: Column | None = None) -> DataFrame:
     """Changes of direction: steps within eps are passed over.  (flips, chances, n)"""
-    d = F.col(value) - F.lag(value).over(_by(run, order))
-    steps = series.withColumn("d", d)
-    moved = steps.where(F.abs("d") > eps).withColumn("s", F.signum("d")).withColumn("turned", (F.col("s") != F.lag("s").over(_by(run, order))).cast("int"))
+    rows, w = carried(series.select(run, *order, F.col(value).alias("x")), [run], order, block, last=("x",))
+    steps = rows.withColumn("d", F.col("x") - F.lag("x").over(w)).where("_mark = 1").drop("_mark", "_before")
+    rows, w = carried(steps.where(F.abs("d") > eps).withColumn("s", F.signum("d")), [run], order, F.col("_block"), last=("s",))
+    moved = own(rows.withColumn("turned", (F.col("s") != F.lag("s").over(w)).cast("int")))
     count = moved.groupBy(run).agg(F.coalesce(F.sum("turned"), F.lit(0)).alias("flips"), (F.count("*") - 1).alias("chances"))
     return series.groupBy(run).agg(F.count("*").alias("n")).join(count, run, "left").fillna(0, ["flips", "chances"])
 
 
-def resilience(series: DataFrame, run: str, order: list[str], value: str = "x") -> DataFrame:
+def resilience(series: DataFrame, run: str, order: list[str], value: str = "x", block: Column | None = None) -> DataFrame:
     """First and last value, first step at or under half of the first, overshoot, settling step and path length."""
-    w = _by(run, order)
-    whole = Window.partitionBy(run).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    x = F.col(value)
-    rows = series.select(run, x.alias("x"), F.row_number().over(w).alias("i"), F.first(x).over(whole).alias("first"), F.last(x).over(whole).alias("last"), F.abs(x - F.lag(x).over(w)).alias("step"))
+    rows, w = carried(series.select(run, *order, F.col(value).alias("x")), [run], order, block, last=("x",), ends="x")
+    rows = own(rows.withColumns({"i": number(w), "first": whole("_first", w), "last": whole("_last", w), "step": F.abs(F.col("x") - F.lag("x").over(w))}))
     far = F.abs(F.col("x") - F.col("last")) > F.greatest(F.lit(1e-6), F.abs("last") * 0.05)
     return rows.groupBy(run).agg(
         F.count("*").alias("n"), F.first("first").alias("first_value"), F.first("last").alias("last_value"),
         F.coalesce(F.min(F.when(F.col("x") <= F.col("first") / 2, F.col("i"))), F.count("*")).alias("recovery_steps"),
-        F.greatest(F.lit(0.0), F.max("x") - F.first("first")).alias("overshoot"), (F.coalesce(F.max(F.when(far, F.col("i"))), F.lit(0)) + 1).alias("settling"),
+        F.greatest(F.lit(0.0), F.max("x") - F.first("first")).alias("overshoot"), (F.coalesce(F.max(F.when(far, F.col("i"))), F.lit(0)) + 1).cast("int").alias("settling"),
         F.coalesce(F.sum("step"), F.lit(0.0)).alias("path"),
     )
 
@@ -71,10 +78,19 @@ def hysteresis(forward: DataFrame, backward: DataFrame, run: str, step: str) ->
 
 
 def quantile_radius(distances: DataFrame, run: str, q: float) -> DataFrame:
-    """(run, radius): the distance at the nearest rank (n - 1) q, halves to even; a rank in a window, so a long run spills."""
-    w = Window.partitionBy(run)
-    rows = distances.select(run, "d", F.row_number().over(w.orderBy("d")).alias("i"), F.count("*").over(w).alias("n"))
-    return rows.where(F.col("i") == F.rint((F.col("n") - 1) * q) + 1).select(run, F.col("d").alias("radius"))
+    """(run, radius): the distance at the nearest rank (n - 1) q, halves to even.  Equal distances are counted first; a run's
+    buckets, 64 to a doubling, then tell which of them holds the rank, and only its distances are ordered."""
+    d = F.col("d").cast("double")
+    bucket = F.when(F.isnan(d), F.lit(1 << 40)).when(d > 0, F.floor(F.log2(d) * 64)).otherwise(F.lit(-(1 << 40)))
+    values = distances.groupBy(run, bucket.alias("bucket"), "d").agg(F.count("*").alias("n"))
+    ahead = Window.partitionBy(run).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = values.groupBy(run, "bucket").agg(F.sum("n").alias("n")).withColumns({"before": F.coalesce(F.sum("n").over(ahead), F.lit(0)), "all": F.sum("n").over(Window.partitionBy(run))})
+    rank = F.rint((F.col("all") - 1) * q) + 1
+    held = counts.where((F.col("before") < rank) & (rank <= F.col("before") + F.col("n"))).select(F.col(run).alias("_run"), F.col("bucket").alias("_bucket"), (rank - F.col("before")).alias("rank"))
+    rows = values.join(held, F.col(run).eqNullSafe(F.col("_run")) & (F.col("bucket") == F.col("_bucket")))
+    upto_d = Window.partitionBy("_run", "_bucket").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("upto", F.sum("n").over(upto_d))
+    return rows.where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank"))).select(run, F.col("d").alias("radius"))
 
 
 def state_class(regularity: Column, speed: Column, density: Column) -> Column:
@@ -99,11 +115,16 @@ def phase(series: DataFrame, run: str, order: list[str]) -> DataFrame:
     return rows.withColumns({"regime": regime(F.col("order_parameter")), "change": F.col("order_parameter") - F.lag("order_parameter").over(w), "rolling": F.var_pop("order_parameter").over(w.rowsBetween(-2, 0))})
 
 
-def slowing(series: DataFrame, run: str, order: list[str], value: str = "x") -> DataFrame:
+def slowing(series: DataFrame, run: str, order: list[str], value: str = "x", block: Column | None = None) -> DataFrame:
     """(n, autocorrelation, slowing): lag-1 correlation mapped to 0..1 (0 where it has none), and its mix with the rise
     of the rolling variance of three steps; 0 for fewer than three steps."""
-    w = _by(run, order)
-    rows = series.select(run, F.col(value).alias("x"), F.lag(value).over(w).alias("y"), F.row_number().over(w).alias("i"), F.var_pop(value).over(w.rowsBetween(-2, 0)).alias("rolling"))
+    rows, w = carried(series.select(run, *order, F.col(value).cast("double").alias("x")), [run], order, block, last=("x",))
+    rows = rows.withColumns({"y": F.lag("x").over(w), "i": number(w)}).where("_mark = 1").drop("_mark", "_before")
+    rows, w = carried(rows, [run], order, F.col("_block"), last=("y",))
+    three = F.array_compact(F.array("x", "y", F.lag("y").over(w)))
+    total = lambda f: F.aggregate(three, F.lit(0.0), lambda a, x: a + f(x))
+    rows = rows.withColumn("mean", F.try_divide(total(lambda x: x), F.size(three)))
+    rows = own(rows.withColumn("rolling", F.try_divide(total(lambda x: (x - F.col("mean")) * (x - F.col("mean"))), F.size(three))))
     late = F.when(F.col("i") >= 3, F.col("i"))
     agg = rows.groupBy(run).agg(
         F.count("*").alias("n"), F.covar_pop("x", "y").alias("cov"), F.var_pop(F.when(F.col("y").isNotNull(), F.col("x"))).alias("vx"), F.var_pop("y").alias("vy"),

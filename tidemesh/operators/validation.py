@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import carried, own
 
-def issues(edges: DataFrame, nodes: DataFrame, low: float = 0.0, high: float = 5.0, graph_id: str = "graph", schema_version: str = "1") -> DataFrame:
+
+def issues(edges: DataFrame, nodes: DataFrame, low: float = 0.0, high: float = 5.0, graph_id: str = "graph", schema_version: str = "1", block: Column | None = None) -> DataFrame:
     """(code, edge_id): edges needs edge_id, ord, src, dst, layer, weight, ts; nodes needs id.  A graph without a name or a
-    schema version has an issue without an edge."""
+    schema version has an issue without an edge.  Edges between the same ends are cut at `block`, which must not fall in
+    the order of `ord`."""
     twin = Window.partitionBy("edge_id").orderBy("ord")
-    lane = Window.partitionBy("src", "dst", "layer").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    marked = edges.select("edge_id", "src", "dst", "weight", (F.row_number().over(twin) > 1).alias("again"), (F.max("ts").over(lane) > F.col("ts")).alias("late"))
+    told = edges.select("edge_id", "ord", "src", "dst", "layer", "weight", "ts", (F.lit(0) if block is None else block).alias("_block"))
+    rows, lane = carried(told, ["src", "dst", "layer"], ["ord"], F.col("_block"), maxima=("ts",))
+    rows = own(rows.withColumn("late", F.max("ts").over(lane.rowsBetween(Window.unboundedPreceding, -1)) > F.col("ts")))
+    marked = rows.select("edge_id", "src", "dst", "weight", (F.row_number().over(twin) > 1).alias("again"), "late")
     known = nodes.select(F.col("id").alias("known")).distinct()
     ends = marked.select("edge_id", F.explode(F.array("src", "dst")).alias("known"))
     dangling = ends.join(known, "known", "left_anti").select("edge_id").distinct().select(F.lit("dangling_edge_node").alias("code"), "edge_id")

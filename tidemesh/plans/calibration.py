@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import calibration, similarity
 from ..sources import calendar, graphs
 from ..sources.graphs import table
-from .catalogue import _ORDER, query
+from .catalogue import _ORDER, _day, query
 from .supervision import _WAVE, _suppliers, _wave, rounded
 
 _MEASURES = {
@@ -45,7 +45,7 @@ def convergence(spark, sf_dir):
     """A user's events as steps of a run; the scales always agree."""
     value = F.col("value")
     steps = graphs.user_activity(spark, sf_dir).select("user_id", *_ORDER, (value / 1000).alias("distance"), (value / 100).alias("before"), (value / 200).alias("after"), (value / 5000).alias("shift"), F.lit(0.6).alias("consistency"), (F.col("event_type") != "purchase").alias("flat"), F.lit(True).alias("still"))
-    return calibration.converged(steps, "user_id", _ORDER)
+    return calibration.converged(steps, "user_id", _ORDER, block=_day())
 
 
 @query(f"SELECT s_suppkey AS node, round(greatest(-5, least(5, {_WAVE.replace('node', 's_suppkey')} + CASE WHEN s_suppkey % 5 < 4 THEN (s_suppkey % 5 - 1) * 3.0 ELSE 0 END)), 6) AS impact FROM supplier")

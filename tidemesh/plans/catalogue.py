@@ -93,7 +93,7 @@ SELECT code, count(*) AS n FROM found GROUP BY 1""")
 def validate_graph(spark, sf_dir):
     edges = graphs.trade(spark, sf_dir).withColumn("edge_id", F.concat_ws(":", "l_orderkey", "l_linenumber"))
     nodes = table(spark, sf_dir, "nation").select(F.col("n_name").alias("id"))
-    return validation.issues(edges, nodes).groupBy("code").agg(F.count("*").alias("n"))
+    return validation.issues(edges, nodes, block=F.expr("l_orderkey div 1048576")).groupBy("code").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {CO_SUPPLY} SELECT node, count(DISTINCT nbr) AS simple, CAST(sum(weight) AS BIGINT) AS weighted, count(*) AS rows FROM adj GROUP BY 1")
@@ -202,10 +202,15 @@ def _labels(spark, sf_dir):
 _ORDER = ["ts", "event_id"]
 
 
+def _day():
+    """Where long runs of events are cut."""
+    return F.date_trunc("day", F.col("ts"))
+
+
 @query("""WITH s AS (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events), c AS (SELECT src, dst, count(*) AS n FROM s WHERE dst IS NOT NULL GROUP BY ALL)
 SELECT src, dst, n, CAST(sum(n) OVER (PARTITION BY src) AS BIGINT) AS total, round(CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY src), 6) AS p FROM c""")
 def transition_matrix(spark, sf_dir):
-    return series.transitions(_labels(spark, sf_dir), "user_id", _ORDER).withColumn("p", F.round(F.col("n") / F.col("total"), 6))
+    return series.transitions(_labels(spark, sf_dir), "user_id", _ORDER, block=_day()).withColumn("p", F.round(F.col("n") / F.col("total"), 6))
 
 
 @query("""SELECT user_id, label, n FROM (SELECT user_id, event_type AS label, count(*) AS n, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, min(ts), min(event_id)) AS r FROM events GROUP BY 1, 2) WHERE r = 1""")
@@ -217,7 +222,7 @@ def dominant_state(spark, sf_dir):
 b AS (SELECT user_id, sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM a), d AS (SELECT user_id, i, count(*) AS n FROM b GROUP BY 1, 2)
 SELECT user_id, max(n) AS longest, CAST(sum(n) AS BIGINT) AS length, count(*) - 1 AS switches FROM d GROUP BY 1""")
 def persistence(spark, sf_dir):
-    return series.persistence(_labels(spark, sf_dir), "user_id", _ORDER)
+    return series.persistence(_labels(spark, sf_dir), "user_id", _ORDER, block=_day())
 
 
 _STEP = "SELECT user_id, ts, event_id, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS d FROM events"
@@ -227,7 +232,7 @@ _STEP = "SELECT user_id, ts, event_id, value - lag(value) OVER (PARTITION BY use
 c AS (SELECT user_id, coalesce(sum(f), 0) AS flips, count(*) - 1 AS chances FROM t GROUP BY 1)
 SELECT user_id, n, CAST(coalesce(flips, 0) AS BIGINT) AS flips, coalesce(chances, 0) AS chances FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1) LEFT JOIN c USING (user_id)""")
 def sign_flip(spark, sf_dir):
-    return series.flips(_labels(spark, sf_dir), "user_id", _ORDER, "value")
+    return series.flips(_labels(spark, sf_dir), "user_id", _ORDER, "value", block=_day())
 
 
 @query("""WITH r AS (SELECT user_id, value AS x, row_number() OVER w AS i, first_value(value) OVER w AS f, last_value(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l,
@@ -235,7 +240,7 @@ def sign_flip(spark, sf_dir):
 SELECT user_id, count(*) AS n, any_value(f) AS first_value, any_value(l) AS last_value, CAST(coalesce(min(CASE WHEN x <= f / 2 THEN i END), count(*)) AS BIGINT) AS recovery_steps,
   round(greatest(0, max(x) - any_value(f)), 6) AS overshoot, CAST(coalesce(max(CASE WHEN abs(x - l) > greatest(1e-6, abs(l) * 0.05) THEN i END), 0) + 1 AS BIGINT) AS settling, round(coalesce(sum(step), 0), 6) AS path FROM r GROUP BY 1""")
 def resilience(spark, sf_dir):
-    rows = series.resilience(_labels(spark, sf_dir), "user_id", _ORDER, "value")
+    rows = series.resilience(_labels(spark, sf_dir), "user_id", _ORDER, "value", block=_day())
     return rows.withColumns({"overshoot": F.round("overshoot", 6), "path": F.round("path", 6), "recovery_steps": F.col("recovery_steps").cast("long"), "settling": F.col("settling").cast("long")})
 
 
@@ -345,7 +350,7 @@ def _daily(spark, sf_dir):
 c AS (SELECT user_id, coalesce(sum(f), 0) AS flips FROM t GROUP BY 1)
 SELECT user_id, n, round(CASE WHEN n < 3 THEN 0 ELSE CAST(coalesce(flips, 0) AS DOUBLE) / (n - 2) END, 6) AS oscillation FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1) LEFT JOIN c USING (user_id)""")
 def oscillation(spark, sf_dir):
-    rows = series.flips(_labels(spark, sf_dir), "user_id", _ORDER, "value", 0.0)
+    rows = series.flips(_labels(spark, sf_dir), "user_id", _ORDER, "value", 0.0, block=_day())
     return rows.select("user_id", "n", F.round(F.when(F.col("n") < 3, 0.0).otherwise(F.col("flips") / (F.col("n") - 2)), 6).alias("oscillation"))
 
 
@@ -356,7 +361,7 @@ a AS (SELECT user_id, count(*) AS n, sqrt(var_pop(CASE WHEN y IS NOT NULL THEN x
 b AS (SELECT *, CASE WHEN n < 3 OR den <= 1e-9 THEN 0 ELSE (r + 1) / 2 END AS c, CASE WHEN n = 3 THEN l ELSE greatest(0, l - f) END AS t FROM a)
 SELECT user_id, n, round(c, 6) AS autocorrelation, round(CASE WHEN n < 3 THEN 0 ELSE least(1, 0.65 * c + 0.35 * least(1, 4 * t)) END, 6) AS slowing FROM b""")
 def critical_slowing(spark, sf_dir):
-    return series.slowing(_labels(spark, sf_dir), "user_id", _ORDER, "value").withColumns({c: F.round(c, 6) for c in ("autocorrelation", "slowing")})
+    return series.slowing(_labels(spark, sf_dir), "user_id", _ORDER, "value", block=_day()).withColumns({c: F.round(c, 6) for c in ("autocorrelation", "slowing")})
 
 
 @query(f"""WITH {_DAILY}, d AS (SELECT user_id, day, label, lag(label) OVER w AS was, speed - lag(speed) OVER w AS s, lag(regularity) OVER w - regularity AS r, density - lag(density) OVER w AS d FROM daily WINDOW w AS (PARTITION BY user_id ORDER BY day))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import phase, planning, propagation, retrieval, series, supervision, topology, validation
 from ..sources import graphs
 from ..sources.graphs import CO_SUPPLY, TRADE, table
-from .catalogue import _DAILY, _LAYERED, _ORDER, _PART, _STATE, _daily, _labels, _mapped, _regions, _spread_sql, _users, query
+from .catalogue import _DAILY, _LAYERED, _ORDER, _PART, _STATE, _daily, _day, _labels, _mapped, _regions, _spread_sql, _users, query
 
 
 def rounded(rows, *columns):
@@ -78,7 +78,7 @@ def settled_runs(spark, sf_dir):
   FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), a AS (SELECT user_id, any_value(f) AS f, any_value(l) AS l, coalesce(sum(s), 0) AS p, count(*) AS n FROM r GROUP BY 1)
 SELECT user_id, round(greatest(0, least(1, (f - l) / greatest(1e-6, abs(f)))), 6) AS rate, round(CASE WHEN n < 2 OR p <= 1e-9 THEN 1 ELSE least(1, abs(f - l) / p) END, 6) AS efficiency FROM a""")
 def recovery(spark, sf_dir):
-    return rounded(series.recovery(series.resilience(_labels(spark, sf_dir), "user_id", _ORDER, "value"), "user_id"), "rate", "efficiency")
+    return rounded(series.recovery(series.resilience(_labels(spark, sf_dir), "user_id", _ORDER, "value", block=_day()), "user_id"), "rate", "efficiency")
 
 
 @query("""WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, CAST(count(*) FILTER (WHERE event_type = 'click') AS DOUBLE) AS a, CAST(count(*) FILTER (WHERE event_type = 'view') AS DOUBLE) AS b FROM events GROUP BY 1, 2)
@@ -294,7 +294,7 @@ def validate_broken_graph(spark, sf_dir):
     edges = graphs.trade(spark, sf_dir)
     edges = edges.unionByName(edges.where("l_linenumber = 7")).withColumn("edge_id", F.concat_ws(":", "l_orderkey", "l_linenumber"))
     nodes = table(spark, sf_dir, "nation").where("n_nationkey < 20").select(F.col("n_name").alias("id"))
-    found = validation.issues(edges, nodes, graph_id=" ", schema_version="")
+    found = validation.issues(edges, nodes, graph_id=" ", schema_version="", block=F.expr("l_orderkey div 1048576"))
     codes = ["duplicate_interaction_id", "dangling_edge_node", "graph_id_missing", "schema_missing"]
     return found.where(F.col("code").isin(codes)).groupBy("code").agg(F.count("*").alias("n"))
 
