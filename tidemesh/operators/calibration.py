@@ -2,16 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .ordered import carried, number, own, upto
 from .phase import unit
+from .planning import PLANNER, best_plans, plan_costs
+from .supervision import KNOBS
 
 # What each mean adds to a setting's score; lower is better.
 WEIGHTS = {"objective": 1.0, "critical": 0.55, "coupling": 0.3, "edits": 0.05, "confusion": 0.15, "forgetting": 0.12, "churn": 0.10, "retention": -0.18, "diversity": -0.15, "converged": -0.25}
 
 
+# What the candidates of a calibration change of a planner and of the learning of affinities.
+PLANNERS = {
+    "base": {},
+    "conservative": {"usual_scales": (0.4, 0.6, 0.8, 1.0), "risk_weight": 0.35, "risk_gain": 0.28},
+    "explore_sparse": {"sparse_scales": (0.9, 1.15, 1.35, 1.6), "rewiring_weight": 0.02, "rewiring_gain": 0.05},
+    "noise_robust": {"volatility_weight": 0.4, "volatility_gain": 0.34, "high_risk": 0.7},
+    "risk_averse": {"high_risk": 0.65, "high_risk_scales": (0.35, 0.5, 0.65, 0.8), "under": 0.7, "over": 0.85},
+}
+LEARNERS = {
+    "plastic_base": {},
+    "plastic_fast": {"eta_up": 0.34, "eta_down": 0.08, "theta_on": 0.58, "theta_off": 0.36, "dwell": 2},
+    "plastic_guarded": {"eta_up": 0.20, "eta_down": 0.16, "theta_on": 0.72, "theta_off": 0.28, "dwell": 3},
+}
+
+
+def candidates(spark: SparkSession, batch: str = "default") -> DataFrame:
+    """(config, place, a column for each setting of `supervision.KNOBS` and `planning.PLANNER`): the planners (`default`, and
+    for any name that is none), the learners (`plasticity`) or each planner with each learner (`mixed`)."""
+    mode = batch.lower().strip()
+    if mode == "mixed":
+        chosen = [(f"{a}__{b}", a, b) for a in PLANNERS for b in LEARNERS]
+    elif mode == "plasticity":
+        chosen = [(b, "base", b) for b in LEARNERS]
+    else:
+        chosen = [(a, a, "plastic_base") for a in PLANNERS]
+    kind = lambda v: "array<double>" if isinstance(v, tuple) else "int" if isinstance(v, int) else "double"
+    usual = KNOBS | PLANNER
+    rows = [(name, k, *[list(v) if isinstance(v, tuple) else v for v in (KNOBS | LEARNERS[b] | PLANNER | PLANNERS[a]).values()]) for k, (name, a, b) in enumerate(chosen)]
+    return spark.createDataFrame(rows, "config string, place int, " + ", ".join(f"{c} {kind(v)}" for c, v in usual.items()))
+
+
+def planned(edges: DataFrame, impact: DataFrame, profiles: DataFrame, settings: DataFrame, most: int = 2) -> DataFrame:
+    """(config, name, scale, budget, horizon, shift, cost): the plan that each candidate's planner takes for each profile.
+    Costs are held to nine decimals, so plans that cost the same are equal and the first is taken."""
+    grid = profiles.crossJoin(F.broadcast(settings.select("config", *PLANNER)))  # as many rows as plan_costs allows
+    grid = grid.withColumn("profile", F.col("name")).withColumn("name", F.to_json(F.struct("config", "profile")))
+    costs = plan_costs(edges, impact, grid.drop("config", "profile"), most).withColumn("cost", F.round("cost", 9))
+    best = best_plans(costs).withColumn("who", F.from_json("name", "config string, profile string"))
+    return best.select("who.config", F.col("who.profile").alias("name"), "scale", "budget", "horizon", "shift", "cost")
+
+
 def scores(runs: DataFrame, config: str) -> DataFrame:
     """One row a setting: the means of the measures in WEIGHTS over its runs, and their score.  A missing measure counts
     as 0 in its mean."""
