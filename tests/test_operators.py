@@ -175,6 +175,17 @@ def test_describe_falls_back_to_degrees(spark):
     edges = spark.createDataFrame([(1, "a", "b", "x", 1.0), (2, "b", "c", "x", 5.0), (3, "d", "d", "x", 0.5)], "ord int, src string, dst string, layer string, weight double")
     assert [r.ord for r in retrieval.described(edges, "c").collect()] == [2]
     assert [(r.ord, r.score) for r in retrieval.described(edges, "nothing here").collect()] == [(2, 8), (1, 4), (3, 4)]
+    told = retrieval.description(retrieval.described(edges, "nothing here")).first()
+    assert (told.evidence, told.edges, told.uncertainty) == ([2, 1, 3], 3, 0.2) and told.layers == edges.select("layer").distinct().count()
+    assert tuple(retrieval.description(retrieval.described(edges.limit(0), "c")).first()) == ([], 0, 0, 0.2)
+
+
+def test_edge_delta(spark):
+    schema = "src string, dst string, weight double"
+    before = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 0.5), ("c", "d", 2.0), ("e", "f", 1.0), ("g", "h", 1e-10)], schema)
+    after = spark.createDataFrame([("b", "a", 1.0), ("e", "f", 1.0 + 1e-12), ("x", "y", 0.25), ("g", "h", 3.0)], schema)
+    got = [(r.u, r.v, r.kind, round(r.delta, 6)) for r in retrieval.edge_delta(before, after).collect()]
+    assert got == [("g", "h", "added", 3.0), ("c", "d", "removed", -2.0), ("a", "b", "weight", -0.5), ("x", "y", "added", 0.25)]
 
 
 def test_phases_of_flat_short_and_missing_series(spark):

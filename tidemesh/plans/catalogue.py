@@ -192,7 +192,7 @@ FROM s WHERE coalesce(n, 0) <> coalesce(o, 0) ORDER BY abs(coalesce(n, 0) - coal
 def edge_delta(spark, sf_dir):
     edges = graphs.trade(spark, sf_dir).withColumn("tenths", F.round(F.col("weight") * 10).cast("long"))
     cut = F.lit("1996-01-01").cast("timestamp_ntz")
-    return retrieval.edge_delta(edges.where(F.col("ts") < cut), edges.where(F.col("ts") >= cut))
+    return retrieval.edge_delta(edges.where(F.col("ts") < cut), edges.where(F.col("ts") >= cut), weight="tenths")
 
 
 def _labels(spark, sf_dir):
