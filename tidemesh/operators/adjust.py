@@ -51,20 +51,22 @@ def merged(*lists: list[tuple]) -> list[tuple]:
     return list(dict.fromkeys(tuple(sorted(p)) for pairs in lists for p in pairs))[:SUGGESTIONS]
 
 
-def adjust(nodes: DataFrame, edges: DataFrame, impact: DataFrame, state: dict[str, float], memory: plasticity.Memory, phase: dict[str, float] | None = None, control: dict[str, float] | None = None, supervised: dict[str, float] | None = None, most: int = edits.MOST, anchors: int = plasticity.ANCHORS) -> tuple[DataFrame, plasticity.Memory, dict]:
-    """(edges, memory, report) of a cycle.  `most` is the number of structural edits a cycle may make; none with 0."""
+def adjust(nodes: DataFrame, edges: DataFrame, impact: DataFrame, state: dict[str, float], memory: plasticity.Memory, phase: dict[str, float] | None = None, control: dict[str, float] | None = None, supervised: dict[str, float] | None = None, most: int = edits.MOST, anchors: int = plasticity.ANCHORS, settings: dict | None = None) -> tuple[DataFrame, plasticity.Memory, dict]:
+    """(edges, memory, report) of a cycle.  `most` is the number of structural edits a cycle may make; none with 0.
+    `settings` may name others than the fixed values of `planning.PLANNER` and `supervision.KNOBS`."""
     spark = nodes.sparkSession
+    own = lambda df, fixed: df.withColumns({k: F.array(*map(F.lit, v)) if isinstance(v, (tuple, list)) else F.lit(v) for k, v in (settings or {}).items() if k in fixed})
     with scratch(spark) as keep:
         m = measures(spark, state, phase, control) | profile(nodes, edges, impact)
         told = UNSUPERVISED | (supervised or {})
-        knobs = supervision.policy(spark.createDataFrame([tuple(float(told[k]) for k in UNSUPERVISED)], ", ".join(f"{k} double" for k in UNSUPERVISED))).first().asDict()
+        knobs = supervision.policy(own(spark.createDataFrame([tuple(float(told[k]) for k in UNSUPERVISED)], ", ".join(f"{k} double" for k in UNSUPERVISED)), supervision.KNOBS)).first().asDict()
         memory, join, part = plasticity.step(memory, nodes, edges, impact, m["risk"], knobs, anchors)
         for t in (memory.pairs, memory.nodes, memory.signals):
             if hasattr(t, "_path"):
                 keep(t)
         setting = spark.createDataFrame([("plan", *[float(m[k]) for k in ("instability", "viscosity", "risk", "slowing", "hysteresis", "density", "noise", "coupling")])], "name string, instability double, viscosity double, risk double, slowing double, hysteresis double, density double, noise double, coupling double")
         ends = edges.select("edge_id", "ts", "layer", F.col("src").alias("u"), F.col("dst").alias("v"), "weight")
-        plan = planning.best_plans(planning.plan_costs(ends, impact, setting, most)).first()
+        plan = planning.best_plans(planning.plan_costs(ends, impact, own(setting, planning.PLANNER), most)).first()
         changed = saved(supervision.reweighted(ends, impact, m["risk"], m["instability"], m["viscosity"], plan.scale, keep=("edge_id", "ts", "layer")))
         counts = supervision.shifts(changed).first().asDict() | {"signed_shift": changed.agg(F.coalesce(F.avg("shift"), F.lit(0.0))).first()[0]}
         after = saved(changed.select("edge_id", "ts", F.col("u").alias("src"), F.col("v").alias("dst"), "layer", F.col("after").alias("weight")))
@@ -76,7 +78,7 @@ def adjust(nodes: DataFrame, edges: DataFrame, impact: DataFrame, state: dict[st
         asked = max(0, min(round(plan.budget * knobs["drop_share"]), len(drop)))
         after, made = edits.applied(after, drop, new, budget, knobs["drop_bias"], knobs["new_bias"], asked)
         keep(after)
-        terms = supervision.objective(spark.createDataFrame([(float(counts["mean_shift"] or 0.0), m["instability"], m["viscosity"], m["risk"], m["density"], m["noise"], m["coupling"], made.added + made.dropped)], "shift double, instability double, viscosity double, risk double, density double, noise double, coupling double, edits int")).first().asDict()
+        terms = supervision.objective(own(spark.createDataFrame([(float(counts["mean_shift"] or 0.0), m["instability"], m["viscosity"], m["risk"], m["density"], m["noise"], m["coupling"], made.added + made.dropped)], "shift double, instability double, viscosity double, risk double, density double, noise double, coupling double, edits int"), planning.PLANNER)).first().asDict()
         report = m | knobs | {k: terms[k] for k in ("churn", "volatility", "rewiring", "risk_cost", "coupling_cost")} | counts
         report |= {"objective": terms["total"], "scale": plan.scale, "horizon": plan.horizon, "plan_budget": plan.budget, "added": made.added, "dropped": made.dropped, "blocked": made.blocked, "new": new, "drop": drop}
         report |= {"affinity_new": len(join), "affinity_drop": len(part), "tracked": memory.pairs.count(), "mean_budget": supervision.mean_budget(memory.nodes).first()[0]}

@@ -51,6 +51,8 @@ class Run:
     rows: list[dict]
     converged: bool
     carry: Carry
+    #: The name of the graph that the last cycle left.
+    graph: str = "graph"
 
 
 def fresh(nodes: DataFrame) -> Carry:
@@ -169,15 +171,15 @@ def calm(rows: list[dict]) -> bool:
     return abs(last["distance"] - before["distance"]) < 0.015 and last["div_after"] <= max(0.12, 0.8 * last["div_before"]) and abs(last["signed_shift"]) < 0.02 and flat and last["consistency"] >= 0.55
 
 
-def run(nodes: DataFrame, edges: DataFrame, p: Perturbation, cycles: int = 3, counter: bool = False, carry: Carry | None = None, polarity: DataFrame | None = None) -> Run:
-    """Cycles over a graph, each on the edges that the one before left; ended early after two calm ones in a row."""
+def run(nodes: DataFrame, edges: DataFrame, p: Perturbation, cycles: int = 3, counter: bool = False, carry: Carry | None = None, polarity: DataFrame | None = None, settings: dict | None = None, graph: str = "graph") -> Run:
+    """Cycles over a graph, each on the edges that the one before left; ended early after two calm ones in a row.  `settings`
+    are those of `adjust`; clusters are remembered by the stream, or by the graph's name."""
     carry = replace(carry) if carry else fresh(nodes)
     carry.clusters = dict(carry.clusters)
     shock, rows, streak, converged, told = shocked(p, counter), [], 0, False, {}
     important = baseline = None
     nodes = saved(nodes.select("node").distinct())
     edges = saved(edges.select("edge_id", "ts", "src", "dst", "layer", F.col("weight").cast("double").alias("weight")))
-    graph = "graph"
     for _ in range(max(1, cycles)):
         impact, settled = spread(nodes, edges, p, polarity)
         impact = saved(impact)
@@ -209,7 +211,7 @@ def run(nodes: DataFrame, edges: DataFrame, p: Perturbation, cycles: int = 3, co
         important = important if important is not None else saved(supervision.important(nodes, controlled, nodes.count()))
         lost = supervision.forgetting(important, both, baseline).first()
         baseline = lost.connectivity if baseline is None else baseline
-        edges, carry.affinities, report = adjust(nodes, edges, controlled, state, carry.affinities, told, m, {"confusion": confused.confusion, "forgetting": lost.forgetting, "flip_rate": told["flip_rate"], "coherence": told["coherence"]})
+        edges, carry.affinities, report = adjust(nodes, edges, controlled, state, carry.affinities, told, m, {"confusion": confused.confusion, "forgetting": lost.forgetting, "flip_rate": told["flip_rate"], "coherence": told["coherence"]}, settings=settings)
         report["adjustment"] = report.pop("objective")
         rows.append(report | m | row | {
             "state": state, "settled": settled, "rough_objective": rough["objective"], "consistency": rough["consistency"], "refinement": max(0.0, rough["objective"] - m["objective"]), "confusion": confused.confusion, "forgetting": lost.forgetting,
@@ -220,7 +222,7 @@ def run(nodes: DataFrame, edges: DataFrame, p: Perturbation, cycles: int = 3, co
         if streak >= 2:
             converged = True
             break
-    return Run(edges, impact, rows, converged, carry)
+    return Run(edges, impact, rows, converged, carry, graph)
 
 
 #: What is averaged over the cycles.
@@ -233,6 +235,11 @@ MEANS = {
 }
 
 
+def means(rows: list[dict]) -> dict[str, float]:
+    """What MEANS names, averaged over the cycles; 0 where a cycle has none."""
+    return {name: float(sum(float(r.get(key) or 0.0) for r in rows) / len(rows)) for name, key in MEANS.items()}
+
+
 def trajectory(rows: list[dict], shock: dict[str, float]) -> tuple[dict[str, float], list[str]]:
     """(measures, state classes) of the path that the cycles' states take."""
     from pyspark.sql import SparkSession
@@ -264,8 +271,7 @@ def metrics(done: Run, shock: dict[str, float]) -> tuple[dict[str, float], dict]
     rows, last = done.rows, phases(done.rows)
     path, labels = trajectory(rows, shock)
     still = len(rows) > 1 and abs(rows[-1]["distance"] - rows[-2]["distance"]) < 0.02
-    out = {name: float(sum(float(r.get(key) or 0.0) for r in rows) / len(rows)) for name, key in MEANS.items()}
-    out |= path | {
+    out = means(rows) | path | {
         "affected_actants": float(rows[-1]["reached"]), "stabilized": float(still), "dynamics_stabilized": float(still), "dynamics_steps": float(len(rows)), "final_attractor_distance": rows[-1]["distance"], "strengthened_edges": float(sum(r["gained"] for r in rows)),
         "weakened_edges": float(sum(r["lost"] for r in rows)), "converged": float(done.converged), "cycles_executed": float(len(rows)), "objective_improvement": rows[0]["objective"] - rows[-1]["objective"], "critical_transition_score": last["critical"],
         "early_warning_score": last["warning"], "regime_switch_count": float(last["switches"]), "regime_persistence_score": last["persistence"], "coherence_break_score": last["broken"], "critical_slowing_score": last["slowing"],

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .phase import unit
-from .planning import clip
+from .planning import clip, knobs
 from .similarity import margin
 from .topology import components
 
@@ -72,26 +72,29 @@ def coupling(residual: Column, divergence: Column, energy: Column) -> Column:
 
 
 def policy(rows: DataFrame) -> DataFrame:
-    """`rows` with the knobs that confusion, forgetting, flip_rate and coherence lead to."""
+    """`rows` with the knobs that confusion, forgetting, flip_rate and coherence lead to, from those of KNOBS or from columns
+    of their names."""
+    knob = lambda name: F.col(name) if name in rows.columns else F.lit(KNOBS[name])
     confused, forgot = unit(F.col("confusion")), unit(F.col("forgetting"))
     shaken = unit(0.7 * unit(F.col("flip_rate")) + 0.3 * (1 - unit(F.col("coherence"))))
-    on = F.least(F.lit(0.95), THETA_ON + 0.2 * confused + 0.12 * shaken)
-    off = F.greatest(F.lit(0.05), F.least(on - 0.05, THETA_OFF + 0.12 * confused))
+    on = F.least(F.lit(0.95), knob("theta_on") + 0.2 * confused + 0.12 * shaken)
+    off = F.greatest(F.lit(0.05), F.least(on - 0.05, knob("theta_off") + 0.12 * confused))
     new, drop = F.greatest(F.lit(0.3), 1 - 0.6 * confused - 0.25 * shaken), F.greatest(F.lit(0.2), 1 - 0.75 * forgot - 0.15 * shaken)
     return rows.withColumns({
-        "shaken": shaken, "eta_up": F.greatest(F.lit(0.01), ETA_UP * (1 - 0.45 * confused) * (1 - 0.35 * shaken)), "eta_down": F.greatest(F.lit(0.01), ETA_DOWN * (1 + 0.6 * forgot)), "theta_on": on, "theta_off": off,
+        "shaken": shaken, "eta_up": F.greatest(F.lit(0.01), knob("eta_up") * (1 - 0.45 * confused) * (1 - 0.35 * shaken)), "eta_down": F.greatest(F.lit(0.01), knob("eta_down") * (1 + 0.6 * forgot)), "theta_on": on, "theta_off": off,
         "budget": F.greatest(F.lit(0.25), F.least(F.lit(1.25), (1 - 0.65 * confused) * (1 + 0.35 * forgot) * (1 - 0.4 * shaken))), "new_bias": new, "drop_bias": drop, "drop_share": unit(drop / (drop + new + 1e-9)),
-        "dwell": F.lit(DWELL) + F.when((confused > 0.65) | (shaken > 0.6), 1).otherwise(0),
+        "dwell": knob("dwell") + F.when((confused > 0.65) | (shaken > 0.6), 1).otherwise(0),
     })
 
 
 def objective(rows: DataFrame) -> DataFrame:
     """`rows` with the terms of the plan's cost, from shift, instability, viscosity, risk, density, noise, coupling and
-    edits, and their total; lower is better."""
+    edits, and their total; lower is better.  Weights are those of a planner, or columns of their names."""
+    knob = knobs(rows.columns)
     density, noise, risk = unit(F.col("density")), unit(F.col("noise")), F.col("risk")
     terms = {
-        "churn": (0.38 + 0.22 * density) * F.col("shift"), "volatility": (0.28 + 0.28 * noise) * F.greatest(F.lit(0.0), F.col("instability") - F.col("viscosity")),
-        "rewiring": (0.03 + 0.08 * density) * F.col("edits"), "risk_cost": (0.28 + 0.22 * unit(risk)) * risk, "coupling_cost": (0.2 + 0.2 * noise) * F.col("coupling"),
+        "churn": (0.38 + 0.22 * density) * F.col("shift"), "volatility": (knob("volatility_weight") + knob("volatility_gain") * noise) * F.greatest(F.lit(0.0), F.col("instability") - F.col("viscosity")),
+        "rewiring": (knob("rewiring_weight") + knob("rewiring_gain") * density) * F.col("edits"), "risk_cost": (knob("risk_weight") + knob("risk_gain") * unit(risk)) * risk, "coupling_cost": (0.2 + 0.2 * noise) * F.col("coupling"),
     }
     return rows.withColumns(terms | {"total": sum(terms.values(), F.lit(0.0))})
 
