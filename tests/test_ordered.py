@@ -128,3 +128,20 @@ def test_lanes_in_blocks(spark):
             top[dst] = max(top.get(dst, -1), ts)
     for width in BLOCKS:
         assert {r.edge_id for r in validation.issues(edges, nodes, block=F.floor(F.col("ord") / width)).collect()} == late
+
+
+def test_links_of_ranges(spark):
+    """Links between neighbours of the order are the same however it is cut, with ties and at the ends of ranges."""
+    from tidemesh.operators import propagation
+
+    rng = random.Random(5)
+    impact = [(f"n{k:03}", rng.choice([-1.5, -0.5, -0.25, 0.1, 0.25, 0.5, 0.5, 1.0, 2.0])) for k in range(60)]
+    order = sorted((x for x in impact if abs(x[1]) >= 0.25), key=lambda x: (-abs(x[1]), x[0]))
+    near = {(a[0], b[0]) for a, b in zip(order, order[1:]) if rng.random() < 0.3}
+    expected = [(k + 1, a[0], b[0]) for k, (a, b) in enumerate(zip(order, order[1:])) if a[1] * b[1] >= 0 and (a[0], b[0]) not in near]
+    rows = spark.createDataFrame([*impact, ("unknown", None)], "node string, impact double")
+    adjacency = spark.createDataFrame([*near, *[(b, a) for a, b in near]], "node string, nbr string")
+    for parts in (None, 1, 7, 80):
+        assert [tuple(r) for r in propagation.rewires(rows, adjacency, 100, parts).collect()] == expected
+    assert [tuple(r) for r in propagation.rewires(rows, adjacency).collect()] == expected[:3]
+    assert propagation.rewires(rows.limit(0), adjacency).count() == 0

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import saved
+from .ordered import carried, number, own
+
 # Hops, halving per hop, smallest strength, smallest impact of a suggested link, number of those.
 HOPS, KEEP, FLOOR, LINK, LINKS = 3, 0.5, 0.01, 0.25, 3
 
@@ -39,15 +42,16 @@ def strongest(seeds: DataFrame, adjacency: DataFrame, keep: float = 0.6, hops: i
     return total.groupBy("node").agg(F.sum("s").alias("score")).orderBy(F.desc(F.round("score", 9)), "node").limit(k)
 
 
-def rewires(impact: DataFrame, adjacency: DataFrame, limit: int = LINKS) -> DataFrame:
+def rewires(impact: DataFrame, adjacency: DataFrame, limit: int = LINKS, parts: int | None = None) -> DataFrame:
     """Links between nodes next to each other in the order of impact that are no neighbours yet and of one sign.
-    Ranking is over the top nodes only: those with an impact of at least LINK."""
-    from pyspark.sql import Window
-
-    order = Window.orderBy(F.desc(F.abs("impact")), "node")
-    ranked = impact.where(F.abs("impact") >= LINK)
-    pairs = ranked.select(F.row_number().over(order).alias("rank"), "node", F.lead("node").over(order).alias("nbr"), "impact", F.lead("impact").over(order).alias("next"))
-    fits = pairs.where("nbr is not null and impact * next >= 0").join(adjacency.select("node", "nbr").distinct(), ["node", "nbr"], "left_anti")
+    Ranking is over the top nodes only: those with an impact of at least LINK.  The order is cut into ranges (`parts`, or as
+    many as a shuffle has), each of which knows the last node before it."""
+    ranked = impact.where(F.abs("impact") >= LINK).select((-F.abs("impact")).alias("by"), "node", "impact")
+    ranges = ranked.repartitionByRange(*([parts] if parts else []), "by", "node").withColumn("range", F.spark_partition_id())
+    rows, w = carried(saved(ranges), [], ["by", "node"], F.col("range"), last=("node", "impact"))
+    pairs = own(rows.select("*", (number(w) - 1).cast("int").alias("rank"), F.lag("node").over(w).alias("first"), F.lag("impact").over(w).alias("was")))
+    pairs = pairs.where("first is not null and impact * was >= 0").select("rank", F.col("first").alias("node"), F.col("node").alias("nbr"))
+    fits = pairs.join(adjacency.select("node", "nbr").distinct(), ["node", "nbr"], "left_anti")
     return fits.select("rank", "node", "nbr").orderBy("rank").limit(limit)
 
 
