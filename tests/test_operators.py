@@ -87,6 +87,14 @@ def test_components_of_a_long_chain_and_a_pair(spark):
     assert topology.components(graphs.both_ways(pairs(spark, []))).count() == 0
 
 
+def test_components_of_many_rounds_keep_their_estimate_small(spark):
+    names = list(range(16))
+    random.Random(1).shuffle(names)
+    found = topology.components(graphs.both_ways(pairs(spark, [(f"n{u:02}", f"n{v:02}", 1) for u, v in zip(names, names[1:])])))
+    assert {r.component for r in found.collect()} == {"n00"}
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1e9
+
+
 def test_components_over_all_line_items(spark, tmp_path):
     from tidemesh.plans import catalogue
 

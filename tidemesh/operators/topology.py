@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import saved, scratch
+
 
 def triangles(pairs: DataFrame) -> DataFrame:
     """(a, b, c) of a simple graph given as pairs u < v.  Edges run from the end of smaller degree to the larger, so a
@@ -82,30 +81,23 @@ def simplex_pressure(impact: DataFrame, three: DataFrame, four: DataFrame) -> Da
     return sums.join(F.broadcast(top)).select("node", F.when(F.col("top") > 1e-9, F.col("s") / F.col("top")).otherwise(F.col("s")).alias("pressure"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Lineage ends in the shared folder; a temporary one only where all work is in one process."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        place = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not place and not re.match(r"local(\[|$)", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(place or tempfile.mkdtemp(prefix="tidemesh-"))
-    return df.checkpoint()
-
-
 def components(adjacency: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable.  Each round takes the neighbours' smallest label, then the label
-    of that label, so the rounds grow with the logarithm of the diameter on most graphs; the driver sees one count."""
-    adjacency = _cut(adjacency.select("node", "nbr").distinct())
-    labels = _cut(adjacency.groupBy("node").agg(F.least("node", F.min("nbr")).alias("component")))
-    while True:
-        near = adjacency.join(labels.select(F.col("node").alias("nbr"), F.col("component").alias("c")), "nbr").groupBy("node").agg(F.min("c").alias("c"))
-        step = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "c").alias("c"))
-        jump = step.select(F.col("node").alias("c"), F.col("c").alias("next"))
-        now = _cut(step.join(jump, "c", "left").select("node", "was", F.least("c", F.coalesce("next", "c")).alias("component")))
-        labels = now.select("node", "component")
-        if now.where("was <> component").isEmpty():
-            return labels
+    of that label, so the rounds grow with the logarithm of the diameter on most graphs; the driver sees one count.  Rounds
+    are written as tables, whose size Spark reads off the files: a checkpoint keeps the estimate of the plan before it, and
+    over joins of rounds that is a number whose digits multiply until the driver cannot hold it."""
+    with scratch(adjacency.sparkSession) as keep:
+        adjacency = saved(adjacency.select("node", "nbr").distinct())
+        labels = saved(adjacency.groupBy("node").agg(F.least("node", F.min("nbr")).alias("component")))
+        while True:
+            near = adjacency.join(labels.select(F.col("node").alias("nbr"), F.col("component").alias("c")), "nbr").groupBy("node").agg(F.min("c").alias("c"))
+            step = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "c").alias("c"))
+            jump = step.select(F.col("node").alias("c"), F.col("c").alias("next"))
+            now = saved(step.join(jump, "c", "left").select("node", "was", F.least("c", F.coalesce("next", "c")).alias("component")))
+            labels = now.select("node", "component")
+            if now.where("was <> component").isEmpty():
+                keep(now)
+                return labels
 
 
 def simplex_tension(participation: DataFrame) -> DataFrame:
