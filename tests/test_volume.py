@@ -1,5 +1,7 @@
 """What is dealt out, sorted and written stays narrow; plans and tables are looked at, not times."""
 
+from pyspark.sql import functions as F
+from tidemesh.operators import validation
 from tidemesh.sources import graphs
 
 SF = "/root/testdata/sf0.001"
@@ -13,3 +15,12 @@ def test_orders_meet_customers_before_lines(spark):
     plan = graphs.trade(spark, SF)._jdf.queryExecution().optimizedPlan()
     joins = [n for n in nodes_of(plan) if n.nodeName() == "Join" and "o_custkey" in n.condition().toString()]
     assert joins and not any("l_orderkey" in n.output().toString() for n in joins)
+
+
+def test_repeated_names_are_counted_not_sorted(spark):
+    rows = [("a", i, "x", "y", "l", 1.0, 1) for i in range(3000)] + [(None, i, "x", "y", "l", 1.0, 1) for i in range(3000, 3003)] + [("b", 4000, "x", "y", "l", 1.0, 1)]
+    edges = spark.createDataFrame(rows, "edge_id string, ord long, src string, dst string, layer string, weight double, ts long")
+    found = validation.issues(edges, spark.createDataFrame([("x",), ("y",)], "id string"))
+    got = {(r.code, r.edge_id): r.n for r in found.groupBy("code", "edge_id").agg(F.count("*").alias("n")).collect()}
+    assert got == {("duplicate_interaction_id", "a"): 2999, ("duplicate_interaction_id", None): 2}
+    assert "row_number" not in found._jdf.queryExecution().optimizedPlan().toString()

@@ -12,19 +12,20 @@ def issues(edges: DataFrame, nodes: DataFrame, low: float = 0.0, high: float = 5
     """(code, edge_id): edges needs edge_id, ord, src, dst, layer, weight, ts; nodes needs id.  A graph without a name or a
     schema version has an issue without an edge.  Edges between the same ends are cut at `block`, which must not fall in
     the order of `ord`."""
-    twin = Window.partitionBy("edge_id").orderBy("ord")
-    told = edges.select("edge_id", "ord", "src", "dst", "layer", "weight", "ts", (F.lit(0) if block is None else block).alias("_block"))
+    told = edges.select("edge_id", "ord", "src", "dst", "layer", "ts", (F.lit(0) if block is None else block).alias("_block"))
     rows, lane = carried(told, ["src", "dst", "layer"], ["ord"], F.col("_block"), maxima=("ts",))
     rows = own(rows.withColumn("late", F.max("ts").over(lane.rowsBetween(Window.unboundedPreceding, -1)) > F.col("ts")))
-    marked = rows.select("edge_id", "src", "dst", "weight", (F.row_number().over(twin) > 1).alias("again"), "late")
+    late = rows.where("late").select(F.lit("timestamp_backwards").alias("code"), "edge_id")
+    # every rule reads the edges by itself with the columns it needs; a name's repetitions are told by its count
+    twins = edges.groupBy("edge_id").agg(F.count("*").alias("n")).where("n > 1").select("edge_id", "n", F.explode(F.expr("sequence(0, (n - 2) div 1024)")).alias("k"))
+    again = twins.select(F.lit("duplicate_interaction_id").alias("code"), "edge_id", F.explode(F.expr("sequence(k * 1024 + 2, least(n, k * 1024 + 1025))"))).select("code", "edge_id")
     known = nodes.select(F.col("id").alias("known")).distinct()
-    ends = marked.select("edge_id", F.explode(F.array("src", "dst")).alias("known"))
+    ends = edges.select("edge_id", F.explode(F.array("src", "dst")).alias("known"))
     dangling = ends.join(known, "known", "left_anti").select("edge_id").distinct().select(F.lit("dangling_edge_node").alias("code"), "edge_id")
     codes = F.array_compact(F.array(
-        F.when(F.col("again"), "duplicate_interaction_id"), F.when(F.col("src") == F.col("dst"), "self_loop_not_allowed"),
-        F.when((F.col("weight") < low) | (F.col("weight") > high), "weight_out_of_range"), F.when(F.col("late"), "timestamp_backwards"),
+        F.when(F.col("src") == F.col("dst"), "self_loop_not_allowed"), F.when((F.col("weight") < low) | (F.col("weight") > high), "weight_out_of_range"),
     ))
-    found = marked.select(F.explode(codes).alias("code"), "edge_id").unionByName(dangling)
+    found = edges.select(F.explode(codes).alias("code"), "edge_id").unionByName(again).unionByName(late).unionByName(dangling)
     for code, value in (("graph_id_missing", graph_id), ("schema_missing", schema_version)):
         if not value.strip():
             one = edges.sparkSession.range(1).select(F.lit(code).alias("code"), F.lit(None).cast(edges.schema["edge_id"].dataType).alias("edge_id"))
