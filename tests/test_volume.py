@@ -1,8 +1,8 @@
 """What is dealt out, sorted and written stays narrow; plans and tables are looked at, not times."""
 
 from pyspark.sql import functions as F
-from tidemesh.operators import validation
-from tidemesh.sources import graphs
+from tidemesh.operators import flows, validation
+from tidemesh.sources import calendar, graphs
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,3 +24,13 @@ def test_repeated_names_are_counted_not_sorted(spark):
     got = {(r.code, r.edge_id): r.n for r in found.groupBy("code", "edge_id").agg(F.count("*").alias("n")).collect()}
     assert got == {("duplicate_interaction_id", "a"): 2999, ("duplicate_interaction_id", None): 2}
     assert "row_number" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_decomposed_edges_are_written_once(spark, monkeypatch):
+    written, save = [], flows.saved
+    monkeypatch.setattr(flows, "saved", lambda df: written.append(df.columns) or save(df))
+    rows = [(0, 1, 2, 1.0), (1, 2, 3, 2.0), (2, 1, 3, 0.5), (3, 1, 2, 4.0), (4, 3, 3, 1.0)]
+    parts, _ = flows.decompose(spark.createDataFrame(rows, "ord long, src long, dst long, flow double"), 1)
+    assert not any("gradient" in c for c in written)
+    got = parts.collect()
+    assert len(got) == 5 and all(abs(r.gradient + r.curl + r.harmonic - r.flow) < 1e-9 for r in got)

@@ -92,15 +92,15 @@ def curl(rest: DataFrame) -> DataFrame:
 
 def decompose(flows: DataFrame, pinned) -> tuple[DataFrame, DataFrame]:
     """(edges, potentials): (ord, src, dst, flow, gradient, curl, harmonic), whose last three sum to the flow, and (node,
-    phi)."""
+    phi).  Of the tables that have a row for each edge only the flows are written; gradient and curl are joined to them
+    where they are read."""
     with scratch(flows.sparkSession) as keep:
-        flows = saved(flows)
+        flows = keep(saved(flows))
         phi = keep(saved(potential(flows, pinned)))
-        edges = saved(_rise(flows, phi, "gradient"))
-        turning = curl(edges.select("ord", "src", "dst", (F.col("flow") - F.col("gradient")).alias("flow")))
+        edges = _rise(flows, phi, "gradient")
+        turning = keep(saved(curl(edges.select("ord", "src", "dst", (F.col("flow") - F.col("gradient")).alias("flow")))))
         rows = edges.join(turning, "ord", "left").fillna(0.0, ["curl"])
-        rows = rows.select("ord", "src", "dst", "flow", "gradient", "curl", (F.col("flow") - F.col("gradient") - F.col("curl")).alias("harmonic"))
-        return keep(saved(rows)), phi
+        return rows.select("ord", "src", "dst", "flow", "gradient", "curl", (F.col("flow") - F.col("gradient") - F.col("curl")).alias("harmonic")), phi
 
 
 def norms(edges: DataFrame) -> DataFrame:
