@@ -34,3 +34,13 @@ def test_decomposed_edges_are_written_once(spark, monkeypatch):
     assert not any("gradient" in c for c in written)
     got = parts.collect()
     assert len(got) == 5 and all(abs(r.gradient + r.curl + r.harmonic - r.flow) < 1e-9 for r in got)
+
+
+def test_kinds_of_ids_need_no_sorted_rows(spark):
+    rows = [(2, "a", ["b"], "p", None, 1.0), (1, "p", [], "b", None, 1.0)]
+    table = spark.createDataFrame(rows, "event long, organiser string, attendees array<string>, location string, start timestamp, hours double")
+    found = calendar.nodes(table)
+    assert {r.id: r.kind for r in found.collect()} == {"a": "person", "b": "place", "p": "person"}
+    lines = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    over_rows = [x for x in lines if "functions=[partial_min" in x and "keys=[" in x]
+    assert any("HashAggregate" in x and "partial_min(event" in x for x in over_rows)
