@@ -44,3 +44,11 @@ def test_kinds_of_ids_need_no_sorted_rows(spark):
     lines = found._jdf.queryExecution().executedPlan().toString().splitlines()
     over_rows = [x for x in lines if "functions=[partial_min" in x and "keys=[" in x]
     assert any("HashAggregate" in x and "partial_min(event" in x for x in over_rows)
+
+
+def test_components_take_no_more_links_than_lines(spark, tmp_path):
+    lines = [(1, s) for s in range(12)] + [(2, 20), (2, 20), (3, None), (3, 11), (3, 30), (None, 30), (None, 31)]
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    links = graphs.co_supply_links(spark, str(tmp_path), None)
+    assert sorted(tuple(r) for r in links.where("node < nbr").collect()) == [(0, s) for s in range(1, 12)] + [(11, 30)]
+    assert links.count() == 24
