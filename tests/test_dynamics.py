@@ -150,3 +150,24 @@ def test_graph_of_clusters(spark):
     chain = communities.cluster_edges(pairs.limit(0), cluster).collect()
     assert sorted((r.src, r.dst, r.weight) for r in chain) == [("x", "y", 0.05), ("y", "z", 0.05)]
     assert communities.cluster_edges(pairs.limit(0), cluster.limit(0)).count() == 0
+
+
+def test_communities_of_noise_settle_in_few_rounds(spark, monkeypatch):
+    n, rng = 80, random.Random(5)
+    w = {(u, v): float(rng.randint(1, 6)) for u in range(n) for v in range(u + 1, n) if rng.random() < 0.9}
+    pairs = spark.createDataFrame([(u, v, x) for (u, v), x in w.items()], "u long, v long, weight double")
+    written, save = [], communities.saved
+    monkeypatch.setattr(communities, "saved", lambda df: written.append(df) or save(df))
+    of = {r.node: r.cluster for r in communities.communities(spark.range(n).toDF("node"), pairs).collect()}
+    assert len(of) == n and len(written) < 90
+    # no node gains by a move, and no two communities by a merge
+    whole, k = sum(w.values()), [0.0] * n
+    for (u, v), x in w.items():
+        k[u], k[v] = k[u] + x, k[v] + x
+    gain = lambda one, two: sum(w.get((min(a, b), max(a, b)), 0.0) / whole - k[a] * k[b] / (2 * whole * whole) for a in one for b in two)
+    parts = {c: [a for a in of if of[a] == c] for c in set(of.values())}
+    assert len(parts) > 1 and all(c == min(p) for c, p in parts.items())
+    for a in of:
+        here = gain([a], [b for b in parts[of[a]] if b != a])
+        assert all(gain([a], p) <= here + 1e-9 for c, p in parts.items() if c != of[a])
+    assert all(gain(p, q) <= 1e-9 for c, p in parts.items() for d, q in parts.items() if c < d)
