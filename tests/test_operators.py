@@ -2,6 +2,7 @@
 
 import random
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from tidemesh.operators import phase, planning, propagation, retrieval, series, similarity, supervision, topology
 from tidemesh.sources import graphs, sinks
@@ -131,6 +132,24 @@ def test_nearest_vectors_with_null_and_zero(spark):
     assert [r.item for r in got] == [2, 3, 5] and got[2].score == 0
 
 
+def test_nearest_vectors_are_the_plain_ones(spark):
+    rng = random.Random(4)
+    vec = [[rng.gauss(0, 1) for _ in range(7)] for _ in range(90)]
+    rows = [(f"i{i:03}", vec[i % 60] if i < 200 else vec[7]) for i in range(260)]  # many copies, so ties at every rank
+    rows += [("n1", None), ("n2", [1.0, None, 0.0, 0.0, 0.0, 0.0, 0.0]), ("n3", [1.0]), ("n4", [2.0]), ("n5", []), ("z", [0.0] * 7), ("x", [float("nan")] * 7), (None, vec[3])]
+    table = spark.createDataFrame(rows, "id string, v array<double>")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    plain = table.where("v is not null").select(F.col("id").alias("item"), F.expr("transform(v, x -> x / (sqrt(aggregate(transform(v, y -> y * y), 0D, (s, y) -> s + y)) + 1e-12D))").alias("v"))
+    pairs = plain.select(F.col("item").alias("query"), F.col("v").alias("w")).crossJoin(plain).where("query <> item")
+    scored = pairs.select("query", "item", F.round(dot(F.col("v"), F.col("w")), 9).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "item"))
+    want = scored.withColumn("rank", rank).where("rank <= 4")
+    got = similarity.cosine_topk(table, table, "id", "v", 4)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert "FlatMapGroupsInArrow" in got._jdf.queryExecution().optimizedPlan().toString()  # no expression a pair
+    assert similarity.cosine_topk(table.limit(0), table.limit(0), "id", "v", 4).count() == 0
+
+
 def test_margin_and_cross_scale(spark):
     values = spark.createDataFrame([("a", 3.0), ("a", 3.0), ("b", 1.0), ("z", 0.0)], "cluster string, value double")
     assert abs(similarity.margin(values).first().margin - 0.5) < 1e-9

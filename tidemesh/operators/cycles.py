@@ -119,7 +119,7 @@ def clustered(nodes: DataFrame, edges: DataFrame, impact: DataFrame, before: Dat
             own = topology.node_features(pairs, impact).select("node", *[F.col(c) for c in ("degree", "clustering", "around")])
             rows = nodes.select("node").join(impact, "node", "left").join(own, "node", "left").fillna(0.0)
             vectors = saved(rows.select("node", F.array(F.col("impact") / F.lit(top), "degree", "clustering", "around").alias("vector")))
-            near = similarity.cosine_topk(vectors, vectors, "node", "vector", max(1, min(neighbours, n - 1)))
+            near = similarity.cosine_topk(vectors, vectors, "node", "vector", max(1, min(neighbours, n - 1)), 8, 8)
             more.append(calibration.mutual_neighbours(near))
         earlier = nodes.limit(0).select("node", F.col("node").alias("cluster")) if before is None else before
         hybrid = saved(topology.hybrid_edges(pairs, earlier, impact, *more))
