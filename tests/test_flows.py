@@ -133,3 +133,15 @@ def test_rounds_are_bounded(spark):
     right = spark.createDataFrame([(k, float(k - 4)) for k in range(9)], "node long, b double")
     with pytest.raises(ArithmeticError):
         flows.solve(pairs, right, most=2)
+
+
+def test_bridges_deal_links_once_and_keep_order_0_from_part_0(spark, monkeypatch, tmp_path):
+    from tidemesh.plans import structure
+
+    met = []
+    monkeypatch.setattr(forest, "meeting", lambda *a: met.append(a))
+    lines = [(0, 0), (0, 5), (7, 0), (7, 5), (8, 5), (8, 5), (9, 5), (4, 3)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert {(r.u, r.v) for r in structure.order_bridges(spark, str(tmp_path)).collect()} == {(-5, 9), (-3, 4)}
+    assert not met  # no common ancestors of all lines
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("graph_")]

@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import saved, scratch
-from .topology import components
+from ..sources.tables import dealt, saved, scratch
+from .topology import linked
 
 
 def simple(pairs: DataFrame) -> DataFrame:
@@ -26,17 +26,22 @@ def spanning(pairs: DataFrame) -> DataFrame:
     """(node, parent, depth, root) of every node with an edge.  A tree's root is the smallest node of its component and has
     no parent; the parent of another node is its smallest neighbour in the level above."""
     with scratch(pairs.sparkSession) as keep:
-        adjacency = saved(_both(simple(pairs)))
-        labels = components(adjacency)
+        return keep(_searched(dealt(_both(simple(pairs)), "node")))
+
+
+def _searched(adjacency: DataFrame) -> DataFrame:
+    with scratch(adjacency.sparkSession) as keep:
+        labels = linked(adjacency)
         parent = F.lit(None).cast(dict(adjacency.dtypes)["node"])
         level = saved(labels.where("node = component").select("node", parent.alias("parent"), F.lit(0).alias("depth"), F.col("component").alias("root")))
-        done, above = level, None
+        done, above, depth = level, None, 0
         while not level.isEmpty():
-            reached = level.select(F.col("node"), "depth", "root").join(adjacency, "node").groupBy("nbr").agg(F.min("node").alias("parent"), F.first("depth").alias("depth"), F.first("root").alias("root"))
+            reached = level.select("node", "root").join(adjacency, "node").groupBy("nbr").agg(F.min("node").alias("parent"), F.min("root").alias("root"))
             # neighbours of a level lie in it, in the one above or in the next
             known = level.select("node") if above is None else level.select("node").unionByName(above.select("node"))
             fresh = reached.withColumnRenamed("nbr", "node").join(known, "node", "left_anti")
-            above, level = level, saved(fresh.select("node", "parent", (F.col("depth") + 1).alias("depth"), "root"))
+            depth += 1
+            above, level = level, saved(fresh.select("node", "parent", F.lit(depth).alias("depth"), "root"))
             done = done.unionByName(level)
         return keep(saved(done))
 
@@ -102,21 +107,30 @@ def bridges(pairs: DataFrame) -> DataFrame:
     """(u, v), u < v: the edges without which their component falls apart.  A pair that stands more than once, in whatever
     direction, is no bridge.
 
-    An edge of the forest is covered by the edges outside it that leave the subtree below: by the ends of such edges in
-    the subtree, less two for each edge that meets inside it.  The sums over all subtrees take as many rounds as the depth
-    has binary digits: what a node has summed up goes to its ancestor 1, 2, 4, ... levels above.
+    Each edge has two hashes of 64 bits, others if it stands more than once.  Over all ends of edges in a subtree of the
+    forest, exclusive or leaves those that leave the subtree, as edges inside have both ends there; the edge above the
+    subtree is a bridge where its own hashes are all that is left.  That other edges' hashes cancel out by chance has odds
+    of 2^-128 an edge.  The subtrees are summed up level by level, so that a node is dealt out to its parent once.
     """
     with scratch(pairs.sparkSession) as keep:
-        once = saved(pairs.where("u <> v").groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.count("*").alias("n")))
-        forest = spanning(once)
-        up = ancestors(forest)
-        rest = saved(others(once, forest))
-        met = meeting(rest, forest, up)
-        parts = rest.select(F.explode(F.array("u", "v")).alias("node"), F.lit(1).alias("s")).unionByName(met.select(F.col("meet").alias("node"), F.lit(-2).alias("s")))
-        sums = forest.select("node").join(parts.groupBy("node").agg(F.sum("s").alias("s")), "node", "left").fillna(0, ["s"])
-        for jump in up:
-            sums = saved(sums)
-            given = sums.join(jump, "node").groupBy("up").agg(F.sum("s").alias("more"))
-            sums = sums.join(given.withColumnRenamed("up", "node"), "node", "left").select("node", (F.col("s") + F.coalesce("more", F.lit(0))).alias("s"))
-        bare = sums.where("s = 0").join(forest.where("parent is not null"), "node").select(F.least("node", "parent").alias("u"), F.greatest("node", "parent").alias("v"))
-        return keep(saved(bare.join(once.where("n = 1").select("u", "v"), ["u", "v"], "left_semi")))
+        once = pairs.where("u <> v").groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg((F.count("*") > 1).alias("more"))
+        ends = F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("nbr")), F.struct(F.col("v").alias("node"), F.col("u").alias("nbr")))
+        adjacency = dealt(once.select(F.explode(ends).alias("e"), "more").select("e.*", "more"), "node")
+        forest = _searched(adjacency)
+        marks = lambda a, b, more: {x: F.xxhash64(F.lit(x), F.least(a, b), F.greatest(a, b), more) for x in ("x", "y")}
+        both = adjacency.select("node", *[h.alias(x) for x, h in marks("node", "nbr", F.col("more")).items()])
+        own = both.groupBy("node").agg(F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+        own = saved(forest.join(own, "node").select("node", "parent", "depth", "x", "y"))
+        given, found = None, []
+        for depth in range(own.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0], 0, -1):
+            level = own.where(F.col("depth") == depth).select("node", "parent", "x", "y")
+            if given is not None:
+                level = level.unionByName(given).groupBy("node").agg(F.max("parent").alias("parent"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+            level = saved(level)
+            bare = [F.col(x) == h for x, h in marks("node", "parent", F.lit(False)).items()]
+            found.append(level.where(bare[0] & bare[1]).select(F.least("node", "parent").alias("u"), F.greatest("node", "parent").alias("v")))
+            given = level.groupBy(F.col("parent").alias("node")).agg(F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).withColumn("parent", F.lit(None).cast(dict(own.dtypes)["parent"]))
+        out = own.limit(0).select(F.col("node").alias("u"), F.col("parent").alias("v"))
+        for some in found:
+            out = out.unionByName(some)
+        return keep(saved(out))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import saved, scratch
+from ..sources.tables import dealt, saved, scratch
 
 
 def triangles(pairs: DataFrame) -> DataFrame:
@@ -87,16 +87,23 @@ def components(adjacency: DataFrame) -> DataFrame:
     are written as tables, whose size Spark reads off the files: a checkpoint keeps the estimate of the plan before it, and
     over joins of rounds that is a number whose digits multiply until the driver cannot hold it."""
     with scratch(adjacency.sparkSession) as keep:
-        adjacency = saved(adjacency.select("node", "nbr").distinct())
+        return keep(linked(dealt(adjacency.select("node", "nbr").distinct(), "node")))
+
+
+def linked(adjacency: DataFrame) -> DataFrame:
+    """The same of distinct links that `dealt` has written by node.  Only nodes whose label changed tell their neighbours."""
+    with scratch(adjacency.sparkSession) as keep:
         labels = saved(adjacency.groupBy("node").agg(F.least("node", F.min("nbr")).alias("component")))
+        told = labels
         while True:
-            near = adjacency.join(labels.select(F.col("node").alias("nbr"), F.col("component").alias("c")), "nbr").groupBy("node").agg(F.min("c").alias("c"))
-            step = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "c").alias("c"))
-            jump = step.select(F.col("node").alias("c"), F.col("c").alias("next"))
+            near = adjacency.join(told.select("node", F.col("component").alias("c")), "node").groupBy(F.col("nbr").alias("node")).agg(F.min("c").alias("c"))
+            step = labels.join(near, "node", "left").select("node", F.col("component").alias("was"), F.least("component", "c").alias("c"))
+            jump = labels.select(F.col("node").alias("c"), F.col("component").alias("next"))
             now = saved(step.join(jump, "c", "left").select("node", "was", F.least("c", F.coalesce("next", "c")).alias("component")))
-            labels = now.select("node", "component")
-            if now.where("was <> component").isEmpty():
+            labels, told = now.select("node", "component"), now.where("was <> component")
+            if told.isEmpty():
                 keep(now)
+                labels._path = now._path
                 return labels
 
 
