@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 from tidemesh.operators import flows, validation
+from tidemesh.plans import calibration
 from tidemesh.sources import calendar, graphs
 
 SF = "/root/testdata/sf0.001"
@@ -52,3 +53,11 @@ def test_components_take_no_more_links_than_lines(spark, tmp_path):
     links = graphs.co_supply_links(spark, str(tmp_path), None)
     assert sorted(tuple(r) for r in links.where("node < nbr").collect()) == [(0, s) for s in range(1, 12)] + [(11, 30)]
     assert links.count() == 24
+
+
+def test_pairs_of_meetings_are_dealt_out_before_they_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(calibration, "_LINES", 500)
+    found = calibration.calendar_edges(spark, SF)
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    dealt = [n for n in nodes_of(found._jdf.queryExecution().optimizedPlan()) if n.nodeName() == "RepartitionByExpression"]
+    assert [n.numPartitions() for n in dealt] == [-(-lines // 500)]  # the tasks grow with the input, what one of them holds does not
