@@ -171,3 +171,39 @@ def test_communities_of_noise_settle_in_few_rounds(spark, monkeypatch):
         here = gain([a], [b for b in parts[of[a]] if b != a])
         assert all(gain([a], p) <= here + 1e-9 for c, p in parts.items() if c != of[a])
     assert all(gain(p, q) <= 1e-9 for c, p in parts.items() for d, q in parts.items() if c < d)
+
+
+def settled_noise(spark, n):
+    """Communities of a dense random graph, none of whose nodes would gain by a move, nor two by a merge."""
+    rng = random.Random(7)
+    w = [(u, v, float(rng.randint(1, 6))) for u in range(n) for v in range(u + 1, n) if rng.random() < 0.9]
+    pairs = spark.createDataFrame(w, "u long, v long, weight double")
+    of = {r.node: r.cluster for r in communities.communities(spark.range(n).toDF("node"), pairs).collect()}
+    whole, b, k = sum(x for *_, x in w), np.zeros((n, n)), np.zeros(n)
+    for u, v, x in w:
+        b[u, v] = b[v, u] = x
+    k = b.sum(0)
+    b = b / whole - np.outer(k, k) / (2 * whole * whole)
+    np.fill_diagonal(b, 0)
+    names = sorted(set(of.values()))
+    inside = np.array([[of[a] == c for c in names] for a in range(n)], float)
+    near = b @ inside
+    assert len(names) > 1 and all(c == min(a for a in of if of[a] == c) for c in names)
+    assert (near <= (near * inside).sum(1, keepdims=True) + 1e-9).all()
+    between = inside.T @ near
+    assert (between - np.diag(np.diag(between)) <= 1e-9).all()
+
+
+def test_communities_of_a_block_need_one_round(spark, monkeypatch):
+    written, save = [], communities.saved
+    monkeypatch.setattr(communities, "saved", lambda df: written.append(df) or save(df))
+    settled_noise(spark, 150)
+    assert len(written) < 15
+
+
+def test_communities_of_many_blocks_settle(spark, monkeypatch):
+    monkeypatch.setattr(communities, "BLOCK", 30)
+    written, save = [], communities.saved
+    monkeypatch.setattr(communities, "saved", lambda df: written.append(df) or save(df))
+    settled_noise(spark, 90)
+    assert len(written) < 90
