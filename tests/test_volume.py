@@ -61,3 +61,17 @@ def test_pairs_of_meetings_are_dealt_out_before_they_are_counted(spark, monkeypa
     lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
     dealt = [n for n in nodes_of(found._jdf.queryExecution().optimizedPlan()) if n.nodeName() == "RepartitionByExpression"]
     assert [n.numPartitions() for n in dealt] == [-(-lines // 500)]  # the tasks grow with the input, what one of them holds does not
+
+
+def test_pairs_of_all_lines_are_dealt_out_by_count(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(graphs, "LINES", 10)
+    rows = [(k // 3, k % 7, 1.0) for k in range(60)] + [(0, 0, 1.0), (0, 0, 2.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    pairs = graphs.co_supply_orders(spark, str(tmp_path))
+    orders = {}
+    for order, supplier, _ in rows:
+        orders.setdefault(order, set()).add(supplier)
+    want = sorted((a, b) for s in orders.values() for a in s for b in s if a < b)
+    assert sorted((r.u, r.v) for r in pairs.collect()) == want
+    counted = graphs.co_supply(spark, str(tmp_path), None)
+    assert {(r.u, r.v): r.weight for r in counted.collect()} == {p: want.count(p) for p in want}
