@@ -73,5 +73,7 @@ def test_pairs_of_all_lines_are_dealt_out_by_count(spark, tmp_path, monkeypatch)
         orders.setdefault(order, set()).add(supplier)
     want = sorted((a, b) for s in orders.values() for a in s for b in s if a < b)
     assert sorted((r.u, r.v) for r in pairs.collect()) == want
+    dealt = [n.optNumPartitions().get() for n in nodes_of(pairs._jdf.queryExecution().optimizedPlan()) if n.nodeName() == "RepartitionByExpression"]
+    assert dealt == [7, 7]
     counted = graphs.co_supply(spark, str(tmp_path), None)
     assert {(r.u, r.v): r.weight for r in counted.collect()} == {p: want.count(p) for p in want}
